@@ -10,15 +10,15 @@ _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 def one_decimal(value: Column) -> Column:
     """Round to one decimal on the exact binary value, ties to even."""
-    return F.format_number(value, "0.0").cast("double")
+    return one_decimal_text(value).cast("double")
 
 
 def one_decimal_text(value: Column) -> Column:
-    return F.format_number(value, "0.0")
+    return F.call_function("format_number", value, F.lit("0.0"))
 
 
 def whole_text(value: Column) -> Column:
-    return F.format_number(value, "0")
+    return F.call_function("format_number", value, F.lit("0"))
 
 
 def thousands(value: Column) -> Column:
