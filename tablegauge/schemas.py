@@ -48,69 +48,148 @@ OUTCOMES = ("allowed", "blocked", "ok", "error", "retried")
 EVENT_KINDS = ("hook", "gate", "note")
 
 
-def _layout(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+TEXT, FLAG, INT, COUNT, REAL = (
+    T.StringType(),
+    T.BooleanType(),
+    T.IntegerType(),
+    T.LongType(),
+    T.DoubleType(),
+)
+TEXTS = T.ArrayType(TEXT)
+OPTIONS = T.MapType(TEXT, TEXT)
+
+
+def _layout(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, dtype) for name, dtype in fields.items()])
 
 
 MANIFEST = _layout(
-    "schema_name STRING, table_name STRING, ordinal INT, column_name STRING, "
-    "dtype STRING, nullable BOOLEAN, row_estimate BIGINT"
+    schema_name=TEXT,
+    table_name=TEXT,
+    ordinal=INT,
+    column_name=TEXT,
+    dtype=TEXT,
+    nullable=FLAG,
+    row_estimate=COUNT,
 )
 
 # One row per table and column. `miss_count` and `negative_count` are the
 # violation counts of the name-driven validity rules; they are NULL where no
 # such rule applies to the column.
 COLUMN_PROFILE = _layout(
-    "table_name STRING, ordinal INT, column_name STRING, dtype STRING, "
-    "nullable BOOLEAN, row_count BIGINT, null_count BIGINT, "
-    "distinct_count BIGINT, min_num DOUBLE, max_num DOUBLE, min_str STRING, "
-    "max_str STRING, blank_count BIGINT, miss_count BIGINT, "
-    "negative_count BIGINT, "
-    "top_values ARRAY<STRUCT<value: STRING, n: BIGINT>>"
+    table_name=TEXT,
+    ordinal=INT,
+    column_name=TEXT,
+    dtype=TEXT,
+    nullable=FLAG,
+    row_count=COUNT,
+    null_count=COUNT,
+    distinct_count=COUNT,
+    min_num=REAL,
+    max_num=REAL,
+    min_str=TEXT,
+    max_str=TEXT,
+    blank_count=COUNT,
+    miss_count=COUNT,
+    negative_count=COUNT,
+    top_values=T.ArrayType(_layout(value=TEXT, n=COUNT)),
 )
 
 RULES = _layout(
-    "table_name STRING, rule_seq INT, rule_id STRING, column_name STRING, "
-    "category STRING, description STRING, check_kind STRING, "
-    "params MAP<STRING, STRING>, threshold_pct DOUBLE"
+    table_name=TEXT,
+    rule_seq=INT,
+    rule_id=TEXT,
+    column_name=TEXT,
+    category=TEXT,
+    description=TEXT,
+    check_kind=TEXT,
+    params=OPTIONS,
+    threshold_pct=REAL,
 )
 
 RULE_RESULTS = T.StructType(
     RULES.fields
     + _layout(
-        "violations BIGINT, row_count BIGINT, status STRING, passed BOOLEAN, "
-        "error_class STRING, last_error STRING"
+        violations=COUNT,
+        row_count=COUNT,
+        status=TEXT,
+        passed=FLAG,
+        error_class=TEXT,
+        last_error=TEXT,
     ).fields
 )
 
 CHECK_LOG = _layout(
-    "table_name STRING, sql_id STRING, purpose STRING, column_name STRING, "
-    "sql_text STRING, status STRING, attempts INT, last_error STRING, "
-    "error_class STRING, fix_history ARRAY<STRING>"
+    table_name=TEXT,
+    sql_id=TEXT,
+    purpose=TEXT,
+    column_name=TEXT,
+    sql_text=TEXT,
+    status=TEXT,
+    attempts=INT,
+    last_error=TEXT,
+    error_class=TEXT,
+    fix_history=TEXTS,
 )
 
-WAIVERS = _layout("table_name STRING, sql_id STRING")
+WAIVERS = _layout(table_name=TEXT, sql_id=TEXT)
 
 GATE_LOG = _layout(
-    "gate_id STRING, table_name STRING, state STRING, reason STRING, "
-    "evidence MAP<STRING, BIGINT>"
+    gate_id=TEXT,
+    table_name=TEXT,
+    state=TEXT,
+    reason=TEXT,
+    evidence=T.MapType(TEXT, COUNT),
 )
 
 # The event log keeps `ts` and `evidence` as the text found in the line, so
 # that a line is never lost because one of its values has an unusual form.
 AUDIT = _layout(
-    "kind STRING, ts STRING, agent STRING, hook STRING, tool STRING, "
-    "outcome STRING, detail STRING, `table` STRING, payload_digest STRING, "
-    "gate_id STRING, state STRING, reason STRING, evidence STRING"
+    kind=TEXT,
+    ts=TEXT,
+    agent=TEXT,
+    hook=TEXT,
+    tool=TEXT,
+    outcome=TEXT,
+    detail=TEXT,
+    table=TEXT,
+    payload_digest=TEXT,
+    gate_id=TEXT,
+    state=TEXT,
+    reason=TEXT,
+    evidence=TEXT,
 )
 
-METRIC_CATALOGUE = _layout(
-    "table_name STRING, sql_id STRING, purpose STRING, column STRING, "
-    "expr STRING, sql_text STRING, sql STRING"
+# Lines of the user's catalogues.
+METRIC_LINE = _layout(
+    table_name=TEXT,
+    sql_id=TEXT,
+    purpose=TEXT,
+    column=TEXT,
+    expr=TEXT,
+    sql_text=TEXT,
+    sql=TEXT,
+)
+RULE_LINE = _layout(
+    table_name=TEXT,
+    rule_id=TEXT,
+    category=TEXT,
+    column=TEXT,
+    description=TEXT,
+    threshold_pct=REAL,
+    check_kind=TEXT,
+    params=OPTIONS,
+    check_sql=TEXT,
 )
 
 METRIC_RESULTS = _layout(
-    "table_name STRING, sql_id STRING, purpose STRING, column_name STRING, "
-    "seq INT, status STRING, cells ARRAY<STRING>, error_class STRING, "
-    "last_error STRING"
+    table_name=TEXT,
+    sql_id=TEXT,
+    purpose=TEXT,
+    column_name=TEXT,
+    seq=INT,
+    status=TEXT,
+    cells=TEXTS,
+    error_class=TEXT,
+    last_error=TEXT,
 )

@@ -3,12 +3,12 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegauge.schemas import METRIC_CATALOGUE, RULES
+from tablegauge.schemas import METRIC_LINE, RULE_LINE, RULES
 
 
 def read_metric_catalogue(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
     """Metrics `{table_name, sql_id, purpose, column, expr | sql_text | sql}`."""
-    found = spark.read.schema(METRIC_CATALOGUE).option("multiLine", not lines).json(path)
+    found = spark.read.schema(METRIC_LINE).option("multiLine", not lines).json(path)
     return metric_specs(found)
 
 
@@ -23,13 +23,6 @@ def metric_specs(found: DataFrame) -> DataFrame:
     )
 
 
-_RULE_LINE = (
-    "table_name STRING, rule_id STRING, category STRING, column STRING, "
-    "description STRING, threshold_pct DOUBLE, check_kind STRING, "
-    "params MAP<STRING, STRING>, check_sql STRING"
-)
-
-
 def read_rule_catalogue(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
     """Rules of a catalogue.
 
@@ -37,7 +30,7 @@ def read_rule_catalogue(spark: SparkSession, path: str, *, lines: bool = False)
     returning the violation count, as text or as an object with `sql_text` or
     `sql`. The threshold defaults to 100 and the description to empty.
     """
-    found = spark.read.schema(_RULE_LINE).option("multiLine", not lines).json(path)
+    found = spark.read.schema(RULE_LINE).option("multiLine", not lines).json(path)
     return rule_specs(found)
 
 
