@@ -59,7 +59,8 @@ def shorten(value: Column, width: int) -> Column:
 
 def table_cell(value: Column) -> Column:
     """Make text safe for a cell of a Markdown table."""
-    return F.regexp_replace(F.regexp_replace(value, "\n", " "), r"\|", r"\\\\|")
+    one_line = F.replace(value, F.lit("\n"), F.lit(" "))
+    return F.replace(one_line, F.lit("|"), F.lit("\\|"))
 
 
 def or_missing(value: Column) -> Column:

@@ -303,6 +303,7 @@ def run_rules(spark: SparkSession, tables: Tables, rules: DataFrame) -> DataFram
             + (
                 counted.get(i),
                 sizes.get(rule.table_name),
+                i in batch.frames,
                 "failed" if error else "executed",
                 None,
                 _class_of(error) if error else None,

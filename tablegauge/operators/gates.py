@@ -249,6 +249,34 @@ def table_stage(gates: DataFrame) -> DataFrame:
     )
 
 
+def reached_gates(gates: DataFrame, table_states: DataFrame) -> DataFrame:
+    """Gates a table came to: none after its first closed one."""
+    stops = table_states.select("table_name", "blocked_at")
+    met = gates.join(stops, "table_name", "left")
+    reached = F.col("blocked_at").isNull() | (F.col("gate_id") <= F.col("blocked_at"))
+    return met.where(reached).select(*GATE_LOG.fieldNames())
+
+
+def withhold_blocked(results: DataFrame, table_states: DataFrame) -> DataFrame:
+    """Take back what a blocked table never came to.
+
+    A table stopped before its checks ran has no violation counts; one stopped
+    later keeps them. Neither was reviewed.
+    """
+    stops = table_states.select("table_name", "blocked_at")
+    met = results.join(stops, "table_name", "left")
+    ran = F.col("blocked_at").isNull() | (F.col("blocked_at") > "G4")
+    return met.withColumns(
+        {
+            "violations": F.when(ran, F.col("violations")),
+            "status": F.when(
+                ran | (F.col("status") != "executed"), F.col("status")
+            ).otherwise("validated"),
+            "passed": F.when(F.col("blocked_at").isNull(), F.col("passed")),
+        }
+    ).select(*results.columns)
+
+
 def gate_changes(
     decisions: DataFrame,
     *,

@@ -30,6 +30,25 @@ def _text(*parts: object) -> Column:
     return F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
 
 
+def _violations(kind: Column | str) -> Column:
+    """Violation count of a derived rule, from the profile of its column.
+
+    Copies of a value beyond the first are the rows less the groups, NULL being
+    one group of its own.
+    """
+    groups = F.col("distinct_count") + (F.col("null_count") > 0).cast("bigint")
+    counts = {
+        "non_empty": (F.col("row_count") == 0).cast("bigint"),
+        "completeness": F.col("null_count"),
+        "uniqueness": F.col("row_count") - groups,
+        "email": F.col("miss_count"),
+        "non_negative": F.col("negative_count"),
+    }
+    if isinstance(kind, str):
+        return counts[kind]
+    return F.coalesce(*(F.when(kind == name, count) for name, count in counts.items()))
+
+
 def _rule(place: int, kind: str, category: str, column: Column, suffix: Column, says: Column):
     table = F.col("table_name")
     return F.struct(
@@ -41,11 +60,13 @@ def _rule(place: int, kind: str, category: str, column: Column, suffix: Column,
         F.lit(kind).alias("check_kind"),
         F.create_map().cast("map<string,string>").alias("params"),
         F.lit(THRESHOLDS[kind]).alias("threshold_pct"),
+        _violations(kind).alias("violations"),
+        F.col("row_count").alias("row_count"),
     )
 
 
-def derive_rules(column_profile: DataFrame) -> DataFrame:
-    """Rules that the profile calls for, in table, column and check order.
+def _candidates(column_profile: DataFrame) -> DataFrame:
+    """Rules that the profile calls for, with the counts it holds for them.
 
     The rule that a table must hold rows rides on its first column, so that no
     grouping is needed.
@@ -93,62 +114,48 @@ def derive_rules(column_profile: DataFrame) -> DataFrame:
             _rule(3, "non_negative", "validity", name, name, _text(name, " must be >= 0")),
         ),
     )
-    found = column_profile.select(
+    return column_profile.select(
         "table_name", F.inline(F.filter(candidates, lambda r: r.isNotNull()))
     )
-    return found.select(*RULES.fieldNames())
 
 
-def settle_rules(rules: DataFrame, column_profile: DataFrame) -> DataFrame:
-    """Violation counts of derived rules, taken from the profile they rest on.
+def derive_rules(column_profile: DataFrame) -> DataFrame:
+    """Rules that the profile calls for; `rule_seq` is their order in a table."""
+    return _candidates(column_profile).select(*RULES.fieldNames())
 
-    Copies of a value beyond the first are the rows less the groups, NULL being
-    one group of its own. A rule whose count the profile does not hold stays
-    `validated`, that is unchecked.
-    """
+
+def _as_results(counted: DataFrame) -> DataFrame:
+    """Result rows; a rule whose count the profile lacks stays unchecked."""
+    unknown = F.col("violations").isNull()
+    return counted.withColumns(
+        {
+            "validated": F.lit(True),
+            "status": F.when(unknown, "validated").otherwise("executed"),
+            "passed": F.lit(None).cast("boolean"),
+            "error_class": F.lit(None).cast("string"),
+            "last_error": F.lit(None).cast("string"),
+        }
+    ).select(*RULE_RESULTS.fieldNames())
+
+
+def derive_and_settle(column_profile: DataFrame) -> DataFrame:
+    """Derived rules with their violations, in one pass over the profile."""
+    return _as_results(_candidates(column_profile))
+
+
+def settle_rules(rules: DataFrame, column_profile: DataFrame) -> DataFrame:
+    """Violations of stored derived rules, from a newer profile."""
+    per_column = F.array(F.col("column_name"))
+    with_table = F.array(F.col("column_name"), F.lit(None).cast("string"))
     known = column_profile.select(
-        "table_name",
-        F.explode(
-            F.when(
-                F.col("ordinal") == 1, F.array(F.lit(None).cast("string"), F.col("column_name"))
-            ).otherwise(F.array("column_name"))
-        ).alias("column_name"),
+        F.col("table_name").alias("t"),
+        F.explode(F.when(F.col("ordinal") == 1, with_table).otherwise(per_column)).alias("c"),
         "row_count",
         "null_count",
         "distinct_count",
         "miss_count",
         "negative_count",
     )
-    nulls = (F.col("null_count") > 0).cast("bigint")
-    violations = (
-        F.when(F.col("check_kind") == "non_empty", (F.col("row_count") == 0).cast("bigint"))
-        .when(F.col("check_kind") == "completeness", F.col("null_count"))
-        .when(
-            F.col("check_kind") == "uniqueness",
-            F.col("row_count") - F.col("distinct_count") - nulls,
-        )
-        .when(F.col("check_kind") == "email", F.col("miss_count"))
-        .when(F.col("check_kind") == "non_negative", F.col("negative_count"))
-    )
-    here, there = rules.alias("r"), known.alias("p")
-    joined = here.join(
-        there,
-        (F.col("r.table_name") == F.col("p.table_name"))
-        & F.col("r.column_name").eqNullSafe(F.col("p.column_name")),
-        "left",
-    )
-    settled = joined.withColumns({"violations": violations}).select(
-        *(F.col(f"r.{n}") for n in RULES.fieldNames()),
-        "violations",
-        F.col("p.row_count").alias("row_count"),
-        F.when(F.col("violations").isNull(), "validated").otherwise("executed").alias("status"),
-        F.lit(None).cast("boolean").alias("passed"),
-        F.lit(None).cast("string").alias("error_class"),
-        F.lit(None).cast("string").alias("last_error"),
-    )
-    return settled.select(*RULE_RESULTS.fieldNames())
-
-
-def derive_and_settle(column_profile: DataFrame) -> DataFrame:
-    """Derived rules with their violations."""
-    return settle_rules(derive_rules(column_profile), column_profile)
+    same = (F.col("table_name") == F.col("t")) & F.col("column_name").eqNullSafe(F.col("c"))
+    met = rules.join(known, same, "left")
+    return _as_results(met.withColumn("violations", _violations(F.col("check_kind"))))

@@ -63,15 +63,25 @@ def rule_statements(results: DataFrame) -> DataFrame:
 
 
 def table_gates(
-    check_log: DataFrame, waivers: DataFrame | None = None, max_unresolved: int = 0
+    profile_log: DataFrame,
+    results: DataFrame,
+    waivers: DataFrame | None = None,
+    max_unresolved: int = 0,
 ) -> DataFrame:
-    """Gates G2 to G5 of every table in the log."""
-    checks = check_log.where(F.col("purpose") == "dq_check")
-    items = check_log.where(F.col("purpose") != "dq_check")
+    """Gates G2 to G5 of every table.
+
+    Rule checks pass G4 once they resolve; G5 looks at how they ran.
+    """
+    checks = rule_statements(results)
+    at_g4 = rule_statements(
+        results.withColumn(
+            "status", F.when(F.col("validated"), "validated").otherwise(F.col("status"))
+        )
+    )
     return G.all_gates(
-        G.gate_profile_execution(items, waivers),
-        G.gate_rule_generation(items, waivers),
-        G.gate_rule_execution(checks, waivers),
+        G.gate_profile_execution(profile_log, waivers),
+        G.gate_rule_generation(profile_log, waivers),
+        G.gate_rule_execution(at_g4, waivers),
         G.gate_review(checks, max_unresolved),
     )
 
@@ -98,11 +108,12 @@ def assess(
     results = derive_and_settle(profile)
     if catalogue is not None:
         results = results.unionByName(run_rules(spark, tables, catalogue))
-    judged = settle(judge(results))
-    log = profile_statements(manifest).unionByName(rule_statements(judged))
+    results = settle(judge(results))
     kept = waivers if waivers is not None else spark.createDataFrame([], WAIVERS)
-    decided = table_gates(log, kept, max_unresolved)
-    states = G.table_stage(decided)
+    items = profile_statements(manifest)
+    decided = table_gates(items, results, kept, max_unresolved)
+    states = settle(G.table_stage(decided))
+    judged = G.withhold_blocked(results, states)
     reviewed = states.where(F.col("stage") == "reviewed").select("table_name")
     table_reviews = reviews(
         reviewed,
@@ -110,4 +121,13 @@ def assess(
         profile.join(reviewed, "table_name", "left_semi"),
         kept,
     )
-    return Assessment(manifest, profile, judged, log, decided, states, table_reviews, kept)
+    return Assessment(
+        manifest=manifest,
+        column_profile=profile,
+        judged=judged,
+        check_log=items.unionByName(rule_statements(judged)),
+        gates=G.reached_gates(decided, states),
+        table_states=states,
+        reviews=table_reviews,
+        waivers=kept,
+    )

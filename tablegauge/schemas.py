@@ -107,11 +107,13 @@ RULES = _layout(
     threshold_pct=REAL,
 )
 
+# `validated` tells a rule that failed while running from one that never resolved.
 RULE_RESULTS = T.StructType(
     RULES.fields
     + _layout(
         violations=COUNT,
         row_count=COUNT,
+        validated=FLAG,
         status=TEXT,
         passed=FLAG,
         error_class=TEXT,
