@@ -77,10 +77,6 @@ def value_shape(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(value, "[0-9]", "9"), "[A-Za-z]", "A")
 
 
-def is_blank(value: Column) -> Column:
-    return F.trim(value) == F.lit("")
-
-
 def lint_column(sql: Column) -> Column:
     """`ok`, `bad_start`, `ddl_dml` or `multi` for each statement text."""
     text = F.coalesce(sql, F.lit(""))
@@ -137,7 +133,7 @@ def payload_digest(names: Sequence[str]) -> Column:
     return F.substring(F.sha2(payload, 256), 1, 12)
 
 
-def group_key(value: Column, is_text: bool) -> Column:
+def group_key_sql(value: str, is_text: bool) -> str:
     """Key that groups equal values while shuffling at most 64 bytes of text.
 
     Text of up to 48 bytes stands for itself; longer text is replaced by its
@@ -145,4 +141,4 @@ def group_key(value: Column, is_text: bool) -> Column:
     """
     if not is_text:
         return value
-    return F.when(F.octet_length(value) > 48, F.sha2(value, 256)).otherwise(value)
+    return f"CASE WHEN octet_length({value}) > 48 THEN sha2({value}, 256) ELSE {value} END"

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablegauge.functions.numbers import to_long_or
-from tablegauge.functions.text import condition_class, group_key, lint_column
-from tablegauge.operators.profile import col, email_miss, union_all
+from tablegauge.functions.text import condition_class, group_key_sql, lint_column
+from tablegauge.operators.profile import col, email_miss, ident, union_all
 from tablegauge.schemas import RULE_RESULTS, RULES
 from tablegauge.sources.tables import Tables
 
@@ -62,7 +62,7 @@ AGG_CHECKS: dict[str, Callable[[str, Params], Column]] = {
 
 def _keys(df: DataFrame, columns: Iterable[str]) -> list[Column]:
     return [
-        group_key(col(c), isinstance(df.schema[c].dataType, T.StringType)).alias(f"k{i}")
+        F.expr(group_key_sql(ident(c), isinstance(df.schema[c].dataType, T.StringType))).alias(f"k{i}")
         for i, c in enumerate(columns)
     ]
 

@@ -1,7 +1,7 @@
 """Column profiles.
 
 Counts, extremes and the name-driven validity counts of a table come from one
-aggregate over one scan. Exact distinct counts come from further passes of a
+scan, split in two aggregates by column type. Exact distinct counts come from further passes of a
 few columns each: a pass expands every row once per column, so few columns keep
 the expanded rows narrow, and column pruning keeps the bytes read in total
 close to one more scan.
@@ -9,6 +9,7 @@ close to one more scan.
 
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +17,7 @@ from pyspark.sql import types as T
 
 from tablegauge.functions.numbers import one_decimal_text, share_pct
 from tablegauge.functions.text import (
-    group_key,
-    is_blank,
+    group_key_sql,
     or_missing,
     shorten,
     value_shape,
@@ -32,9 +32,19 @@ NON_NEGATIVE_NAMES = ("amount", "price", "qty", "quantity", "total")
 # Fragments of free-text type names that mean a number.
 NUMERIC_HINTS = ("int", "num", "real", "dec", "float", "double", "money")
 
+_KEYS = ("table_name", "ordinal", "column_name", "dtype", "nullable")
+_FLAT = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 _SPARK_NUMERIC = r"^(tinyint|smallint|int|bigint|float|double|decimal\(.*\))$"
 
 
+class Field(NamedTuple):
+    """A column with its place in the profile."""
+
+    ordinal: int
+    column: T.StructField
+    nullable: bool
+
+
 def union_all(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -62,6 +72,10 @@ def _countable(dtype: T.DataType) -> bool:
     return not isinstance(dtype, (T.VariantType, T.CalendarIntervalType))
 
 
+def _sketchable(dtype: T.DataType) -> bool:
+    return _countable(dtype) and not isinstance(dtype, T.MapType)
+
+
 def _is_text(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.StringType, T.CharType, T.VarcharType))
 
@@ -72,7 +86,7 @@ def _fraction(dtype: T.DataType) -> bool:
 
 def col(name: str) -> Column:
     """Reference a column by its plain name, whatever characters it holds."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(ident(name))
 
 
 def wants_email(name: str) -> bool:
@@ -94,96 +108,110 @@ def _null(type_name: str) -> Column:
     return F.lit(None).cast(type_name)
 
 
-def _base_metrics(field: T.StructField, rsd: float | None) -> dict[str, Column]:
+def ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+# Aggregates are given as SQL text: a wide schema has hundreds of them, and one
+# call per table hands them all over.
+def _base_metrics(field: T.StructField, rsd: float | None) -> dict[str, str]:
     """Aggregates of one column, by profile field."""
-    value, dtype = col(field.name), field.dataType
-    metrics = {"null_count": F.count_if(value.isNull())}
+    value, dtype = ident(field.name), field.dataType
+    metrics = {"null_count": f"count_if({value} IS NULL)"}
     if isinstance(dtype, T.NumericType):
-        exact = value + F.lit(0.0) if _fraction(dtype) else value
-        low, high = F.min(exact), F.max(exact)
-        metrics |= {"min_num": low.cast("double"), "max_num": high.cast("double")}
-        if not _fraction(dtype):
-            metrics |= {"min_str": low.cast("string"), "max_str": high.cast("string")}
-    elif _orderable(dtype):
-        metrics |= {
-            "min_str": F.min(value).cast("string"),
-            "max_str": F.max(value).cast("string"),
-        }
+        exact = f"{value} + 0.0D" if _fraction(dtype) else value
+        metrics["min_num"] = f"CAST(min({exact}) AS DOUBLE)"
+        metrics["max_num"] = f"CAST(max({exact}) AS DOUBLE)"
+    if _orderable(dtype) and not _fraction(dtype):
+        metrics["min_str"] = f"CAST(min({value}) AS STRING)"
+        metrics["max_str"] = f"CAST(max({value}) AS STRING)"
     if _is_text(dtype):
-        metrics["blank_count"] = F.count_if(is_blank(value))
+        metrics["blank_count"] = f"count_if(trim({value}) = '')"
     if wants_email(field.name):
-        metrics["miss_count"] = F.count_if(email_miss(value))
+        metrics["miss_count"] = (
+            f"count_if({value} IS NOT NULL AND CAST({value} AS STRING) NOT LIKE '{EMAIL_LIKE}')"
+        )
     if wants_non_negative(field.name, dtype):
-        metrics["negative_count"] = F.count_if(value < 0)
-    if rsd is not None and _countable(dtype) and not isinstance(dtype, T.MapType):
-        metrics["distinct_count"] = F.approx_count_distinct(value, rsd)
+        metrics["negative_count"] = f"count_if({value} < 0)"
+    if rsd is not None and _sketchable(dtype):
+        metrics["distinct_count"] = f"approx_count_distinct({value}, {rsd})"
     return metrics
 
 
-_METRICS = (
-    "row_count",
-    "null_count",
-    "distinct_count",
-    "min_num",
-    "max_num",
-    "min_str",
-    "max_str",
-    "blank_count",
-    "miss_count",
-    "negative_count",
-)
-_METRIC_TYPE = {f.name: f.dataType.simpleString() for f in COLUMN_PROFILE.fields}
+_METRIC_TYPE = {
+    f.name: f.dataType.simpleString() for f in COLUMN_PROFILE.fields if f.name not in _KEYS
+}
 
 
 def _long(
-    one_row: DataFrame,
-    fields: Sequence[tuple[int, T.StructField]],
-    built: Mapping[int, Iterable[str]],
+    df: DataFrame,
+    table_name: str,
+    fields: Sequence[Field],
+    metrics: Mapping[int, Mapping[str, str]],
+    rows: str | None,
 ) -> DataFrame:
-    """Turn one row of aggregates into one row per column."""
+    """Compute aggregates in one go and give one row per column."""
+    aggregates = [f"{rows} AS row_count"] if rows else []
     structs = []
-    for ordinal, _ in fields:
-        cells = [F.lit(ordinal).alias("ordinal")]
-        for name in _METRICS:
-            if name == "row_count" and "row_count" in one_row.columns:
-                cell = F.col("row_count")
-            elif name in built[ordinal]:
-                cell = F.col(f"m{ordinal}_{name}")
+    for field in fields:
+        built = metrics[field.ordinal]
+        aggregates += [f"{agg} AS m{field.ordinal}_{name}" for name, agg in built.items()]
+        cells = [
+            f"'table_name', {_text(table_name)}",
+            f"'ordinal', {field.ordinal}",
+            f"'column_name', {_text(field.column.name)}",
+            f"'dtype', {_text(field.column.dataType.simpleString())}",
+            f"'nullable', {str(field.nullable).lower()}",
+        ]
+        for name, type_name in _METRIC_TYPE.items():
+            if name in built:
+                cell = f"m{field.ordinal}_{name}"
+            elif name == "row_count" and rows:
+                cell = "row_count"
             else:
-                cell = F.lit(None)
-            cells.append(cell.cast(_METRIC_TYPE[name]).alias(name))
-        structs.append(F.struct(*cells))
-    return one_row.select(F.inline(F.array(*structs)))
+                cell = f"CAST(NULL AS {type_name})"
+            cells.append(f"'{name}', {cell}")
+        structs.append(f"named_struct({', '.join(cells)})")
+    return df.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(structs)}))")
 
 
 def base_profile(
-    df: DataFrame, fields: Sequence[tuple[int, T.StructField]], rsd: float | None
-) -> DataFrame:
-    """Every metric that needs no grouping, from one scan."""
-    built = {ordinal: _base_metrics(field, rsd) for ordinal, field in fields}
-    aggregates = [F.count(F.lit(1)).alias("row_count")]
-    for ordinal, metrics in built.items():
-        aggregates += [agg.alias(f"m{ordinal}_{name}") for name, agg in metrics.items()]
-    return _long(df.agg(*aggregates), fields, built)
+    df: DataFrame, table_name: str, fields: Sequence[Field], rsd: float | None
+) -> list[DataFrame]:
+    """Every metric that needs no grouping; each column is read once.
+
+    Extremes of text and nested values keep Spark from aggregating in place, so
+    those columns have a pass of their own and do not slow down the others.
+    """
+    flat = [f for f in fields if isinstance(f.column.dataType, _FLAT)]
+    other = [f for f in fields if f not in flat]
+    return [
+        _long(df, table_name, part, {f.ordinal: _base_metrics(f.column, rsd) for f in part}, "count(1)")
+        for part in (flat, other)
+        if part
+    ]
 
 
 def exact_distinct(
-    df: DataFrame, fields: Sequence[tuple[int, T.StructField]], columns_per_pass: int
+    df: DataFrame, table_name: str, fields: Sequence[Field], columns_per_pass: int
 ) -> list[DataFrame]:
     """Exact distinct counts, a few columns to a pass; NULL is not counted."""
-    countable = [(o, f) for o, f in fields if _countable(f.dataType)]
+    countable = [f for f in fields if _countable(f.column.dataType)]
     passes = []
     for start in range(0, len(countable), columns_per_pass):
         batch = countable[start : start + columns_per_pass]
-        counts = df.agg(
-            *(
-                F.count_distinct(group_key(col(f.name), _is_text(f.dataType))).alias(
-                    f"m{o}_distinct_count"
-                )
-                for o, f in batch
-            )
-        )
-        passes.append(_long(counts, batch, {o: ("distinct_count",) for o, _ in batch}))
+        metrics = {
+            f.ordinal: {
+                "distinct_count": "count(DISTINCT "
+                f"{group_key_sql(ident(f.column.name), _is_text(f.column.dataType))})"
+            }
+            for f in batch
+        }
+        passes.append(_long(df, table_name, batch, metrics, None))
     return passes
 
 
@@ -218,20 +246,32 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
     return union_all(frames)
 
 
-def _pack_top(top: DataFrame, ordinals: Mapping[str, int]) -> DataFrame:
-    pairs = F.create_map(*[F.lit(x) for item in ordinals.items() for x in item])
-    packed = top.groupBy("column_name").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("t")
+def _top_part(df: DataFrame, table_name: str, fields: Sequence[Field], k: int) -> DataFrame:
+    """Top values as a profile part; a list holds at most `k` entries."""
+    by_name = {f.column.name: f for f in fields}
+    packed = (
+        top_values(df, list(by_name), k)
+        .groupBy("column_name")
+        .agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("t"))
     )
-    return packed.select(
-        pairs[F.col("column_name")].alias("ordinal"),
-        F.transform("t", lambda s: F.struct(s["value"].alias("value"), s["n"].alias("n"))).alias(
+    keys = [F.lit(x) for f in fields for x in (f.column.name, f.ordinal)]
+    types = [F.lit(x) for f in fields for x in (f.column.name, f.column.dataType.simpleString())]
+    open_to_null = [F.lit(x) for f in fields for x in (f.column.name, f.nullable)]
+    found = packed.select(
+        F.lit(table_name).alias("table_name"),
+        F.create_map(*keys)[F.col("column_name")].alias("ordinal"),
+        "column_name",
+        F.create_map(*types)[F.col("column_name")].alias("dtype"),
+        F.create_map(*open_to_null)[F.col("column_name")].alias("nullable"),
+        F.transform("t", lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n"))).alias(
             "top_values"
         ),
     )
+    blank = {m: _null(t) for m, t in _METRIC_TYPE.items() if m != "top_values"}
+    return found.withColumns(blank)
 
 
-def profile_table(
+def _profile_parts(
     df: DataFrame,
     table_name: str,
     *,
@@ -242,56 +282,45 @@ def profile_table(
     top_k: int = 0,
     top_columns: Sequence[str] | None = None,
     columns_per_pass: int = 4,
-) -> DataFrame:
-    """Profile of one table, one row per column.
-
-    `mode` is `exact`, `approx` (distinct counts by sketch with relative error
-    `rsd`, all in the one scan) or `none` (no distinct counts).
-    """
+) -> list[DataFrame]:
     if mode not in ("exact", "approx", "none"):
         raise ValueError(f"unknown profile mode {mode!r}")
-    wanted = list(columns) if columns is not None else df.columns
-    fields = list(enumerate((df.schema[c] for c in wanted), start=1))
-    parts = [base_profile(df, fields, rsd if mode == "approx" else None)]
+    schema, declared = df.schema, set(not_null)
+    fields = [
+        Field(i, schema[name], schema[name].nullable and name not in declared)
+        for i, name in enumerate(columns if columns is not None else schema.names, start=1)
+    ]
+    parts = base_profile(df, table_name, fields, rsd if mode == "approx" else None)
     if mode == "exact":
-        parts += exact_distinct(df, fields, columns_per_pass)
-    parts = [p.withColumn("top_values", _null(_METRIC_TYPE["top_values"])) for p in parts]
+        parts += exact_distinct(df, table_name, fields, columns_per_pass)
     if top_k:
-        names = [c for c in (top_columns or wanted) if _orderable(df.schema[c].dataType)]
-        ordinals = {f.name: o for o, f in fields if f.name in names}
-        top = _pack_top(top_values(df, list(ordinals), top_k), ordinals)
-        blank = {m: _null(_METRIC_TYPE[m]) for m in _METRICS}
-        parts.append(top.withColumns(blank))
+        wanted = set(top_columns) if top_columns is not None else set(schema.names)
+        shown = [f for f in fields if f.column.name in wanted and _orderable(f.column.dataType)]
+        parts.append(_top_part(df, table_name, shown, top_k))
+    return parts
+
+
+def _merge(parts: Sequence[DataFrame]) -> DataFrame:
+    """Bring the parts of each column together; every metric has one source."""
     merged = union_all(parts)
     if len(parts) > 1:
-        merged = merged.groupBy("ordinal").agg(
-            *(F.any_value(m, ignoreNulls=True).alias(m) for m in (*_METRICS, "top_values"))
+        merged = merged.groupBy(*_KEYS).agg(
+            *(F.any_value(m, ignoreNulls=True).alias(m) for m in _METRIC_TYPE)
         )
-    declared = set(not_null)
-    about = F.create_map(
-        *[
-            x
-            for o, f in fields
-            for x in (
-                F.lit(o),
-                F.struct(
-                    F.lit(f.name).alias("column_name"),
-                    F.lit(f.dataType.simpleString()).alias("dtype"),
-                    F.lit(f.nullable and f.name not in declared).alias("nullable"),
-                ),
-            )
-        ]
-    )
-    described = merged.withColumn("about", about[F.col("ordinal")])
-    return described.select(
-        F.lit(table_name).alias("table_name"),
-        F.col("ordinal").cast("int").alias("ordinal"),
-        "about.column_name",
-        "about.dtype",
-        "about.nullable",
-        *_METRICS,
-        "top_values",
-    )
+    return merged.select(*COLUMN_PROFILE.fieldNames())
+
+
+def profile_table(df: DataFrame, table_name: str, **options: object) -> DataFrame:
+    """Profile of one table, one row per column.
+
+    Options: `mode` is `exact`, `approx` (distinct counts by sketch with
+    relative error `rsd`, all in the one scan) or `none` (no distinct counts);
+    `columns` restricts and orders the columns; `not_null` names columns
+    declared NOT NULL; `top_k` adds the most frequent values of all or of
+    `top_columns`; `columns_per_pass` sets how many columns one pass of exact
+    distinct counts takes.
+    """
+    return _merge(_profile_parts(df, table_name, **options))
 
 
 def profile_schema(
@@ -302,10 +331,10 @@ def profile_schema(
 ) -> DataFrame:
     """Profiles of all tables in one frame; the tables' jobs run side by side."""
     declared = not_null or {}
-    return union_all(
-        profile_table(df, name, not_null=declared.get(name, ()), **options)
-        for name, df in sorted(tables.items())
-    )
+    parts = []
+    for name, df in sorted(tables.items()):
+        parts += _profile_parts(df, name, not_null=declared.get(name, ()), **options)
+    return _merge(parts)
 
 
 def null_shares(column_profile: DataFrame) -> DataFrame:
