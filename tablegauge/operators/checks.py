@@ -1,25 +1,30 @@
 """Violation counts of rules against the tables.
 
 All row predicates and aggregates of a table are counted in one scan. Rules
-that group or join bring their own small frame, pre-aggregated before each
-shuffle, and everything is united into one job.
+that group or join have a frame of their own, pre-aggregated before each
+shuffle.
 """
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.util import inheritable_thread_target
 
 from tablegauge.functions.numbers import to_long_or
 from tablegauge.functions.text import condition_class, group_key_sql, lint_column
 from tablegauge.operators.profile import col, email_miss, ident, union_all
 from tablegauge.schemas import RULE_RESULTS, RULES
-from tablegauge.sources.tables import Tables
+from tablegauge.sources.tables import Tables, row_counts
 
 Params = Mapping[str, str]
 LIST_SEPARATOR = "|"
+PARALLEL_UNITS = 8
+# Position under which a fused frame reports the rows of its table.
+ROWS = 1_000_000
 
 
 # Row predicates: true for a violating row; NULL and false both pass.
@@ -205,8 +210,8 @@ def _count_frame(rule: Row, tables: Tables, lint: str) -> DataFrame:
 
 
 def _fused_frame(rules: Sequence[tuple[int, Row]], df: DataFrame) -> DataFrame:
-    """All row and aggregate checks of a table from one scan."""
-    aggregates = [F.count(F.lit(1)).alias("row_count")]
+    """All row and aggregate checks of a table from one scan, and its row count."""
+    aggregates = [F.count(F.lit(1)).alias(f"v{ROWS}")]
     for i, rule in rules:
         p = rule.params or {}
         if rule.check_kind in ROW_CHECKS:
@@ -214,10 +219,8 @@ def _fused_frame(rules: Sequence[tuple[int, Row]], df: DataFrame) -> DataFrame:
         else:
             hit = AGG_CHECKS[rule.check_kind](rule.column_name, p)
         aggregates.append(hit.cast("bigint").alias(f"v{i}"))
-    cells = [
-        F.struct(F.lit(i).alias("pos"), F.col(f"v{i}").alias("violations")) for i, _ in rules
-    ]
-    return df.agg(*aggregates).select(F.inline(F.array(*cells)))
+    cells = [f"named_struct('pos', {i}, 'violations', v{i})" for i in (ROWS, *(i for i, _ in rules))]
+    return df.agg(*aggregates).selectExpr(f"inline(array({', '.join(cells)}))")
 
 
 def _fusable(rule: Row) -> bool:
@@ -225,7 +228,11 @@ def _fusable(rule: Row) -> bool:
 
 
 class _Batch:
-    """Rules of a run that passed the dry run, and those that did not."""
+    """Rules of a run that passed the dry run, and those that did not.
+
+    The rules are counted in units: all fusable rules of a table together,
+    every other rule by itself.
+    """
 
     def __init__(self, tables: Tables, rules: Sequence[Row]):
         self.tables = tables
@@ -238,32 +245,47 @@ class _Batch:
             except (PySparkException, ValueError, KeyError) as error:
                 self.failed[i] = error
 
-    def frame(self, positions: Sequence[int]) -> DataFrame:
-        """One frame `(pos, violations)` for the given rules."""
-        fused: dict[str, list[tuple[int, Row]]] = {}
-        frames = []
-        for i in positions:
-            rule = self.rules[i]
-            if _fusable(rule):
-                fused.setdefault(rule.table_name, []).append((i, rule))
+    def units(self) -> list[list[int]]:
+        fused: dict[str, list[int]] = {}
+        single = []
+        for i in self.frames:
+            if _fusable(self.rules[i]):
+                fused.setdefault(self.rules[i].table_name, []).append(i)
             else:
-                frames.append(self.frames[i].select(F.lit(i).alias("pos"), "violations"))
-        frames += [_fused_frame(group, self.tables[t]) for t, group in fused.items()]
-        return union_all(frames)
-
-    def count(self, positions: Sequence[int]) -> dict[int, int]:
-        """Count the given rules, halving the batch around a failing one."""
-        if not positions:
-            return {}
+                single.append([i])
+        return list(fused.values()) + single
+
+    def frame(self, unit: Sequence[int]) -> DataFrame:
+        """Counts `(pos, violations)` of a unit, and its table's rows if known."""
+        first = self.rules[unit[0]]
+        if _fusable(first):
+            return _fused_frame([(i, self.rules[i]) for i in unit], self.tables[first.table_name])
+        return self.frames[unit[0]].select(F.lit(unit[0]).alias("pos"), "violations")
+
+    def count(self, unit: Sequence[int]) -> dict[int, int]:
+        """Count a unit; around a rule that fails while running it is halved."""
         try:
             # One row per rule comes back.
-            return {r.pos: r.violations for r in self.frame(positions).collect()}
+            found = {r.pos: r.violations for r in self.frame(unit).collect()}
         except PySparkException as error:
-            if len(positions) == 1:
-                self.failed[positions[0]] = error
+            if len(unit) == 1:
+                self.failed[unit[0]] = error
                 return {}
-        middle = len(positions) // 2
-        return self.count(positions[:middle]) | self.count(positions[middle:])
+            middle = len(unit) // 2
+            return self.count(unit[:middle]) | self.count(unit[middle:])
+        return found
+
+    def run(self, spark: SparkSession) -> tuple[dict[int, int], dict[str, int]]:
+        """Violations per rule and rows per table; units run side by side."""
+        units = self.units()
+        with ThreadPoolExecutor(max_workers=PARALLEL_UNITS) as pool:
+            found = list(pool.map(inheritable_thread_target(spark)(self.count), units))
+        sizes, counts = {}, {}
+        for unit, numbers in zip(units, found):
+            if ROWS in numbers:
+                sizes[self.rules[unit[0]].table_name] = numbers.pop(ROWS)
+            counts |= numbers
+        return counts, sizes
 
 
 def _rule_rows(rules: DataFrame) -> list[Row]:
@@ -276,14 +298,6 @@ def _rule_rows(rules: DataFrame) -> list[Row]:
     )
 
 
-def _row_counts(tables: Tables, names: Iterable[str]) -> dict[str, int]:
-    counted = [
-        tables[n].agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("t"), "n")
-        for n in sorted(set(names) & set(tables))
-    ]
-    return {r.t: r.n for r in union_all(counted).collect()} if counted else {}
-
-
 def run_rules(spark: SparkSession, tables: Tables, rules: DataFrame) -> DataFrame:
     """Run every rule and report counts, row counts and failures.
 
@@ -293,8 +307,11 @@ def run_rules(spark: SparkSession, tables: Tables, rules: DataFrame) -> DataFram
     """
     rows = _rule_rows(rules)
     batch = _Batch(tables, rows)
-    counted = batch.count(list(batch.frames))
-    sizes = _row_counts(tables, (r.table_name for r in rows))
+    counted, sizes = batch.run(spark)
+    unknown = {r.table_name for r in rows} & set(tables) - set(sizes)
+    if unknown:
+        rest = row_counts({t: tables[t] for t in unknown}).collect()
+        sizes |= {r.table_name: r.row_count for r in rest}
     results = []
     for i, rule in batch.rules.items():
         error = batch.failed.get(i)
@@ -321,7 +338,8 @@ def rule_counts(tables: Tables, rules: Sequence[Row]) -> DataFrame:
     names = F.create_map(
         *[x for i, r in batch.rules.items() for x in (F.lit(i), F.lit(r.rule_id))]
     )
-    return batch.frame(list(batch.frames)).select(
+    found = union_all(batch.frame(unit) for unit in batch.units())
+    return found.where(F.col("pos") != ROWS).select(
         names[F.col("pos")].alias("rule_id"), "violations"
     )
 
