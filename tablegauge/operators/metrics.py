@@ -4,6 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablegauge.functions.numbers import to_long_or
@@ -98,39 +99,57 @@ def summarise_metrics(results: DataFrame, k: int = 5) -> DataFrame:
     """Profile summary per table and column from executed metric results.
 
     Of several results for one purpose the last one counts. `min_max` may come
-    as two cells or one; `top_values` rows are `(value, n)`.
+    as two cells or one; `top_values` rows are `(value, n)`, of which the summary
+    shows the first `k`.
     """
     done = results.where(F.col("status") == "executed")
     first = F.try_element_at("cells", F.lit(1))
     second = F.try_element_at("cells", F.lit(2))
-    count = to_long_or(first, results.schema["cells"].dataType.elementType, None)
+    cell_type = results.schema["cells"].dataType.elementType
+    count = to_long_or(first, cell_type, None)
+    pair = F.size("cells") >= 2
+    ranges = F.col("purpose").isin("min_max", "min", "max")
 
-    def latest(value: Column, *purposes: str) -> Column:
-        fits = F.col("purpose").isin(*purposes)
+    def latest(value: Column, fits: Column) -> Column:
         return F.max_by(value, F.when(fits, F.col("seq")))
 
-    pair = F.size("cells") >= 2
-    ranges = ("min_max", "min", "max")
-    rows = done.where(F.col("purpose") == "row_count").groupBy("table_name").agg(
-        F.max_by(count, "seq").alias("row_count")
+    def counted(purpose: str) -> Column:
+        return latest(count, F.col("purpose") == purpose)
+
+    rows = (
+        done.where(F.col("purpose") == "row_count")
+        .groupBy("table_name")
+        .agg(F.max_by(count, "seq").alias("row_count"))
+    )
+    of_columns = done.where((F.col("purpose") != "row_count") & F.col("column_name").isNotNull())
+    columns = of_columns.groupBy("table_name", "column_name").agg(
+        counted("null_count").alias("null_count"),
+        counted("distinct").alias("distinct_count"),
+        latest(first, ranges & pair).alias("min_value"),
+        latest(second, ranges & pair).alias("max_value"),
+        latest(first, ranges & ~pair).alias("min_max"),
+        counted("blank_count").alias("blank_count"),
+    )
+    order = W.partitionBy("table_name", "column_name").orderBy(
+        F.desc("seq"), F.desc("n"), F.asc("value")
     )
-    columns = (
-        done.where((F.col("purpose") != "row_count") & F.col("column_name").isNotNull())
-        .where(F.col("purpose") != "top_values")
+    listed = of_columns.where(F.col("purpose") == "top_values").select(
+        "table_name", "column_name", "seq", first.alias("value"),
+        to_long_or(second, cell_type, None).alias("n"),
+    )
+    tops = (
+        listed.withColumn("place", F.row_number().over(order))
+        .where(F.col("place") <= k)
         .groupBy("table_name", "column_name")
-        .agg(
-            latest(count, "null_count").alias("null_count"),
-            latest(count, "distinct").alias("distinct_count"),
-            F.max_by(first, F.when(F.col("purpose").isin(*ranges) & pair, F.col("seq"))).alias(
-                "min_value"
-            ),
-            F.max_by(second, F.when(F.col("purpose").isin(*ranges) & pair, F.col("seq"))).alias(
-                "max_value"
+        .agg(F.sort_array(F.collect_list(F.struct("place", "value", "n"))).alias("t"))
+        .select(
+            "table_name",
+            "column_name",
+            F.transform("t", lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n"))).alias(
+                "top_values"
             ),
-            F.max_by(first, F.when(F.col("purpose").isin(*ranges) & ~pair, F.col("seq"))).alias(
-                "min_max"
-            ),
-            latest(count, "blank_count").alias("blank_count"),
         )
     )
-    return columns.join(rows, "table_name", "left")
+    return columns.join(tops, ["table_name", "column_name"], "left").join(
+        rows, "table_name", "left"
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.functions.numbers import one_decimal, score_pct, thousands
-from tablegauge.functions.text import log_second, shorten, table_cell
+from tablegauge.functions.text import log_second, table_cell
 from tablegauge.operators.gates import gate_changes
 from tablegauge.operators.verdict import (
     category_scores,
@@ -310,22 +310,3 @@ def run_summary(
         F.coalesce(F.array_join("g", ", "), F.lit("")).alias("gates"),
     )
 
-
-__all__ = [
-    "category_averages",
-    "check_repairs",
-    "gate_timeline",
-    "governance_summary",
-    "health_cards",
-    "kpis",
-    "priority_actions",
-    "recommendations",
-    "rule_log",
-    "run_summary",
-    "score_band",
-    "score_bands",
-    "scorecard",
-    "search_rules",
-    "shorten",
-    "table_rows",
-]

@@ -26,6 +26,7 @@ class Assessment:
     judged: DataFrame
     check_log: DataFrame
     gates: DataFrame
+    final_gate: DataFrame
     table_states: DataFrame
     reviews: DataFrame
     waivers: DataFrame
@@ -103,6 +104,8 @@ def assess(
     after works on frames with a row per column, rule or statement. The profile
     and the rule results are stored once in the shared folder and reused.
     """
+    if not tables:
+        raise ValueError(f"no tables discovered in schema '{schema_name}'")
     manifest = discover(spark, tables, schema_name, not_null=not_null)
     profile = settle(profile_schema(tables, not_null=not_null, **profile_options))
     results = derive_and_settle(profile)
@@ -126,7 +129,10 @@ def assess(
         column_profile=profile,
         judged=judged,
         check_log=items.unionByName(rule_statements(judged)),
-        gates=G.reached_gates(decided, states),
+        gates=G.all_gates(
+            G.gate_connection(manifest, schema_name), G.reached_gates(decided, states)
+        ),
+        final_gate=G.gate_final(states),
         table_states=states,
         reviews=table_reviews,
         waivers=kept,

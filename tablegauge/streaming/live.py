@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tablegauge.operators.checks import ROW_CHECKS
@@ -30,13 +31,23 @@ def live_activity(events: DataFrame) -> DataFrame:
 
 
 def write_running_counts(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the folder at the latest complete counts."""
+    """Write the complete counts after each micro-batch."""
+    return _write_batches(counts, "complete", path, checkpoint)
 
+
+def latest_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The counts as of the last micro-batch."""
+    found = spark.read.parquet(path)
+    last = found.agg(F.max("batch_id")).scalar()
+    return found.where(F.col("batch_id") == last).drop("batch_id")
+
+
+def _write_batches(df: DataFrame, mode: str, path: str, checkpoint: str) -> StreamingQuery:
     def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (
-        counts.writeStream.outputMode("complete")
+        df.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(replace)
@@ -76,7 +87,7 @@ def write_batch_violations(
     def check(batch: DataFrame, batch_id: int) -> None:
         counted = batch.agg(F.count(F.lit(1)).alias("row_count"), *_counts(sound))
         found = _unpivot(counted, (), sound)
-        found.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        found.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (
         stream.writeStream.option("checkpointLocation", checkpoint)
@@ -86,6 +97,14 @@ def write_batch_violations(
     )
 
 
+def _instant(stream: DataFrame, name: str) -> Column:
+    """Event time as an instant; a time without a zone is taken as UTC."""
+    if isinstance(stream.schema[name].dataType, T.TimestampNTZType):
+        local = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(name))
+        return local.cast("timestamp")
+    return F.col(name).cast("timestamp")
+
+
 def windowed_violations(
     stream: DataFrame, rules: Sequence[Row], ts: str, width: str, lateness: str
 ) -> DataFrame:
@@ -95,29 +114,19 @@ def windowed_violations(
     windows still open.
     """
     sound = _row_rules(rules)
-    timed = stream.withColumn("event_time", F.col(ts).cast("timestamp"))
     counted = (
-        timed.withWatermark("event_time", lateness)
+        stream.withColumn("event_time", _instant(stream, ts))
+        .withWatermark("event_time", lateness)
         .groupBy(F.window("event_time", width).alias("w"))
         .agg(F.count(F.lit(1)).alias("row_count"), *_counts(sound))
-        .select(F.col("w.start").alias("window_start"), "row_count", *[f"v{i}" for i in range(len(sound))])
+        .withColumn("window_start", F.col("w.start"))
     )
     return _unpivot(counted, ("window_start",), sound)
 
 
 def write_windows(windows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Current counts of every open window; read the last batch of each window."""
-
-    def check(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    return (
-        windows.writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(check)
-        .start()
-    )
+    """Write the windows that each micro-batch changed."""
+    return _write_batches(windows, "update", path, checkpoint)
 
 
 def latest_windows(spark: SparkSession, path: str) -> DataFrame:

@@ -26,7 +26,7 @@ def test_counts_grow_with_the_log(spark, tmp_path):
     def run():
         counts = live.live_activity(live.stream_audit(spark, log, files_per_batch=1))
         live.write_running_counts(counts, out, progress).awaitTermination()
-        return {(r.agent, r.outcome): r.n for r in spark.read.parquet(out).collect()}
+        return {(r.agent, r.outcome): r.n for r in live.latest_counts(spark, out).collect()}
 
     assert run() == {("a", "ok"): 2, ("b", "error"): 1}
     append_audit(spark.createDataFrame([("a", "ok"), ("c", "ok")], layout), log)
@@ -50,7 +50,16 @@ def test_batches_are_checked_once(spark, tmp_path):
     assert spark.read.parquet(out).select("batch_id").distinct().count() == 2
 
 
-def test_windows_follow_event_time(spark, tmp_path):
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles"])
+def test_windows_follow_event_time(spark, tmp_path, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        _check_windows(spark, tmp_path)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def _check_windows(spark, tmp_path):
     source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
     feed(spark, source, (1, 1, 2), (5, 50, None))
     schema = spark.read.parquet(source).schema
@@ -59,7 +68,7 @@ def test_windows_follow_event_time(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(source)
         windows = live.windowed_violations(stream, RULES, "ts", "1 day", "2 days")
         live.write_windows(windows, out, progress).awaitTermination()
-        found = live.latest_windows(spark, out).withColumn("day", F.dayofmonth("window_start"))
+        found = live.latest_windows(spark, out).withColumn("day", F.dayofmonth(F.to_utc_timestamp("window_start", F.current_timezone())))
         return {(r.day, r.rule_id): (r.row_count, r.violations) for r in found.collect()}
 
     assert run() == {(1, "low"): (2, 1), (1, "null"): (2, 0), (2, "low"): (1, 0), (2, "null"): (1, 1)}

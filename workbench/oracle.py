@@ -360,7 +360,9 @@ FROM orders""",
 oracle(
     "metric_summary",
     """SELECT 'orders' AS table_name, column_name, null_count, distinct_count, min_value, max_value,
-  min_max, blank_count, (SELECT count(*) FROM orders) AS row_count FROM (
+  min_max, blank_count, (SELECT count(*) FROM orders) AS row_count,
+  CASE WHEN column_name = 'o_orderpriority' THEN (SELECT string_agg(concat(value, '=',
+    CAST(n AS VARCHAR)), ',' ORDER BY rank) FROM tops) END AS top_values FROM (
 SELECT 'o_custkey' AS column_name, count(*) FILTER (o_custkey IS NULL) AS null_count,
   CAST(NULL AS BIGINT) AS distinct_count, CAST(NULL AS VARCHAR) AS min_value,
   CAST(NULL AS VARCHAR) AS max_value, CAST(NULL AS VARCHAR) AS min_max,
@@ -371,6 +373,7 @@ UNION ALL SELECT 'o_orderkey', NULL, NULL, CAST(min(o_orderkey) AS VARCHAR),
   CAST(max(o_orderkey) AS VARCHAR), NULL, NULL FROM orders
 UNION ALL SELECT 'o_orderpriority', NULL, NULL, NULL, NULL, min(o_orderpriority), NULL
 FROM orders)""",
+    "tops AS (" + _top("orders", "o_orderpriority", k=3) + ")",
 )
 oracle(
     "scalar_coercion",

@@ -220,7 +220,8 @@ def custom_metrics(spark, folder):
 @register
 def metric_summary(spark, folder):
     found = metrics.custom_metrics(views(spark, folder, "orders"), METRICS)
-    return metrics.summarise_metrics(found)
+    shown = F.transform("top_values", lambda x: F.concat_ws("=", x["value"], x["n"]))
+    return metrics.summarise_metrics(found).withColumn("top_values", F.array_join(shown, ","))
 
 
 @register
@@ -604,7 +605,7 @@ def gate_g6(spark, folder):
 
 @register
 def report_mode(spark, folder):
-    return gates.report_mode(gates.gate_final(_assessed(spark, folder).table_states))
+    return gates.report_mode(_assessed(spark, folder).final_gate)
 
 
 def _log_states(spark: SparkSession, folder: str) -> DataFrame:
@@ -874,7 +875,7 @@ def stream_audit_counts(spark, folder):
     counts = live.live_activity(live.stream_audit(spark, log))
     query = live.write_running_counts(counts, out, run_folder(spark, "progress"))
     query.awaitTermination()
-    return spark.read.parquet(out)
+    return live.latest_counts(spark, out)
 
 
 STREAM_RULES = (
@@ -912,7 +913,8 @@ def stream_windows(spark, folder):
     )
     live.write_windows(windows, out, run_folder(spark, "progress")).awaitTermination()
     found = live.latest_windows(spark, out)
-    return found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+    start = F.to_utc_timestamp("window_start", F.current_timezone())
+    return found.withColumn("window_start", F.date_format(start, "yyyy-MM-dd"))
 
 
 # ---- flagship ---------------------------------------------------------------
