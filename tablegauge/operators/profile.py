@@ -282,7 +282,8 @@ def _profile_parts(
     top_k: int = 0,
     top_columns: Sequence[str] | None = None,
     columns_per_pass: int = 4,
-) -> list[DataFrame]:
+) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Base parts, each with columns of its own, and parts that add to them."""
     if mode not in ("exact", "approx", "none"):
         raise ValueError(f"unknown profile mode {mode!r}")
     schema, declared = df.schema, set(not_null)
@@ -290,20 +291,21 @@ def _profile_parts(
         Field(i, schema[name], schema[name].nullable and name not in declared)
         for i, name in enumerate(columns if columns is not None else schema.names, start=1)
     ]
-    parts = base_profile(df, table_name, fields, rsd if mode == "approx" else None)
+    base = base_profile(df, table_name, fields, rsd if mode == "approx" else None)
+    more = []
     if mode == "exact":
-        parts += exact_distinct(df, table_name, fields, columns_per_pass)
+        more += exact_distinct(df, table_name, fields, columns_per_pass)
     if top_k:
         wanted = set(top_columns) if top_columns is not None else set(schema.names)
         shown = [f for f in fields if f.column.name in wanted and _orderable(f.column.dataType)]
-        parts.append(_top_part(df, table_name, shown, top_k))
-    return parts
+        more.append(_top_part(df, table_name, shown, top_k))
+    return base, more
 
 
-def _merge(parts: Sequence[DataFrame]) -> DataFrame:
+def _merge(base: Sequence[DataFrame], more: Sequence[DataFrame]) -> DataFrame:
     """Bring the parts of each column together; every metric has one source."""
-    merged = union_all(parts)
-    if len(parts) > 1:
+    merged = union_all((*base, *more))
+    if more:
         merged = merged.groupBy(*_KEYS).agg(
             *(F.any_value(m, ignoreNulls=True).alias(m) for m in _METRIC_TYPE)
         )
@@ -320,7 +322,7 @@ def profile_table(df: DataFrame, table_name: str, **options: object) -> DataFram
     `top_columns`; `columns_per_pass` sets how many columns one pass of exact
     distinct counts takes.
     """
-    return _merge(_profile_parts(df, table_name, **options))
+    return _merge(*_profile_parts(df, table_name, **options))
 
 
 def profile_schema(
@@ -331,10 +333,12 @@ def profile_schema(
 ) -> DataFrame:
     """Profiles of all tables in one frame; the tables' jobs run side by side."""
     declared = not_null or {}
-    parts = []
+    base, more = [], []
     for name, df in sorted(tables.items()):
-        parts += _profile_parts(df, name, not_null=declared.get(name, ()), **options)
-    return _merge(parts)
+        first, rest = _profile_parts(df, name, not_null=declared.get(name, ()), **options)
+        base += first
+        more += rest
+    return _merge(base, more)
 
 
 def null_shares(column_profile: DataFrame) -> DataFrame:
