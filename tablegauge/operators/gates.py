@@ -18,11 +18,22 @@ from tablegauge.sources.storage import settle
 
 LISTED = 5
 
-
-def _say(*parts: object) -> Column:
-    return F.concat(
-        *(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts)
-    )
+# Wording of gate decisions.
+CONNECTED = "Connected; %d tables found in schema '%s'"
+VALIDATED = "%s: all %d SQLs for '%s' validated%s"
+NOT_VALIDATED = "%s: %d of %d SQLs for '%s' not validated%s"
+UNFIXABLE = "; unfixable after retries: %s%s"
+PROFILED = "Profiling complete for '%s' (%d results) - DQ generation unlocked"
+NOT_PROFILED = (
+    "Profiling incomplete for '%s': %d SQL(s) not executed (%s%s) - "
+    "DQ rule generation stays locked"
+)
+RESOLVED = "'%s': all DQ checks resolved - review unlocked"
+UNRESOLVED = "'%s': %d DQ check(s) unresolved after 3 fix attempts (%s) - review blocked"
+ALL_REVIEWED = "All %d tables reviewed - full report unlocked"
+SOME_PENDING = (
+    "Final report gate: %d table(s) not reviewed (%s) - report generated in PARTIAL mode"
+)
 
 
 def _flag_waived(items: DataFrame, waivers: DataFrame | None) -> DataFrame:
@@ -59,14 +70,12 @@ def _named(items: DataFrame, listed: int | None) -> DataFrame:
 
 
 def _status_counts() -> list[Column]:
-    return [F.count_if(F.col("status") == s).alias(f"s_{s}") for s in SQL_STATUS]
+    return [F.expr(f"count_if(status = '{s}') AS s_{s}") for s in SQL_STATUS]
 
 
 def _evidence() -> Column:
-    pairs = F.array(
-        *(F.struct(F.lit(s).alias("k"), F.col(f"s_{s}").alias("v")) for s in SQL_STATUS)
-    )
-    return F.map_from_entries(F.filter(pairs, lambda p: p["v"] > 0))
+    pairs = ", ".join(f"struct('{s}' AS k, s_{s} AS v)" for s in SQL_STATUS)
+    return F.expr(f"map_from_entries(filter(array({pairs}), p -> p.v > 0))")
 
 
 def _more(count: Column, listed: int | None) -> Column:
@@ -95,9 +104,9 @@ def gate_connection(manifest: DataFrame, schema_name: str) -> DataFrame:
         F.when(F.col("n") > 0, "open").otherwise("closed").alias("state"),
         F.when(
             F.col("n") > 0,
-            _say("Connected; ", F.col("n"), f" tables found in schema '{schema_name}'"),
+            F.format_string(CONNECTED, F.col("n"), F.lit(schema_name)),
         )
-        .otherwise(_say(f"No tables discovered in schema '{schema_name}'"))
+        .otherwise(F.lit(f"No tables discovered in schema '{schema_name}'"))
         .alias("reason"),
         F.create_map(F.lit("tables"), F.col("n")).alias("evidence"),
     )
@@ -117,22 +126,18 @@ def _all_validated(
     )
     named = _named(flagged.where(failed).select("table_name", "sql_id"), listed)
     found = _n_waivers(waivers, counts.join(named, "table_name", "left"))
-    table = F.col("table_name")
-    closed = _say(
-        f"{label}: ", F.col("n_pending"), " of ", F.col("n"), " SQLs for '", table,
-        "' not validated",
-        F.when(
-            F.col("n_failed") > 0,
-            _say(
-                "; unfixable after retries: ", F.col("names"),
-                _more(F.col("n_failed"), listed),
-            ),
-        ).otherwise(""),
-    )
-    opened = _say(
-        f"{label}: all ", F.col("n"), " SQLs for '", table, "' validated",
-        F.when(F.col("n_waived") > 0, _say(" (", F.col("n_waived"), " waived)")).otherwise(""),
+    named_failures = F.when(
+        F.col("n_failed") > 0,
+        F.format_string(UNFIXABLE, F.col("names"), _more(F.col("n_failed"), listed)),
+    ).otherwise("")
+    closed = F.format_string(
+        NOT_VALIDATED, F.lit(label), F.col("n_pending"), F.col("n"), F.col("table_name"),
+        named_failures,
     )
+    waived = F.when(
+        F.col("n_waived") > 0, F.format_string(" (%d waived)", F.col("n_waived"))
+    ).otherwise("")
+    opened = F.format_string(VALIDATED, F.lit(label), F.col("n"), F.col("table_name"), waived)
     is_open = F.col("n_pending") == 0
     return _gate(found, gate_id, is_open, F.when(is_open, opened).otherwise(closed))
 
@@ -160,15 +165,11 @@ def gate_rule_generation(items: DataFrame, waivers: DataFrame | None = None) ->
     )
     named = _named(flagged.where(bad).select("table_name", "sql_id"), LISTED)
     found = counts.join(named, "table_name", "left")
-    table = F.col("table_name")
-    closed = _say(
-        "Profiling incomplete for '", table, "': ", F.col("n_bad"), " SQL(s) not executed (",
-        F.col("names"), _more(F.col("n_bad"), LISTED), ") - DQ rule generation stays locked",
-    )
-    opened = _say(
-        "Profiling complete for '", table, "' (", F.col("n"),
-        " results) - DQ generation unlocked",
+    closed = F.format_string(
+        NOT_PROFILED, F.col("table_name"), F.col("n_bad"), F.col("names"),
+        _more(F.col("n_bad"), LISTED),
     )
+    opened = F.format_string(PROFILED, F.col("table_name"), F.col("n"))
     is_open = F.col("n_bad") == 0
     return _gate(found, "G3", is_open, F.when(is_open, opened).otherwise(closed))
 
@@ -181,12 +182,10 @@ def gate_review(checks: DataFrame, max_unresolved: int = 0) -> DataFrame:
     )
     named = _named(checks.where(failed).select("table_name", "sql_id"), LISTED)
     found = counts.join(named, "table_name", "left")
-    table = F.col("table_name")
-    closed = _say(
-        "'", table, "': ", F.col("n_failed"),
-        " DQ check(s) unresolved after 3 fix attempts (", F.col("names"), ") - review blocked",
+    closed = F.format_string(
+        UNRESOLVED, F.col("table_name"), F.col("n_failed"), F.col("names")
     )
-    opened = _say("'", table, "': all DQ checks resolved - review unlocked")
+    opened = F.format_string(RESOLVED, F.col("table_name"))
     is_open = F.col("n_failed") <= max_unresolved
     return _gate(found, "G5", is_open, F.when(is_open, opened).otherwise(closed))
 
@@ -210,14 +209,9 @@ def gate_final(table_states: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("table_name"),
         F.when(is_open, "open").otherwise("closed").alias("state"),
         F.when(
-            is_open, _say("All ", F.col("n"), " tables reviewed - full report unlocked")
-        )
-        .otherwise(
-            _say(
-                "Final report gate: ", F.col("n_pending"), " table(s) not reviewed (",
-                F.col("names"), ") - report generated in PARTIAL mode",
-            )
+            is_open, F.format_string(ALL_REVIEWED, F.col("n"))
         )
+        .otherwise(F.format_string(SOME_PENDING, F.col("n_pending"), F.col("names")))
         .alias("reason"),
         F.create_map(
             F.lit("tables"), F.col("n"), F.lit("pending"), F.col("n_pending")

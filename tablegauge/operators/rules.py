@@ -4,7 +4,7 @@ A derived rule asks for a number the profile already holds or implies, so its
 violations need no further look at the table.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.operators.profile import (
@@ -26,96 +26,76 @@ THRESHOLDS = {
 DERIVED_KINDS = tuple(THRESHOLDS)
 
 
-def _text(*parts: object) -> Column:
-    return F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
-
+# Violations of a derived rule, from the profile of its column. Copies of a
+# value beyond the first are the rows less the groups, NULL being one group.
+_COUNTS = {
+    "non_empty": "CAST(row_count = 0 AS BIGINT)",
+    "completeness": "null_count",
+    "uniqueness": "row_count - distinct_count - CAST(null_count > 0 AS BIGINT)",
+    "email": "miss_count",
+    "non_negative": "negative_count",
+}
+_CATEGORY = {
+    "non_empty": "consistency",
+    "completeness": "completeness",
+    "uniqueness": "uniqueness",
+    "email": "validity",
+    "non_negative": "validity",
+}
+# Wording of derived rules.
+_SAYS = {
+    "non_empty": "%s must contain rows",
+    "completeness": "%s should be populated (>=99%%)",
+    "uniqueness": "%s must be unique",
+    "email": "%s must look like an email",
+    "non_negative": "%s must be >= 0",
+}
+# Place of a rule among those of its column; the table's own rule comes first.
+_PLACE = {"non_empty": -9, "completeness": 1, "uniqueness": 2, "email": 3, "non_negative": 3}
+
+_EMAIL = f"contains(lower(column_name), '{EMAIL_NAME}')"
+_QUANTITY = " OR ".join(f"contains(lower(column_name), '{n}')" for n in NON_NEGATIVE_NAMES)
+_KEY = ", ".join(f"'{n}'" for n in KEY_NAMES)
+# When the profile of a column calls for a rule. The rule that a table must hold
+# rows rides on its first column, so that no grouping is needed.
+_CALLS_FOR = {
+    "non_empty": "ordinal = 1",
+    "completeness": "NOT nullable OR endswith(lower(column_name), 'id') "
+    "OR coalesce(null_count, 0) = 0",
+    "uniqueness": "row_count > 0 AND (coalesce(distinct_count = row_count, false) "
+    f"OR lower(column_name) IN ({_KEY}))",
+    "email": _EMAIL,
+    "non_negative": f"NOT {_EMAIL} AND ({_QUANTITY}) AND is_number",
+}
 
-def _violations(kind: Column | str) -> Column:
-    """Violation count of a derived rule, from the profile of its column.
 
-    Copies of a value beyond the first are the rows less the groups, NULL being
-    one group of its own.
-    """
-    groups = F.col("distinct_count") + (F.col("null_count") > 0).cast("bigint")
-    counts = {
-        "non_empty": (F.col("row_count") == 0).cast("bigint"),
-        "completeness": F.col("null_count"),
-        "uniqueness": F.col("row_count") - groups,
-        "email": F.col("miss_count"),
-        "non_negative": F.col("negative_count"),
+def _candidate(kind: str) -> str:
+    of_table = kind == "non_empty"
+    category = _CATEGORY[kind]
+    fields = {
+        "rule_seq": f"CAST(ordinal * 10 + {_PLACE[kind]} AS INT)",
+        "rule_id": f"concat_ws('.', table_name, '{category}', "
+        f"{chr(39) + kind + chr(39) if of_table else 'column_name'})",
+        "column_name": "CAST(NULL AS STRING)" if of_table else "column_name",
+        "category": f"'{category}'",
+        "description": f"format_string('{_SAYS[kind]}', "
+        f"{'table_name' if of_table else 'column_name'})",
+        "check_kind": f"'{kind}'",
+        "params": "CAST(map() AS MAP<STRING, STRING>)",
+        "threshold_pct": f"{THRESHOLDS[kind]}D",
+        "violations": _COUNTS[kind],
+        "row_count": "row_count",
     }
-    if isinstance(kind, str):
-        return counts[kind]
-    return F.coalesce(*(F.when(kind == name, count) for name, count in counts.items()))
-
-
-def _rule(place: int, kind: str, category: str, column: Column, suffix: Column, says: Column):
-    table = F.col("table_name")
-    return F.struct(
-        (F.col("ordinal") * 10 + place).cast("int").alias("rule_seq"),
-        F.concat_ws(".", table, F.lit(category), suffix).alias("rule_id"),
-        column.alias("column_name"),
-        F.lit(category).alias("category"),
-        says.alias("description"),
-        F.lit(kind).alias("check_kind"),
-        F.create_map().cast("map<string,string>").alias("params"),
-        F.lit(THRESHOLDS[kind]).alias("threshold_pct"),
-        _violations(kind).alias("violations"),
-        F.col("row_count").alias("row_count"),
-    )
+    struct = ", ".join(f"'{name}', {value}" for name, value in fields.items())
+    return f"CASE WHEN {_CALLS_FOR[kind]} THEN named_struct({struct}) END"
 
 
 def _candidates(column_profile: DataFrame) -> DataFrame:
-    """Rules that the profile calls for, with the counts it holds for them.
-
-    The rule that a table must hold rows rides on its first column, so that no
-    grouping is needed.
-    """
-    table, name = F.col("table_name"), F.col("column_name")
-    lower = F.lower(name)
-    nothing = F.lit(None).cast("string")
-    rows = F.coalesce("row_count", F.lit(0))
-    is_email = lower.contains(EMAIL_NAME)
-    is_quantity = F.lit(False)
-    for part in NON_NEGATIVE_NAMES:
-        is_quantity = is_quantity | lower.contains(part)
-    must_fill = (
-        ~F.col("nullable") | lower.endswith("id") | (F.coalesce("null_count", F.lit(0)) == 0)
-    )
-    must_differ = (rows > 0) & (
-        F.coalesce(F.col("distinct_count") == F.col("row_count"), F.lit(False))
-        | lower.isin(*KEY_NAMES)
-    )
-    candidates = F.array(
-        F.when(
-            F.col("ordinal") == 1,
-            _rule(
-                -9, "non_empty", "consistency", nothing, F.lit("non_empty"),
-                _text(table, " must contain rows"),
-            ),
-        ),
-        F.when(
-            must_fill,
-            _rule(
-                1, "completeness", "completeness", name, name,
-                _text(name, " should be populated (>=99%)"),
-            ),
-        ),
-        F.when(
-            must_differ,
-            _rule(2, "uniqueness", "uniqueness", name, name, _text(name, " must be unique")),
-        ),
-        F.when(
-            is_email,
-            _rule(3, "email", "validity", name, name, _text(name, " must look like an email")),
-        ),
-        F.when(
-            ~is_email & is_quantity & numeric_dtype(F.col("dtype")),
-            _rule(3, "non_negative", "validity", name, name, _text(name, " must be >= 0")),
-        ),
-    )
-    return column_profile.select(
-        "table_name", F.inline(F.filter(candidates, lambda r: r.isNotNull()))
+    """Rules that the profile calls for, with the counts it holds for them."""
+    rules = ", ".join(_candidate(kind) for kind in DERIVED_KINDS)
+    typed = column_profile.withColumn("is_number", numeric_dtype(F.col("dtype")))
+    return typed.selectExpr(
+        "table_name", f"inline(filter(array({rules}), r -> r IS NOT NULL))"
     )
 
 
@@ -158,4 +138,5 @@ def settle_rules(rules: DataFrame, column_profile: DataFrame) -> DataFrame:
     )
     same = (F.col("table_name") == F.col("t")) & F.col("column_name").eqNullSafe(F.col("c"))
     met = rules.join(known, same, "left")
-    return _as_results(met.withColumn("violations", _violations(F.col("check_kind"))))
+    counts = " ".join(f"WHEN '{kind}' THEN {count}" for kind, count in _COUNTS.items())
+    return _as_results(met.withColumn("violations", F.expr(f"CASE check_kind {counts} END")))

@@ -13,8 +13,11 @@ from tablegauge.functions.numbers import (
 from tablegauge.schemas import RULE_RESULTS
 
 # Wording of suggestions and the share of NULLs worth one.
-FAILED_ADVICE = "Consider a constraint, backfill or upstream fix."
-NULL_ADVICE = "evaluate NOT NULL + default, or drop the column."
+FAILED_ADVICE = (
+    "%s.%s [%s] FAILED: %s - %d violation(s) (%s%% of rows). "
+    "Consider a constraint, backfill or upstream fix."
+)
+NULL_ADVICE = "%s.%s: %s%% NULLs - evaluate NOT NULL + default, or drop the column."
 NULL_HEAVY = 0.10
 
 
@@ -51,25 +54,18 @@ def category_scores(judged: DataFrame) -> DataFrame:
     )
 
 
-def _joined(*parts: object) -> Column:
-    return F.concat(
-        *(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts)
-    )
-
-
 def suggestions(judged: DataFrame, column_profile: DataFrame) -> DataFrame:
     """Advice per table: failed rules in rule order, then null-heavy columns."""
-    pct = share_pct(F.coalesce("violations", F.lit(0)), F.col("row_count"))
+    violations = F.coalesce("violations", F.lit(0))
+    pct = share_pct(violations, F.col("row_count"))
     failed = judged.where(~F.col("passed")).select(
         "table_name",
         F.lit(1).alias("part"),
         F.col("rule_seq").alias("seq"),
         F.col("rule_id").alias("item"),
-        _joined(
-            F.col("table_name"), ".", F.coalesce("column_name", F.lit("*")), " [",
-            F.col("category"), "] FAILED: ", F.col("description"), " - ",
-            F.coalesce("violations", F.lit(0)), " violation(s) (", one_decimal_text(pct),
-            "% of rows). ", FAILED_ADVICE,
+        F.format_string(
+            FAILED_ADVICE, F.col("table_name"), F.coalesce("column_name", F.lit("*")),
+            F.col("category"), F.col("description"), violations, one_decimal_text(pct),
         ).alias("suggestion"),
     )
     share = F.col("null_count") / F.col("row_count")
@@ -78,9 +74,9 @@ def suggestions(judged: DataFrame, column_profile: DataFrame) -> DataFrame:
         F.lit(2).alias("part"),
         F.col("ordinal").alias("seq"),
         F.col("column_name").alias("item"),
-        _joined(
-            F.col("table_name"), ".", F.col("column_name"), ": ",
-            whole_text(share * F.lit(100.0)), "% NULLs - ", NULL_ADVICE,
+        F.format_string(
+            NULL_ADVICE, F.col("table_name"), F.col("column_name"),
+            whole_text(share * F.lit(100.0)),
         ).alias("suggestion"),
     )
     return failed.unionByName(heavy)
