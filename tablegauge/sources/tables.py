@@ -94,12 +94,16 @@ def load_table(spark: SparkSession, source: Mapping[str, object], name: str) ->
 def load_tables(
     spark: SparkSession, source: Mapping[str, object], names: Iterable[str] | None = None
 ) -> dict[str, DataFrame]:
-    """Tables of a source in name order; a catalogue source lists its own."""
-    if names is None:
-        if source["format"] != "catalog":
-            raise ValueError("name the tables to read from a file or database source")
+    """Tables of a source in name order; catalogues and databases list their own."""
+    if names is None and source["format"] == "catalog":
         listed = spark.catalog.listTables(source.get("schema"))
         names = [t.name for t in listed if t.tableType not in ("VIEW", "TEMPORARY")]
+    elif names is None and source["format"] == "jdbc":
+        options = dict(source.get("options", {}))
+        found = discover_jdbc(spark, str(source["url"]), str(source.get("schema", "")), **options)
+        names = [r.table_name for r in found.select("table_name").distinct().collect()]
+    elif names is None:
+        raise ValueError("name the tables to read from files")
     return {name: load_table(spark, source, name) for name in sorted(names)}
 
 

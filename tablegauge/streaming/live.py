@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tablegauge.operators.checks import ROW_CHECKS
+from tablegauge.operators.gates import gate_changes
 from tablegauge.schemas import AUDIT
 
 
@@ -55,6 +56,50 @@ def _write_batches(df: DataFrame, mode: str, path: str, checkpoint: str) -> Stre
     )
 
 
+def write_gate_changes(
+    decisions: DataFrame,
+    path: str,
+    checkpoint: str,
+    *,
+    compare: tuple[str, ...] = ("state", "reason"),
+    order: tuple[str, ...] = ("ts",),
+) -> StreamingQuery:
+    """Write the decisions of each micro-batch that change their gate.
+
+    A batch is compared with itself and with the last decision of each gate as of
+    the batch before, kept as one row per gate beside the changes.
+    """
+    names = decisions.columns
+
+    def check(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        # Decisions from earlier batches come before those of this one.
+        seen = batch.withColumn("fresh", F.lit(True))
+        if batch_id > 0:
+            before = spark.read.parquet(f"{path}/last/batch_id={batch_id - 1}")
+            seen = before.withColumn("fresh", F.lit(False)).unionByName(seen)
+        changed = gate_changes(seen, compare=compare, order=("fresh", *order))
+        changed.where("fresh").select(names).write.mode("overwrite").parquet(
+            f"{path}/changes/batch_id={batch_id}"
+        )
+        newest = F.max_by(F.struct(*names), F.struct("fresh", *order)).alias("d")
+        seen.groupBy("gate_id").agg(newest).select("d.*").write.mode("overwrite").parquet(
+            f"{path}/last/batch_id={batch_id}"
+        )
+
+    return (
+        decisions.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(check)
+        .start()
+    )
+
+
+def read_gate_changes(spark: SparkSession, path: str) -> DataFrame:
+    """All gate changes written so far."""
+    return spark.read.parquet(f"{path}/changes").drop("batch_id")
+
+
 def _hit(rule: Row) -> Column:
     return ROW_CHECKS[rule.check_kind](rule.column_name, rule.params or {})
 

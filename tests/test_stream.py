@@ -80,3 +80,23 @@ def _check_windows(spark, tmp_path):
 def test_only_row_rules_run_over_a_stream(spark):
     with pytest.raises(ValueError):
         live._row_rules([rule("t", "unique", "uniqueness", "v")])
+
+
+def test_gate_changes_carry_over_batches(spark, tmp_path):
+    log, out, progress = (str(tmp_path / n) for n in ("log", "out", "progress"))
+    layout = "gate_id STRING, ts INT, state STRING, reason STRING"
+
+    def run(*rows):
+        spark.createDataFrame(rows, layout).coalesce(1).write.mode("append").parquet(log)
+        stream = spark.readStream.schema(layout).parquet(log)
+        live.write_gate_changes(stream, out, progress).awaitTermination()
+        return sorted((r.gate_id, r.ts) for r in live.read_gate_changes(spark, out).collect())
+
+    first = run(("G1", 1, "open", "a"), ("G2", 2, "closed", None), ("G1", 3, "open", "a"))
+    assert first == [("G1", 1), ("G2", 2)]
+    second = run(("G1", 4, "open", "a"), ("G2", 5, "closed", "late"), ("G3", 6, "open", None))
+    assert second == [("G1", 1), ("G2", 2), ("G2", 5), ("G3", 6)]
+    # A gate that a batch does not mention keeps its last decision.
+    third = run(("G2", 7, "closed", "late"),)
+    assert third == second
+    assert run(("G1", 8, "open", "a"), ("G1", 9, "closed", "a")) == [("G1", 1), ("G1", 9), ("G2", 2), ("G2", 5), ("G3", 6)]

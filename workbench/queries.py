@@ -878,6 +878,19 @@ def stream_audit_counts(spark, folder):
     return live.latest_counts(spark, out)
 
 
+@register
+def stream_gate_changes(spark, folder):
+    """Gate changes from the log as a stream."""
+    log, out = run_folder(spark, "log"), run_folder(spark, "changes")
+    decisions = view(spark, folder, "audit_v").select("event_id", "ts", "gate_id", "state")
+    decisions.write.parquet(log)
+    stream = spark.readStream.schema(decisions.schema).parquet(log)
+    live.write_gate_changes(
+        stream, out, run_folder(spark, "progress"), compare=("state",), order=("ts", "event_id")
+    ).awaitTermination()
+    return live.read_gate_changes(spark, out)
+
+
 STREAM_RULES = (
     rule("events", "events.value", "range", "value", low="10", high="90"),
     rule("events", "events.type", "allowed_set", "event_type", values="click|view|purchase"),
