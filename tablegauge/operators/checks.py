@@ -178,7 +178,7 @@ class ReadOnlyViolation(ValueError):
     """A rule's statement is not a single read-only query."""
 
 
-def _class_of(error: Exception) -> str:
+def error_class_of(error: Exception) -> str:
     if isinstance(error, UnknownCheck):
         return "missing_object"
     if isinstance(error, KeyError):
@@ -188,7 +188,7 @@ def _class_of(error: Exception) -> str:
     return condition_class(error)
 
 
-def _brief(error: Exception) -> str:
+def brief(error: Exception) -> str:
     return str(error).split("\n", 1)[0].strip()
 
 
@@ -227,6 +227,15 @@ def _fusable(rule: Row) -> bool:
     return rule.check_kind in ROW_CHECKS or rule.check_kind in AGG_CHECKS
 
 
+def lint_statements(spark: SparkSession, texts: Mapping[int, str]) -> dict[int, str]:
+    """Lint verdicts of catalogue statements, by their position."""
+    if not texts:
+        return {}
+    listed = spark.createDataFrame(list(texts.items()), "pos INT, sql_text STRING")
+    verdicts = listed.select("pos", lint_column(F.col("sql_text")).alias("lint"))
+    return {r.pos: r.lint for r in verdicts.collect()}
+
+
 class _Batch:
     """Rules of a run that passed the dry run, and those that did not.
 
@@ -239,9 +248,15 @@ class _Batch:
         self.rules = dict(enumerate(rules))
         self.failed: dict[int, Exception] = {}
         self.frames: dict[int, DataFrame] = {}
+        texts = {
+            i: (r.params or {}).get("sql_text", "")
+            for i, r in self.rules.items()
+            if r.check_kind == "sql"
+        }
+        lint = lint_statements(next(iter(tables.values())).sparkSession, texts)
         for i, rule in self.rules.items():
             try:
-                self.frames[i] = _count_frame(rule, tables, rule.lint)
+                self.frames[i] = _count_frame(rule, tables, lint.get(i, "ok"))
             except (PySparkException, ValueError, KeyError) as error:
                 self.failed[i] = error
 
@@ -288,16 +303,6 @@ class _Batch:
         return counts, sizes
 
 
-def _rule_rows(rules: DataFrame) -> list[Row]:
-    """The rules themselves, with the lint verdict of their statements."""
-    return (
-        rules.select(*RULES.fieldNames())
-        .withColumn("lint", lint_column(F.col("params")["sql_text"]))
-        .orderBy("table_name", "rule_seq", "rule_id")
-        .collect()
-    )
-
-
 def run_rules(spark: SparkSession, tables: Tables, rules: DataFrame) -> DataFrame:
     """Run every rule and report counts, row counts and failures.
 
@@ -305,7 +310,7 @@ def run_rules(spark: SparkSession, tables: Tables, rules: DataFrame) -> DataFram
     with its error class; the others are still counted. What comes back to the
     driver is one number per rule and table.
     """
-    rows = _rule_rows(rules)
+    rows = rules.select(*RULES.fieldNames()).orderBy("table_name", "rule_seq", "rule_id").collect()
     batch = _Batch(tables, rows)
     counted, sizes = batch.run(spark)
     unknown = {r.table_name for r in rows} & set(tables) - set(sizes)
@@ -323,8 +328,8 @@ def run_rules(spark: SparkSession, tables: Tables, rules: DataFrame) -> DataFram
                 i in batch.frames,
                 "failed" if error else "executed",
                 None,
-                _class_of(error) if error else None,
-                _brief(error) if error else None,
+                error_class_of(error) if error else None,
+                brief(error) if error else None,
             )
         )
     return spark.createDataFrame(results, RULE_RESULTS)
@@ -357,10 +362,10 @@ def rule(
     **params: str,
 ) -> Row:
     """A catalogue rule as a row of the rule layout."""
-    return Row(*RULES.fieldNames(), "lint")(
-        table, seq, rule_id, column, category, description, kind, params, threshold_pct, "ok"
+    return Row(*RULES.fieldNames())(
+        table, seq, rule_id, column, category, description, kind, params, threshold_pct
     )
 
 
 def rules_frame(spark: SparkSession, rules: Sequence[Row]) -> DataFrame:
-    return spark.createDataFrame([tuple(r)[: len(RULES)] for r in rules], RULES)
+    return spark.createDataFrame([tuple(r) for r in rules], RULES)

@@ -8,7 +8,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablegauge.functions.numbers import to_long_or
-from tablegauge.functions.text import condition_class
+from tablegauge.operators.checks import (
+    ReadOnlyViolation,
+    UnknownCheck,
+    brief,
+    error_class_of,
+    lint_statements,
+)
 from tablegauge.operators.profile import union_all
 from tablegauge.schemas import METRIC_RESULTS
 from tablegauge.sources.tables import Tables
@@ -20,7 +26,7 @@ def _cells(names: Sequence[str]) -> Column:
     return F.array(*(F.col(n).cast(_TEXT) for n in names))
 
 
-def _shape(df: DataFrame, spec: Row, seq: int, cells: Column) -> DataFrame:
+def _shape(df: DataFrame, spec: dict, seq: int, cells: Column) -> DataFrame:
     return df.select(
         F.lit(spec["table_name"]).alias("table_name"),
         F.lit(spec["sql_id"]).alias("sql_id"),
@@ -34,7 +40,7 @@ def _shape(df: DataFrame, spec: Row, seq: int, cells: Column) -> DataFrame:
     )
 
 
-def _fused(df: DataFrame, specs: Sequence[tuple[int, Row]]) -> DataFrame:
+def _fused(df: DataFrame, specs: Sequence[tuple[int, dict]]) -> DataFrame:
     one = df.agg(*(F.expr(s["expr"]).alias(f"m{seq}") for seq, s in specs))
     rows = [
         F.struct(
@@ -58,35 +64,37 @@ def custom_metrics(tables: Tables, specs: Sequence[Row | dict]) -> DataFrame:
 
     A metric gives `expr`, an aggregate expression over its table, or
     `sql_text`, a query over the tables by name; of a query other than
-    `top_values` only the first row counts. A metric that does not resolve is
-    reported as `failed`.
+    `top_values` only the first row counts. A metric that does not resolve, or
+    is no read-only query, is reported as `failed`.
     """
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    fused: dict[str, list[tuple[int, Row]]] = {}
+    specs = [s.asDict() if isinstance(s, Row) else dict(s) for s in specs]
+    texts = {i: s.get("sql_text") or "" for i, s in enumerate(specs) if not s.get("expr")}
+    lint = lint_statements(spark, texts)
+    fused: dict[str, list[tuple[int, dict]]] = {}
     frames, failures = [], []
     for seq, spec in enumerate(specs):
         try:
             if spec["table_name"] not in tables:
-                raise KeyError(spec["table_name"])
-            if spec.get("expr") if isinstance(spec, dict) else spec["expr"]:
+                raise UnknownCheck(f"no table named {spec['table_name']}")
+            if spec.get("expr"):
                 tables[spec["table_name"]].agg(F.expr(spec["expr"]))
                 fused.setdefault(spec["table_name"], []).append((seq, spec))
                 continue
+            if lint[seq] != "ok":
+                raise ReadOnlyViolation(f"statement refused by the read-only lint: {lint[seq]}")
             found = spark.sql(spec["sql_text"])
             found = found.toDF(*[f"c{i}" for i in range(len(found.columns))])
             if spec["purpose"] != "top_values":
                 found = found.limit(1)
             frames.append(_shape(found, spec, seq, _cells(found.columns)))
-        except (PySparkException, KeyError) as error:
-            missing = isinstance(error, KeyError)
+        except (PySparkException, ValueError) as error:
             failures.append(
                 (
                     spec["table_name"], spec["sql_id"], spec["purpose"], spec["column_name"],
-                    seq, "failed", None,
-                    "missing_object" if missing else condition_class(error),
-                    str(error).split("\n", 1)[0],
+                    seq, "failed", None, error_class_of(error), brief(error),
                 )
             )
     frames += [_fused(tables[t], group) for t, group in fused.items()]

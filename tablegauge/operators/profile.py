@@ -85,7 +85,7 @@ def _fraction(dtype: T.DataType) -> bool:
 
 
 def col(name: str) -> Column:
-    """Reference a column by its plain name, whatever characters it holds."""
+    """Refer to a column by its plain name, whatever characters it holds."""
     return F.col(ident(name))
 
 

@@ -3,15 +3,16 @@
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablegauge.operators import gates as G
-from tablegauge.operators.checks import run_rules
-from tablegauge.operators.profile import profile_schema, profile_statements
+from tablegauge.operators.checks import brief, error_class_of, run_rules
+from tablegauge.operators.profile import profile_schema, profile_statements, union_all
 from tablegauge.operators.rules import derive_and_settle
 from tablegauge.operators.verdict import judge, reviews
-from tablegauge.schemas import CHECK_LOG, WAIVERS
+from tablegauge.schemas import CHECK_LOG, COLUMN_PROFILE, WAIVERS
 from tablegauge.sources.runs import save_run
 from tablegauge.sources.storage import settle
 from tablegauge.sources.tables import Tables, discover
@@ -64,14 +65,15 @@ def rule_statements(results: DataFrame) -> DataFrame:
 
 
 def table_gates(
-    profile_log: DataFrame,
+    profile_items: DataFrame,
     results: DataFrame,
     waivers: DataFrame | None = None,
     max_unresolved: int = 0,
 ) -> DataFrame:
     """Gates G2 to G5 of every table.
 
-    Rule checks pass G4 once they resolve; G5 looks at how they ran.
+    Statements pass G2 and rule checks pass G4 once they resolve; G3 and G5 look
+    at how they ran. The statements of a profile all resolve.
     """
     checks = rule_statements(results)
     at_g4 = rule_statements(
@@ -79,14 +81,68 @@ def table_gates(
             "status", F.when(F.col("validated"), "validated").otherwise(F.col("status"))
         )
     )
+    resolved = F.when(F.col("status") == "failed", "validated").otherwise(F.col("status"))
+    at_g2 = profile_items.withColumn("status", resolved)
     return G.all_gates(
-        G.gate_profile_execution(profile_log, waivers),
-        G.gate_rule_generation(profile_log, waivers),
+        G.gate_profile_execution(at_g2, waivers),
+        G.gate_rule_generation(profile_items, waivers),
         G.gate_rule_execution(at_g4, waivers),
         G.gate_review(checks, max_unresolved),
     )
 
 
+def settle_profiles(
+    spark: SparkSession,
+    tables: Tables,
+    not_null: Mapping[str, Iterable[str]],
+    options: Mapping[str, object],
+) -> tuple[DataFrame, dict[str, PySparkException]]:
+    """Stored profiles, and the tables that could not be read.
+
+    All tables are profiled in one job. Should it fail, each half of the tables
+    is tried by itself, down to the failing ones.
+    """
+    try:
+        return settle(profile_schema(tables, not_null=not_null, **options)), {}
+    except PySparkException as error:
+        if len(tables) == 1:
+            return spark.createDataFrame([], COLUMN_PROFILE), {next(iter(tables)): error}
+    names = sorted(tables)
+    middle = len(names) // 2
+    found, broken = [], {}
+    for half in (names[:middle], names[middle:]):
+        profile, errors = settle_profiles(spark, {n: tables[n] for n in half}, not_null, options)
+        found.append(profile)
+        broken |= errors
+    return union_all(found), broken
+
+
+def profile_log(
+    spark: SparkSession, manifest: DataFrame, broken: Mapping[str, PySparkException]
+) -> DataFrame:
+    """Profile statements with their outcome; those of a broken table failed."""
+    items = profile_statements(manifest)
+    if not broken:
+        return items
+    errors = spark.createDataFrame(
+        [(name, brief(e), error_class_of(e)) for name, e in broken.items()],
+        "table_name STRING, brief STRING, class STRING",
+    )
+    hit = F.col("class").isNotNull()
+    return (
+        items.join(errors, "table_name", "left")
+        .withColumns(
+            {
+                "status": F.when(hit, "failed").otherwise(F.col("status")),
+                "attempts": F.when(hit, 1).otherwise(F.col("attempts")),
+                "last_error": F.col("brief"),
+                "error_class": F.col("class"),
+            }
+        )
+        .select(*CHECK_LOG.fieldNames())
+    )
+
+
 def assess(
     spark: SparkSession,
     tables: Tables,
@@ -102,18 +158,21 @@ def assess(
 
     The tables are read by the profile and by the catalogue rules; everything
     after works on frames with a row per column, rule or statement. The profile
-    and the rule results are stored once in the shared folder and reused.
+    and the rule results are stored once in the shared folder and reused. A table
+    that cannot be read stops at G3; the others go on.
     """
     if not tables:
         raise ValueError(f"no tables discovered in schema '{schema_name}'")
     manifest = discover(spark, tables, schema_name, not_null=not_null)
-    profile = settle(profile_schema(tables, not_null=not_null, **profile_options))
+    profile, broken = settle_profiles(spark, tables, not_null or {}, profile_options)
     results = derive_and_settle(profile)
     if catalogue is not None:
+        if broken:
+            catalogue = catalogue.where(~F.col("table_name").isin(*broken))
         results = results.unionByName(run_rules(spark, tables, catalogue))
     results = settle(judge(results))
     kept = waivers if waivers is not None else spark.createDataFrame([], WAIVERS)
-    items = profile_statements(manifest)
+    items = profile_log(spark, manifest, broken)
     decided = table_gates(items, results, kept, max_unresolved)
     states = settle(G.table_stage(decided))
     judged = G.withhold_blocked(results, states)

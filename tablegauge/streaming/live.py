@@ -78,6 +78,8 @@ def write_gate_changes(
         if batch_id > 0:
             before = spark.read.parquet(f"{path}/last/batch_id={batch_id - 1}")
             seen = before.withColumn("fresh", F.lit(False)).unionByName(seen)
+        # Read the batch from its source once; lost blocks are read again.
+        seen = seen.persist()
         changed = gate_changes(seen, compare=compare, order=("fresh", *order))
         changed.where("fresh").select(names).write.mode("overwrite").parquet(
             f"{path}/changes/batch_id={batch_id}"
@@ -86,6 +88,7 @@ def write_gate_changes(
         seen.groupBy("gate_id").agg(newest).select("d.*").write.mode("overwrite").parquet(
             f"{path}/last/batch_id={batch_id}"
         )
+        seen.unpersist()
 
     return (
         decisions.writeStream.option("checkpointLocation", checkpoint)

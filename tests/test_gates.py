@@ -132,3 +132,18 @@ def test_tolerated_failure_leaves_a_rule_unchecked(spark, sample):
     review = found.reviews.first()
     assert (review.dq_pass, review.dq_fail) == (9, 1)
     assert found.judged.where(F.col("passed").isNull()).count() == 1
+
+
+def test_an_unreadable_table_does_not_stop_the_others(spark, sample):
+    broken = spark.range(5).selectExpr("id", "CAST(concat('x', id) AS INT) AS amount")
+    catalogue = rules_frame(spark, [rule("broken", "broken.x", "completeness", "id")])
+    found = assess(spark, sample | {"broken": broken}, catalogue=catalogue)
+    states = {r.table_name: (r.stage, r.blocked_at) for r in found.table_states.collect()}
+    assert states.pop("broken") == ("blocked", "G3")
+    assert set(states.values()) == {("reviewed", None)} and len(states) == 3
+    assert found.judged.where("passed IS NOT NULL").count() == 26
+    failed = found.check_log.where("table_name = 'broken'").collect()
+    assert {(r.status, r.error_class) for r in failed} == {("failed", "type_mismatch")}
+    gates = {r.gate_id: r.state for r in found.gates.where("table_name = 'broken'").collect()}
+    assert gates == {"G2": "open", "G3": "closed"}
+    assert found.final_gate.first().reason.startswith("Final report gate: 1 table(s)")

@@ -136,13 +136,16 @@ def test_catalogues(spark, sample, tmp_path):
         {"table_name": "orders", "sql_id": "m3", "purpose": "min_max", "column": "amount",
          "sql_text": "SELECT MIN(amount), MAX(amount) FROM orders"},
         {"table_name": "orders", "sql_id": "m4", "purpose": "distinct", "column": "amount", "expr": "oops(amount)"},
+        {"table_name": "orders", "sql_id": "m6", "purpose": "row_count", "sql": "DROP VIEW orders"},
         {"table_name": "absent", "sql_id": "m5", "purpose": "row_count", "expr": "count(*)"},
     ]))
     specs = catalogues.read_metric_catalogue(spark, str(metric_file)).collect()
     results = custom_metrics(sample, specs)
     assert {r.sql_id: r.status for r in results.collect()} == {
         "m1": "executed", "m2": "executed", "m3": "executed", "m4": "failed", "m5": "failed",
+        "m6": "failed",
     }
+    assert results.where("sql_id = 'm6'").first().error_class == "permission"
     summary = summarise_metrics(results).first()
     assert (summary.row_count, summary.min_value, summary.max_value) == (8, "-15.0", "560.0")
     assert summary.distinct_count is None
