@@ -127,8 +127,16 @@ FROM {events}""",
 }
 
 
+_opened: dict[tuple[str, int, str], DataFrame] = {}
+
+
 def given(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A given table; its footers are read once per session, its rows each time."""
+    path = f"{folder}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, id(spark), path)
+    if key not in _opened:
+        _opened[key] = spark.read.parquet(path)
+    return _opened[key]
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
