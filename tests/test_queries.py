@@ -7,6 +7,8 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check_results import normal
+from workbench.oracle import ORACLE
+from workbench.queries import QUERIES
 from workbench.views import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -22,7 +24,7 @@ def db():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query(spark, db, name):
     result = queries()[name](spark, FOLDER)
     relation = db.sql(oracle_sql()[name])
@@ -31,7 +33,8 @@ def test_query(spark, db, name):
 
 
 def test_every_query_is_checked_or_approximate():
-    assert set(queries()) - set(oracle_sql()) == {"distinct_approx"}
+    assert set(QUERIES) - set(ORACLE) == {"distinct_approx"}
+    assert set(QUERIES) <= set(queries()) and set(ORACLE) <= set(oracle_sql())
 
 
 def test_approximate_distinct_is_close(spark):
