@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablegauge.llm.exact_dedup import exact_dedup
+from tablegauge.llm.near_dedup import near_dedup
 from tablegauge.llm.quality_rules import BASE, FULL, apply_policy, ledger
 from tablegauge.llm.words import squeezed_sql
 
@@ -29,7 +30,12 @@ def exact_copies(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup(_table(spark, folder, "documents")).select("doc_id", "class_id", "kept")
+
+
 QUERIES = {
     "op5_quality_rules": quality_rules,
     "op9_exact_dedup": exact_copies,
+    "op10_near_dedup": near_copies,
 }
