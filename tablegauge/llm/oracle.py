@@ -39,7 +39,33 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_s
   row_number() OVER w = 1 AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST, r)"""
 
+MIX = r"""WITH d AS (SELECT doc_id, source,
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  sha256(coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS rk FROM s),
+w AS (SELECT *, CAST(CASE rk % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight,
+  CAST(CASE rk % 3 WHEN 0 THEN 1.25 WHEN 1 THEN 1.0 ELSE 0.5 END AS DOUBLE) AS a,
+  CAST(CASE rk % 3 WHEN 0 THEN 0.75 WHEN 1 THEN 1.0 ELSE 1.5 END AS DOUBLE) AS b,
+  CAST(2 * source_size AS DOUBLE) AS cap FROM r),
+v AS (SELECT *, (1.5 * sum(source_size) OVER ()
+    - coalesce(sum(cap) OVER (ORDER BY cap / weight, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY cap / weight, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM w),
+l AS (SELECT arg_min(lv, cap / weight * 1e6 + rk) AS lv FROM v WHERE cap / weight >= lv),
+t AS (SELECT source, source_size, a, b, least(cap, coalesce(weight * (SELECT lv FROM l), cap)) AS target FROM w),
+c AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY o, doc_id, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d),
+f AS (SELECT c.doc_id, c.size, t.source_size, t.target, a, b, c.before,
+  least(greatest(floor(target) - before, 0), size) AS one,
+  least(greatest(floor(target) - before - source_size, 0), size) AS two
+  FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source),
+g AS (SELECT *, least(greatest((before + CASE WHEN one > 0 THEN 0 ELSE source_size END) / target, 0.0), 1.0) AS p FROM f)
+SELECT doc_id, size, source_size, target, CAST(one + two AS BIGINT) AS taken,
+  CASE WHEN one + two > 0 THEN CASE WHEN a = b THEN p ELSE (sqrt(a * a + (b * b - a * a) * p) - a) / (b - a) END END AS first_due
+FROM g"""
+
 ORACLE = {
+    "op4_mix_sources": MIX,
     "op5_quality_rules": QUALITY,
     "op9_exact_dedup": EXACT,
 }

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablegauge.llm.exact_dedup import exact_dedup
+from tablegauge.llm.mixing import mix_sources
 from tablegauge.llm.near_dedup import near_dedup
 from tablegauge.llm.quality_rules import BASE, FULL, apply_policy, ledger
 from tablegauge.llm.words import squeezed_sql
@@ -34,7 +35,14 @@ def near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup(_table(spark, folder, "documents")).select("doc_id", "class_id", "kept")
 
 
+def mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
+    mix = mix_sources(_table(spark, folder, "documents").select("doc_id", "text", "source"))
+    first = F.try_element_at("passes", F.lit(1))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", first["time"].alias("first_due"))
+
+
 QUERIES = {
+    "op4_mix_sources": mixed_sources,
     "op5_quality_rules": quality_rules,
     "op9_exact_dedup": exact_copies,
     "op10_near_dedup": near_copies,
