@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tablegauge.llm.exact_dedup import exact_dedup
 from tablegauge.llm.mixing import mix_sources
 from tablegauge.llm.near_dedup import near_dedup
+from tablegauge.llm.packing import pack, pieces
 from tablegauge.llm.quality_rules import BASE, FULL, apply_policy, ledger
 from tablegauge.llm.words import squeezed_sql
 
@@ -41,7 +42,13 @@ def mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", first["time"].alias("first_due"))
 
 
+def packed_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    packed = pack(pieces(_table(spark, folder, "documents")))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES = {
+    "op2_best_fit_packing": packed_pieces,
     "op4_mix_sources": mixed_sources,
     "op5_quality_rules": quality_rules,
     "op9_exact_dedup": exact_copies,
