@@ -8,7 +8,9 @@ from tablegauge.llm.mixing import mix_sources
 from tablegauge.llm.near_dedup import near_dedup
 from tablegauge.llm.packing import pack, pieces
 from tablegauge.llm.quality_rules import BASE, FULL, apply_policy, ledger
+from tablegauge.llm.warc import read_warc, write_warc
 from tablegauge.llm.words import squeezed_sql
+from tablegauge.sources.storage import run_folder
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,7 +49,20 @@ def packed_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def archived_pages(spark: SparkSession, folder: str) -> DataFrame:
+    path = run_folder(spark, "archives")
+    write_warc(_table(spark, folder, "pages"), path)
+    return read_warc(spark, path).select(
+        F.expr("nullif(id, '')").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("kind").alias("record_type"),
+        F.expr("nullif(refers_to, '')").cast("long").alias("refers_to"),
+    )
+
+
 QUERIES = {
+    "op3_warc": archived_pages,
     "op2_best_fit_packing": packed_pieces,
     "op4_mix_sources": mixed_sources,
     "op5_quality_rules": quality_rules,
