@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablegauge.sources.storage import run_folder
@@ -56,29 +56,42 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+KEYS = ["__id", "__null", "__key"]
+
+
+def row_keys(id_col: str = "doc_id", key: str = "text_key") -> list[Column]:
+    """`KEYS` of a row with an id and a `text_key`, such that NULL ids are equal."""
+    return [F.coalesce(id_col, F.lit(0)).alias("__id"), F.col(id_col).isNull().alias("__null"), F.col(key).alias("__key")]
+
+
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """`docs` with `KEYS`, reduced to one row for each doc_id and text."""
+    keyed = docs.withColumn("text_key", text_key("text")) if "text_key" not in docs.columns else docs
+    rows = keyed.select("*", *row_keys())
+    nth = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.lit(1)))
+    return rows.withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
+
+
 def pick_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
     """Rows of `docs` whose (doc_id, text) is in `keep` (doc_id, text_key), one row for each.
 
-    Keys compare null-safe; `text_key` is `text_key(docs.text)`.
+    Both sides meet in one shuffle by doc_id and text.
     """
-    from pyspark.sql import Window
-
-    names = docs.columns
-    marked = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(0)), "__null": F.col("doc_id").isNull(), "__key": text_key("text")})
-    wanted = keep.select(
-        F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__null"), F.col("text_key").alias("__key")
-    )
-    keys = ["__id", "__null", "__key"]
-    first = Window.partitionBy(*keys).orderBy(F.lit(1))
-    return (
-        marked.join(wanted, keys, "left_semi")
-        .withColumn("__n", F.row_number().over(first))
-        .filter("__n = 1")
-        .select(*[F.col(f"`{c}`") for c in names])
-    )
-
-
-def text_key(column: str):
+    return whole(one_row_each(folded(docs)).join(keep.select(*row_keys()), KEYS, "left_semi"))
+
+
+def folded(docs: DataFrame) -> DataFrame:
+    """doc_id, text, source and n_chars of `docs`, and all columns as one, so that no name clashes."""
+    plain = [c for c in ("doc_id", "text", "source") if c in docs.columns]
+    return docs.select(*plain, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
+
+
+def whole(rows: DataFrame) -> DataFrame:
+    """The columns that `folded` has put away."""
+    return rows.select("__doc.*")
+
+
+def text_key(column: str) -> Column:
     """128-bit identity of a text as binary; NULL counts as empty."""
     return F.unhex(F.md5(F.coalesce(F.col(column), F.lit("")).cast("binary")))
 
