@@ -8,7 +8,7 @@ registers give candidates; candidates are verified by the exact Jaccard of their
 
 Within a bucket no list of all pairs is made. Members are compared with one hub first;
 only members that verified links have not joined yet are compared among themselves, block
-by block, by their registers.
+by block inside tasks, which return no more links than join their blocks.
 """
 
 from collections.abc import Iterator
@@ -24,9 +24,11 @@ from tablegauge.llm.words import WINDOW, mixed, shingle_hashes, stored, text_chu
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 SIMILARITY = 0.8
-#: Pairs of one block are fetched if so many registers agree: four deviations below 0.8.
+#: Members of one block are compared exactly if so many registers agree: four deviations below 0.8.
 LIKELY = 0.66
-BLOCK = 512
+BLOCK = 256
+#: Eighths of the unsettled buckets that each round of block comparisons takes.
+ROUNDS = ((0, 1), (1, 3), (3, 8))
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,38 +107,49 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.binary())], names=["key", "shingles"])
 
 
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sets, each an array of distinct values, is high enough."""
+    if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
+        return False
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared >= SIMILARITY * (len(both) - shared)
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        alike = []
-        for left, right in zip(batch.column("left"), batch.column("right")):
-            x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (left, right))
-            least, most = sorted((len(x), len(y)))
-            if least < SIMILARITY * most:
-                alike.append(False)
-                continue
-            both = np.concatenate((x, y))
-            both.sort(kind="stable")
-            shared = int((both[1:] == both[:-1]).sum())
-            alike.append(shared >= SIMILARITY * (len(both) - shared))
+        sides = zip(batch.column("left"), batch.column("right"))
+        alike = [similar(*(np.frombuffer(s.as_py(), np.uint64) for s in pair)) for pair in sides]
         rows = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"])
         yield rows.filter(pa.array(alike, pa.bool_()))
 
 
 def _compared(group: pa.Table) -> pa.Table:
-    """Pairs of two blocks (or of one) with different labels whose registers mostly agree."""
+    """Links that join different labels of two blocks (or within one), as many as needed."""
     lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-    keys, labels = (np.array(group.column(c).to_pylist(), object) for c in ("key", "label"))
+    keys, labels = group.column("key").to_pylist(), group.column("label").to_pylist()
     seen = np.stack([np.frombuffer(r, np.uint16) for r in group.column("registers").to_pylist()])
+    sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
     block = np.array(group.column("block").to_pylist())
+    joined = {label: label for label in labels}
+
+    def root(label: bytes) -> bytes:
+        while joined[label] != label:
+            label = joined[label]
+        return label
+
     found: tuple[list, list] = ([], [])
-    for i in np.flatnonzero(block == lo):
+    for i in np.flatnonzero(block == lo).tolist():
         others = np.flatnonzero(block == hi)
         others = others[others > i] if lo == hi else others
-        others = others[labels[others] != labels[i]]
-        if len(others):
-            for j in others[(seen[others] == seen[i]).mean(axis=1) >= LIKELY]:
-                found[0].append(min(keys[i], keys[j]))
-                found[1].append(max(keys[i], keys[j]))
+        agree = (seen[others] == seen[i]).mean(axis=1)
+        for j in others[np.argsort(-agree, kind="stable")][: int((agree >= LIKELY).sum())].tolist():
+            x, y = root(labels[i]), root(labels[j])
+            if x != y and similar(sets[i], sets[j]):
+                joined[x] = y
+                found[0].append(keys[i])
+                found[1].append(keys[j])
     return pa.table({"a": pa.array(found[0], pa.binary()), "b": pa.array(found[1], pa.binary())})
 
 
@@ -196,15 +209,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
         banded.join(stored(hubs.select("band", "hub"), "hubs"), "band").filter("key <> hub").distinct(), "members"
     )
 
+    # The shingles of every key that shares a bucket, from one of its texts.
+    wanted = members.select("key").union(members.select("hub")).distinct()
+    where = wanted.join(keyed, "key").select("key", F.col("first.id").alias("at"), F.col("first.text_key").alias("of"))
+    fetched = given.join(where, F.col("id").eqNullSafe(F.col("at")) & (F.col("text_key") == F.col("of")))
+    sets = stored(
+        fetched.select("key", "text").mapInArrow(_sets, "key binary, shingles binary").dropDuplicates(["key"]), "sets"
+    )
+
     def verify(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are similar."""
-        pairs = stored(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-        where = wanted.join(keyed, "key").select("key", F.col("first.id").alias("at"), F.col("first.text_key").alias("of"))
-        fetched = given.join(where, F.col("id").eqNullSafe(F.col("at")) & (F.col("text_key") == F.col("of")))
-        sets = stored(
-            fetched.select("key", "text").mapInArrow(_sets, "key binary, shingles binary").dropDuplicates(["key"]), "sets"
-        )
         both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("left")), "a").join(
             sets.select(F.col("key").alias("b"), F.col("shingles").alias("right")), "b"
         )
@@ -220,25 +234,28 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     edges, labels = _more(edges, labels, verify(apart))
 
     # Buckets whose members are not all connected: compare those members block by block.
-    within = _labelled(members.select("band", "key", "hub"), labels, "key", "label")
-    mixed_bands = stored(
-        within.groupBy("band")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
-        .filter("low <> high")
-        .select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")),
-        "mixed",
-    )
-    if not mixed_bands.isEmpty():
-        registers = rows.groupBy("key").agg(F.first("registers").alias("registers"))
+    registers = rows.groupBy("key").agg(F.first("registers").alias("registers"))
+    for low, high in ROUNDS:
+        turn = members.filter(F.expr(f"pmod(xxhash64(band), 8) between {low} and {high - 1}"))
+        within = _labelled(turn, labels, "key", "label")
+        unsettled = stored(
+            within.groupBy("band")
+            .agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"))
+            .filter("least <> most")
+            .select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")),
+            "unsettled",
+        )
+        if unsettled.isEmpty():
+            continue
         split = (
-            within.join(mixed_bands, "band")
+            within.join(unsettled, "band")
             .withColumn("block", F.expr("pmod(hash(key), blocks)"))
             .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
             .select("band", "key", "label", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-            .join(registers, "key")
         )
-        likely = split.groupBy("band", "lo", "hi").applyInArrow(_compared, "a binary, b binary").distinct()
-        edges, labels = _more(edges, labels, verify(likely))
+        known = stored(split.select("key").distinct().join(sets, "key").join(registers, "key"), "known")
+        links = split.join(known, "key").groupBy("band", "lo", "hi").applyInArrow(_compared, "a binary, b binary")
+        edges, labels = _more(edges, labels, stored(links, "compared"))
 
     classed = stored(_labelled(keyed, labels, "key", "label"), "classed")
     heads = classed.groupBy("label").agg(F.min("first").alias("head"))
