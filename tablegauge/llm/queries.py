@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablegauge.llm import quality_model, toxicity
 from tablegauge.llm.exact_dedup import exact_dedup
 from tablegauge.llm.mixing import mix_sources
 from tablegauge.llm.near_dedup import near_dedup
@@ -61,7 +62,21 @@ def archived_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    found = quality_model.score(docs, quality_model.fit(docs, labels))
+    return found.withColumn("predicted", (F.col("score") >= quality_model.THRESHOLD).cast("int"))
+
+
+def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    found = toxicity.score(docs, toxicity.fit(docs, labels))
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 QUERIES = {
+    "op6_quality_classifier": quality_scores,
+    "op8_toxicity": toxicity_scores,
     "op3_warc": archived_pages,
     "op2_best_fit_packing": packed_pieces,
     "op4_mix_sources": mixed_sources,
