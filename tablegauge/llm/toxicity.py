@@ -2,8 +2,9 @@
 
 The kernel of two words counts the character sequences that both contain, each weighted
 down by the gaps it has, so words with inserted characters or other endings stay alike.
-A text is described by its best match with each landmark word, and these matches are
-mapped by the inverse square root of the landmarks' own kernel.
+A sentence is described by the best match of its words with each landmark word, and these
+matches are mapped by the inverse square root of the landmarks' own kernel. The machine
+learns from labelled sentences; a text is as toxic as its most toxic sentence.
 """
 
 import re
@@ -20,8 +21,11 @@ from tablegauge.llm.linear import FOLD, SAMPLE, calibrate, held_out, hinge_fit,
 from tablegauge.llm.shipping import ship
 
 LANDMARKS = 96
-PLAIN = 24
 ORDER, DECAY = 3, 0.6
+#: Kernel values are raised to this power, which keeps them a kernel; below `FLOOR` they are 0.
+POWER, FLOOR = 4, 0.35
+#: A word is telling if it is so many times as frequent in toxic texts.
+TELLING = 8.0
 #: Characters of a token that are compared at once; longer tokens are compared window by window.
 WIDTH = 24
 SKIPS, SKIP = 256, 3
@@ -30,6 +34,7 @@ SHARED = 0.4
 CACHE = 200_000
 
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
+_SENTENCE = re.compile(r"[.!?]+\s|\n")
 
 
 @dataclass(frozen=True)
@@ -41,10 +46,12 @@ class Model:
     b: float
 
 
-def tokens(text: str) -> set[str]:
-    """Lower-case words of a text; letters set apart by single spaces count as a word too."""
+def sentences(text: str) -> list[set[str]]:
+    """Lower-case words of each sentence; letters set apart by single spaces count as a word too."""
     text = text.lower()
-    return {*text.split(), *(run.replace(" ", "").replace("\t", "") for run in _SPACED.findall(text))}
+    found = [set(part.split()) for part in _SENTENCE.split(text)]
+    runs = {run.replace(" ", "").replace("\t", "") for run in _SPACED.findall(text)}
+    return [*found, *({run} for run in runs)]
 
 
 def letters(token: str) -> str:
@@ -121,15 +128,15 @@ class Matcher:
         for lo in range(0, len(order), 4096):
             part = order[lo : lo + 4096]
             x, y = codes[rows[part], : lengths[rows[part]].max()], self.codes[marks[part], : marked[marks[part]].max()]
-            out[rows[part], marks[part]] = subsequence_kernel(x, y) / (np.sqrt(own[back[part]]) * self.norms[marks[part]])
+            alike = subsequence_kernel(x, y) / np.sqrt(np.maximum(own[back[part]], 1e-12)) / self.norms[marks[part]]
+            out[rows[part], marks[part]] = np.where(alike < FLOOR, 0, alike**POWER)
         return out
 
-    def pooled(self, texts: list[str | None]) -> np.ndarray:
-        """Per text the best match of any of its words with each landmark."""
+    def learn(self, seen: set[str]) -> None:
+        """Remembers the values of tokens, or None if they match no landmark."""
         if len(self.known) > CACHE:
             self.known.clear()
-        found = [tokens(text or "") for text in texts]
-        new = list({t for own in found for t in own if t not in self.known})
+        new = [t for t in seen if t not in self.known]
         pieces, owner = [], []
         for i, token in enumerate(new):
             self.known[token] = None
@@ -144,35 +151,37 @@ class Matcher:
                 token = new[owner[lo + k]]
                 before = self.known[token]
                 self.known[token] = values[k] if before is None else np.maximum(before, values[k])
-        out = np.zeros((len(texts), len(self.codes)), np.float32)
-        for i, own in enumerate(found):
-            hits = [v for t in own if (v := self.known[t]) is not None]
-            if hits:
-                out[i] = np.max(hits, axis=0)
+
+    def pooled(self, texts: list[list[set[str]]]) -> list[np.ndarray]:
+        """Per text one row for each sentence with a match: its best match with each landmark."""
+        self.learn({t for text in texts for sentence in text for t in sentence})
+        out = []
+        for text in texts:
+            hits = [[v for t in sentence if (v := self.known[t]) is not None] for sentence in text]
+            rows = [v[0] if len(v) == 1 else np.max(v, axis=0) for v in hits if v]
+            out.append(np.array(rows, np.float32).reshape(-1, len(self.codes)))
         return out
 
 
-def _token_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [sorted({w for t in tokens(text or "") if ORDER <= len(w := letters(t))}) for text in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.list_(pa.string()))], names=["y", "words"])
+        found = [[" ".join(sorted(s)) for s in sentences(text or "")] for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.list_(pa.string()))], names=["y", "sentences"])
 
 
-def choose_landmarks(sets: list[list[str]], y: np.ndarray) -> tuple[str, ...]:
-    """Words that tell toxic texts best, and frequent words of the others."""
+def telling_words(texts: list[list[set[str]]], y: np.ndarray) -> list[str]:
+    """Words far more frequent in toxic texts, the best first."""
     ones = max(1, int(y.sum()))
     zeros = max(1, len(y) - ones)
     toxic, clean = Counter(), Counter()
-    for words, label in zip(sets, y):
-        (toxic if label else clean).update(w[:WIDTH] for w in words)
+    for text, label in zip(texts, y):
+        (toxic if label else clean).update({letters(t)[:WIDTH] for sentence in text for t in sentence})
 
-    def tells(word: str) -> float:
-        ratio = np.log((toxic[word] + 0.5) / (ones + 1)) - np.log((clean[word] + 0.5) / (zeros + 1))
-        return float(ratio * np.sqrt(toxic[word]))
+    def ratio(word: str) -> float:
+        return float(np.log((toxic[word] + 0.5) / (ones + 1)) - np.log((clean[word] + 0.5) / (zeros + 1)))
 
-    best = sorted((w for w in toxic if toxic[w] > 2), key=lambda w: (-tells(w), w))[: LANDMARKS - PLAIN]
-    plain = sorted((w for w in clean if len(w) > ORDER and w not in best), key=lambda w: (-clean[w], w))[:PLAIN]
-    return (*best, *plain)
+    found = [w for w in toxic if toxic[w] > 2 and len(w) >= ORDER and ratio(w) > np.log(TELLING)]
+    return sorted(found, key=lambda w: (-ratio(w) * np.sqrt(toxic[w]), w))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", rows: int = SAMPLE) -> Model:
@@ -180,25 +189,44 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     ship(docs.sparkSession)
     given = docs.select(F.col(id_col), F.col(text).alias("text"))
     sample = labelled_sample(given, labels.select(id_col, label), label, id_col, rows).select("y", "text")
-    table = sample.mapInArrow(_token_sets, "y int, words array<string>").toArrow()
-    y, sets = np.array(table.column("y").to_pylist(), np.int64), table.column("words").to_pylist()
-    order = sorted(range(len(y)), key=lambda i: (y[i], len(sets[i]), sets[i]))
-    y, sets = y[order], [sets[i] for i in order]
+    table = sample.mapInArrow(_sentences, "y int, sentences array<string>").toArrow()
+    rows_found = sorted(zip(table.column("y").to_pylist(), table.column("sentences").to_pylist()))
+    y = np.array([label for label, _ in rows_found], np.int64)
+    texts = [[set(s.split()) for s in text] for _, text in rows_found]
     check = np.arange(len(y)) % FOLD == 0
-    landmarks = choose_landmarks([s for s, c in zip(sets, check) if not c], y[~check]) if 0 < int(y.sum()) < len(y) else ()
-    if not landmarks:
+    learn = np.flatnonzero(~check)
+    telling = telling_words([texts[i] for i in learn], y[learn])
+    if not telling:
         return Model((), np.zeros(0), 0.0, *calibrate(np.zeros(len(y)), y))
+    landmarks = tuple(telling[:LANDMARKS])
     matcher = Matcher(landmarks)
-    pooled = np.concatenate([matcher.pooled([" ".join(s) for s in sets[lo : lo + 500]]) for lo in range(0, len(sets), 500)])
-    gram = matcher.values([w for w in landmarks], all_pairs=True).astype(float)
+    gram = matcher.values(list(landmarks), all_pairs=True).astype(float)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     # Nyström: directions that the landmarks hardly span would only amplify noise.
     root = vectors @ np.diag(np.where(values > 1e-2, np.maximum(values, 1e-2) ** -0.5, 0)) @ vectors.T
-    mapped = np.hstack([pooled @ root, np.ones((len(y), 1))])
-    learn = np.flatnonzero(~check)
-    weights = hinge_fit([(slice(None), mapped[i]) for i in learn], np.where(y[learn] == 1, 1, -1), mapped.shape[1], cost=1.0, epochs=30)
-    a, b = calibrate(mapped[check] @ weights, y[check])
-    return Model(landmarks, root @ weights[:-1], float(weights[-1]), a, b)
+
+    # Sentences of toxic texts are toxic if they have a telling word; a clean text's best
+    # matches stand for all of its sentences.
+    words, examples, signs = set(telling), [], []
+    pooled = [found for lo in range(0, len(texts), 500) for found in matcher.pooled(texts[lo : lo + 500])]
+    for i in learn:
+        if not y[i]:
+            examples.append(pooled[i].max(axis=0, initial=0))
+            signs.append(-1)
+            continue
+        marked = [s for s in texts[i] if any(letters(t)[:WIDTH] in words for t in s)]
+        examples += list(matcher.pooled([marked])[0])
+        signs += [1] * (len(examples) - len(signs))
+    mapped = np.hstack([np.array(examples) @ root, np.ones((len(examples), 1))])
+    weights = hinge_fit([(slice(None), row) for row in mapped], np.array(signs), mapped.shape[1], epochs=20)
+    model = Model(landmarks, root @ weights[:-1], float(weights[-1]), 1.0, 0.0)
+    margins = np.array([_margin(model, found) for found in pooled])
+    a, b = calibrate(margins[check], y[check])
+    return Model(landmarks, model.weights, model.bias, a, b)
+
+
+def _margin(model: Model, rows: np.ndarray) -> float:
+    return float((rows @ model.weights).max(initial=0.0)) + model.bias
 
 
 def _scorer(model: Model) -> Callable:
@@ -207,8 +235,9 @@ def _scorer(model: Model) -> Callable:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                pooled = matcher.pooled(part.column("text").to_pylist()) if matcher else np.zeros((part.num_rows, 0))
-                scores = logistic(pooled @ model.weights + model.bias, model.a, model.b)
+                texts = [sentences(text or "") for text in part.column("text").to_pylist()]
+                pooled = matcher.pooled(texts) if matcher else [np.zeros((0, 0))] * len(texts)
+                scores = logistic(np.array([_margin(model, rows) for rows in pooled]), model.a, model.b)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(scores, pa.float64())], names=["id", "score"])
 
     return work
