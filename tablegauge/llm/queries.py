@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegauge.llm import quality_model, toxicity
+from tablegauge.llm import license_scan, quality_model, toxicity
 from tablegauge.llm.exact_dedup import exact_dedup
 from tablegauge.llm.mixing import mix_sources
 from tablegauge.llm.near_dedup import near_dedup
@@ -74,7 +74,24 @@ def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def licences(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    found = license_scan.scan(docs, license_scan.fit(docs))
+    sure = "transform(filter(notices, x -> x.confirmed), x -> struct(x.probability, -x.paragraph as place, x.similarity))"
+    best = F.expr(f"array_max({sure})")
+    return found.select(
+        "doc_id",
+        F.size("notices").alias("n_candidates"),
+        F.expr("size(filter(notices, x -> x.confirmed))").alias("n_confirmed"),
+        F.expr("array_join(array_sort(array_distinct(filter(notices, x -> x.confirmed).family)), ', ')").alias("families"),
+        (-best["place"]).alias("paragraph"),
+        best["probability"].alias("probability"),
+        best["similarity"].alias("similarity"),
+    )
+
+
 QUERIES = {
+    "op1_license_scan": licences,
     "op6_quality_classifier": quality_scores,
     "op8_toxicity": toxicity_scores,
     "op3_warc": archived_pages,
