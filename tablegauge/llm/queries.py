@@ -9,6 +9,7 @@ from tablegauge.llm.mixing import mix_sources
 from tablegauge.llm.near_dedup import near_dedup
 from tablegauge.llm.packing import pack, pieces
 from tablegauge.llm.quality_rules import BASE, FULL, apply_policy, ledger
+from tablegauge.llm.suffix_dedup import suffix_dedup
 from tablegauge.llm.warc import read_warc, write_warc
 from tablegauge.llm.words import squeezed_sql
 from tablegauge.sources.storage import run_folder
@@ -90,7 +91,13 @@ def licences(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 QUERIES = {
+    "op7_suffix_dedup": repeated_strings,
     "op1_license_scan": licences,
     "op6_quality_classifier": quality_scores,
     "op8_toxicity": toxicity_scores,
