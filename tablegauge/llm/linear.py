@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that a classifier is fitted on, at most.
-SAMPLE = 8000
+SAMPLE = 4000
 #: Every so many-th row of the sample calibrates the scores instead.
 FOLD = 4
 HELD_OUT = 5

@@ -70,7 +70,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     sample = labelled_sample(given, labels.select(id_col, label), label, id_col, rows).select("y", "text")
     table = sample.mapInArrow(_featured, "y int, features array<int>").toArrow()
     y = np.array(table.column("y").to_pylist(), np.int64)
-    found = [np.array(x, np.int64) for x in table.column("features").to_pylist()]
+    column = table.column("features").combine_chunks()
+    bounds, flat = column.offsets.to_numpy(), column.values.to_numpy()
+    found = [flat[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:])]
     order = sorted(range(len(y)), key=lambda i: (y[i], len(found[i]), found[i].tobytes()))
     learn, check = [i for n, i in enumerate(order) if n % FOLD], order[::FOLD]
     counts = np.ones((2, FEATURES))
@@ -82,7 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
 
     def scaled(i: int) -> tuple[np.ndarray, np.ndarray]:
         values = ratios[found[i]]
-        return np.append(found[i], FEATURES), np.append(values / max(float(np.linalg.norm(values)), 1e-9), 1.0)
+        return np.append(found[i], np.int32(FEATURES)), np.append(values / max(float(np.linalg.norm(values)), 1e-9), 1.0).astype(np.float32)
 
     weights = hinge_fit([scaled(i) for i in learn], np.where(y[learn] == 1, 1, -1), FEATURES + 1)
     margins = np.array([float(np.dot(weights[at], values)) for at, values in map(scaled, check)])
