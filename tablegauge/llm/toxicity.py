@@ -169,13 +169,17 @@ def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.list_(pa.string()))], names=["y", "sentences"])
 
 
-def telling_words(texts: list[list[set[str]]], y: np.ndarray) -> list[str]:
+def _sets(text: list[str]) -> list[set[str]]:
+    return [set(sentence.split()) for sentence in text]
+
+
+def telling_words(texts: list[list[str]], y: np.ndarray) -> list[str]:
     """Words far more frequent in toxic texts, the best first."""
     ones = max(1, int(y.sum()))
     zeros = max(1, len(y) - ones)
     toxic, clean = Counter(), Counter()
     for text, label in zip(texts, y):
-        (toxic if label else clean).update({letters(t)[:WIDTH] for sentence in text for t in sentence})
+        (toxic if label else clean).update({letters(t)[:WIDTH] for sentence in text for t in sentence.split()})
 
     def ratio(word: str) -> float:
         return float(np.log((toxic[word] + 0.5) / (ones + 1)) - np.log((clean[word] + 0.5) / (zeros + 1)))
@@ -192,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     table = sample.mapInArrow(_sentences, "y int, sentences array<string>").toArrow()
     rows_found = sorted(zip(table.column("y").to_pylist(), table.column("sentences").to_pylist()))
     y = np.array([label for label, _ in rows_found], np.int64)
-    texts = [[set(s.split()) for s in text] for _, text in rows_found]
+    texts = [text for _, text in rows_found]
     check = np.arange(len(y)) % FOLD == 0
     learn = np.flatnonzero(~check)
     telling = telling_words([texts[i] for i in learn], y[learn])
@@ -208,13 +212,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     # Sentences of toxic texts are toxic if they have a telling word; a clean text's best
     # matches stand for all of its sentences.
     words, examples, signs = set(telling), [], []
-    pooled = [found for lo in range(0, len(texts), 500) for found in matcher.pooled(texts[lo : lo + 500])]
+    pooled = [found for lo in range(0, len(texts), 500) for found in matcher.pooled([*map(_sets, texts[lo : lo + 500])])]
     for i in learn:
         if not y[i]:
             examples.append(pooled[i].max(axis=0, initial=0))
             signs.append(-1)
             continue
-        marked = [s for s in texts[i] if any(letters(t)[:WIDTH] in words for t in s)]
+        marked = [s for s in _sets(texts[i]) if any(letters(t)[:WIDTH] in words for t in s)]
         examples += list(matcher.pooled([marked])[0])
         signs += [1] * (len(examples) - len(signs))
     mapped = np.hstack([np.array(examples) @ root, np.ones((len(examples), 1))])
