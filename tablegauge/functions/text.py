@@ -4,8 +4,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# What the read-only lint accepts and refuses.
+# First words that the read-only lint accepts, and words that it refuses.
 READ_ONLY_STARTS = ("select", "with", "explain")
 WRITE_WORDS = (
     "drop",
@@ -35,7 +36,8 @@ _START = rf"(?i)^\s*({'|'.join(READ_ONLY_STARTS)})\b"
 _WRITE = rf"(?i)\b({'|'.join(WRITE_WORDS)})\b"
 # A doubled quote inside a literal reads as two literals side by side, so a
 # plain character class is enough and long literals need no backtracking.
-_LITERAL_OR_COMMENT = r"'[^']*'|/\*[\s\S]*?\*/|--[^\r\n]*"
+_QUOTED, _BLOCK, _LINE = r"'[^']*'", r"/\*(?:[^*]|\*(?!/))*+\*/", r"--.*"
+_LITERAL_OR_COMMENT = f"{_QUOTED}|{_BLOCK}|{_LINE}"
 _TAIL = r";*\s*$"
 
 # Spark's own error conditions, by prefix.
@@ -133,12 +135,14 @@ def payload_digest(names: Sequence[str]) -> Column:
     return F.substring(F.sha2(payload, 256), 1, 12)
 
 
-def group_key_sql(value: str, is_text: bool) -> str:
+def group_key_sql(value: str, dtype: T.DataType) -> str:
     """Key that groups equal values while shuffling at most 64 bytes of text.
 
     Text of up to 48 bytes stands for itself; longer text is replaced by its
-    SHA-256 in hex, which is 64 bytes long and so never meets a short text.
+    SHA-256 in hex, which is 64 bytes long and so never meets a short text. Text of
+    another collation than the binary one is equal in more ways than its bytes, and
+    groups as it is.
     """
-    if not is_text:
+    if not isinstance(dtype, T.StringType) or getattr(dtype, "collation", "UTF8_BINARY") != "UTF8_BINARY":
         return value
     return f"CASE WHEN octet_length({value}) > 48 THEN sha2({value}, 256) ELSE {value} END"

@@ -24,16 +24,22 @@ def agent_activity(events: DataFrame) -> DataFrame:
 
 
 def call_latency(events: DataFrame, by: tuple[str, ...] = ("agent",)) -> DataFrame:
-    """Durations noted after calls: count, mean, maximum and 95th percentile."""
+    """Durations noted after calls: count, mean, maximum and exact 95th percentile.
+
+    Durations are whole milliseconds, so the windows hold one row per distinct
+    duration of a group, however many calls there are.
+    """
     found = F.regexp_extract("detail", r"duration_ms=(\d+)", 1)
     timed = events.select(*by, F.nullif(found, F.lit("")).try_cast("bigint").alias("ms"))
-    return (
-        timed.where(F.col("ms").isNotNull())
-        .groupBy(*by)
-        .agg(
-            F.count(F.lit(1)).alias("calls"),
-            F.avg("ms").alias("avg_ms"),
-            F.max("ms").alias("max_ms"),
-            F.percentile_approx("ms", 0.95, 10_000).alias("p95_ms"),
-        )
+    counted = timed.where(F.col("ms").isNotNull()).groupBy(*by, "ms").agg(F.count(F.lit(1)).alias("n"))
+    upto = W.partitionBy(*by).orderBy("ms")
+    placed = counted.withColumns(
+        {"seen": F.sum("n").over(upto), "total": F.sum("n").over(W.partitionBy(*by))}
+    )
+    reached = F.col("seen") >= F.ceil(F.col("total") * F.lit(0.95))
+    return placed.groupBy(*by).agg(
+        F.sum("n").alias("calls"),
+        (F.sum(F.col("ms") * F.col("n")) / F.sum("n")).alias("avg_ms"),
+        F.max("ms").alias("max_ms"),
+        F.min(F.when(reached, F.col("ms"))).alias("p95_ms"),
     )

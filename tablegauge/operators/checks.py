@@ -11,20 +11,19 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.util import inheritable_thread_target
 
 from tablegauge.functions.numbers import to_long_or
 from tablegauge.functions.text import condition_class, group_key_sql, lint_column
 from tablegauge.operators.profile import col, email_miss, ident, union_all
 from tablegauge.schemas import RULE_RESULTS, RULES
-from tablegauge.sources.tables import Tables, row_counts
+from tablegauge.sources.tables import Tables, named_views, row_counts
 
 Params = Mapping[str, str]
 LIST_SEPARATOR = "|"
 PARALLEL_UNITS = 8
 # Position under which a fused frame reports the rows of its table.
-ROWS = 1_000_000
+ROWS = -1
 
 
 # Row predicates: true for a violating row; NULL and false both pass.
@@ -67,7 +66,7 @@ AGG_CHECKS: dict[str, Callable[[str, Params], Column]] = {
 
 def _keys(df: DataFrame, columns: Iterable[str]) -> list[Column]:
     return [
-        F.expr(group_key_sql(ident(c), isinstance(df.schema[c].dataType, T.StringType))).alias(f"k{i}")
+        F.expr(group_key_sql(ident(c), df.schema[c].dataType)).alias(f"k{i}")
         for i, c in enumerate(columns)
     ]
 
@@ -107,25 +106,29 @@ def _sigma_range(tables: Tables, table: str, column: str, p: Params) -> DataFram
     )
 
 
-def _alike(df: DataFrame, key: str, used: str) -> DataFrame:
-    """Distinct combinations of the key and the used columns, with their counts."""
+def _alike(df: DataFrame, key: str, used: str, reduce_first: bool) -> DataFrame:
+    """The key and the used columns, each row or each distinct combination with its count."""
     columns = [key, *(u for u in used.split(LIST_SEPARATOR) if u and u != key)]
-    return (
-        df.where(col(key).isNotNull())
-        .groupBy(*(col(c) for c in columns))
-        .agg(F.count(F.lit(1)).alias("rows_alike"))
-    )
+    kept = df.where(col(key).isNotNull())
+    if not reduce_first:
+        return kept.select(*(col(c) for c in columns), F.lit(1).cast("bigint").alias("rows_alike"))
+    return kept.groupBy(*(col(c) for c in columns)).agg(F.count(F.lit(1)).alias("rows_alike"))
 
 
 def _joined_predicate(tables: Tables, table: str, column: str, p: Params) -> DataFrame:
     """Joined rows of `table` (as `c`) and a parent (as `p`) breaking a predicate.
 
     `uses` and `parent_uses` name the columns of the predicate besides the
-    keys. Equal rows are counted before the join on either side, so a hot key
-    meets its partner only once per distinct combination.
+    keys. Each side is shuffled once, by the key, and adaptive execution splits hot
+    keys. Where a key repeats on both sides, `reduce` ("child", "parent" or
+    "child|parent") counts equal rows of those sides first, so that they meet only
+    once per distinct combination, at the price of one more shuffle.
     """
-    child = _alike(tables[table], column, p.get("uses", "")).alias("c")
-    parent = _alike(tables[p["parent"]], p["parent_column"], p.get("parent_uses", "")).alias("p")
+    first = p.get("reduce", "").split(LIST_SEPARATOR)
+    child = _alike(tables[table], column, p.get("uses", ""), "child" in first).alias("c")
+    parent = _alike(
+        tables[p["parent"]], p["parent_column"], p.get("parent_uses", ""), "parent" in first
+    ).alias("p")
     met = child.join(parent, F.expr(f"c.`{column}` = p.`{p['parent_column']}`"))
     pairs = F.col("c.rows_alike") * F.col("p.rows_alike")
     return met.where(F.expr(p["predicate"])).agg(
@@ -137,9 +140,8 @@ def _statement(tables: Tables, table: str, column: str, p: Params) -> DataFrame:
     """First cell of a statement, read as a count; no row gives 0."""
     text = p["sql_text"]
     spark = next(iter(tables.values())).sparkSession
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    found = spark.sql(text)
+    with named_views(tables):
+        found = spark.sql(text)
     head = found.schema.fields[0]
     return (
         found.toDF(*[f"c{i}" for i in range(len(found.columns))])
@@ -211,7 +213,7 @@ def _count_frame(rule: Row, tables: Tables, lint: str) -> DataFrame:
 
 def _fused_frame(rules: Sequence[tuple[int, Row]], df: DataFrame) -> DataFrame:
     """All row and aggregate checks of a table from one scan, and its row count."""
-    aggregates = [F.count(F.lit(1)).alias(f"v{ROWS}")]
+    aggregates = [F.count(F.lit(1)).alias("v_rows")]
     for i, rule in rules:
         p = rule.params or {}
         if rule.check_kind in ROW_CHECKS:
@@ -219,7 +221,8 @@ def _fused_frame(rules: Sequence[tuple[int, Row]], df: DataFrame) -> DataFrame:
         else:
             hit = AGG_CHECKS[rule.check_kind](rule.column_name, p)
         aggregates.append(hit.cast("bigint").alias(f"v{i}"))
-    cells = [f"named_struct('pos', {i}, 'violations', v{i})" for i in (ROWS, *(i for i, _ in rules))]
+    cells = [f"named_struct('pos', {ROWS}, 'violations', v_rows)"]
+    cells += [f"named_struct('pos', {i}, 'violations', v{i})" for i, _ in rules]
     return df.agg(*aggregates).selectExpr(f"inline(array({', '.join(cells)}))")
 
 

@@ -2,9 +2,9 @@
 
 A gate is a row `(gate_id, table_name, state, reason, evidence)`, the evidence
 being the number of statements per status. `gate_evidence` lists the
-statements behind those numbers, one row each, so that a long log never has to
-fit into one cell. Reasons name the first few statements, or all of them with
-`listed=None` where logs are known to be short.
+statements behind those numbers, one row each. Reasons of G2 and G4 name every
+failed statement of their table, those of G3 and G5 the first few; for logs with
+very many statements a table, `listed` shortens the former.
 """
 
 from functools import reduce
@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablegauge.schemas import GATE_LOG, SQL_STATUS
-from tablegauge.sources.storage import settle
+from tablegauge.sources.storage import run_folder
 
 LISTED = 5
 
@@ -54,18 +54,18 @@ def _n_waivers(waivers: DataFrame | None, names: DataFrame) -> DataFrame:
     )
 
 
-def _named(items: DataFrame, listed: int | None) -> DataFrame:
-    """The statements a reason names, in id order, per table.
+def _named(items: DataFrame, listed: int | None, name: str = "sql_id") -> DataFrame:
+    """The statements (or rules) a reason names, in id order, per table.
 
     With a limit, each task passes on only its own first few.
     """
     if listed is None:
         firsts = items
     else:
-        first = W.partitionBy("table_name").orderBy("sql_id")
+        first = W.partitionBy("table_name").orderBy(name)
         firsts = items.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= listed)
     return firsts.groupBy("table_name").agg(
-        F.array_join(F.sort_array(F.collect_list("sql_id")), ", ").alias("names")
+        F.array_join(F.sort_array(F.collect_list(name)), ", ").alias("names")
     )
 
 
@@ -143,14 +143,14 @@ def _all_validated(
 
 
 def gate_profile_execution(
-    items: DataFrame, waivers: DataFrame | None = None, listed: int | None = LISTED
+    items: DataFrame, waivers: DataFrame | None = None, listed: int | None = None
 ) -> DataFrame:
     """G2: every profile statement is validated, executed or waived."""
     return _all_validated("G2", "Profile execution", items, waivers, listed)
 
 
 def gate_rule_execution(
-    items: DataFrame, waivers: DataFrame | None = None, listed: int | None = LISTED
+    items: DataFrame, waivers: DataFrame | None = None, listed: int | None = None
 ) -> DataFrame:
     """G4: every rule check is validated, executed or waived."""
     return _all_validated("G4", "DQ execution", items, waivers, listed)
@@ -175,12 +175,16 @@ def gate_rule_generation(items: DataFrame, waivers: DataFrame | None = None) ->
 
 
 def gate_review(checks: DataFrame, max_unresolved: int = 0) -> DataFrame:
-    """G5: at most `max_unresolved` rule checks are failed."""
+    """G5: at most `max_unresolved` rule checks are failed.
+
+    The reason names rules by `rule_id`, or statements where a log has none.
+    """
+    name = "rule_id" if "rule_id" in checks.columns else "sql_id"
     failed = F.col("status") == "failed"
     counts = checks.groupBy("table_name").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(failed).alias("n_failed"), *_status_counts()
     )
-    named = _named(checks.where(failed).select("table_name", "sql_id"), LISTED)
+    named = _named(checks.where(failed).select("table_name", name), LISTED, name)
     found = counts.join(named, "table_name", "left")
     closed = F.format_string(
         UNRESOLVED, F.col("table_name"), F.col("n_failed"), F.col("names")
@@ -226,9 +230,13 @@ def report_mode(final_gate: DataFrame) -> DataFrame:
     )
 
 
-def gate_evidence(items: DataFrame, gate_id: str) -> DataFrame:
-    """The statements behind a gate's evidence, one row each."""
-    return items.select(F.lit(gate_id).alias("gate_id"), "table_name", "status", "sql_id")
+def gate_evidence(
+    items: DataFrame, gate_id: str, waivers: DataFrame | None = None
+) -> DataFrame:
+    """The statements behind a gate's evidence, one row each; `waived` ones hold up no gate."""
+    return _flag_waived(items, waivers).select(
+        F.lit(gate_id).alias("gate_id"), "table_name", "status", "sql_id", "waived"
+    )
 
 
 def table_stage(gates: DataFrame) -> DataFrame:
@@ -293,7 +301,9 @@ def gate_changes(
         if slices
         else decisions.repartitionByRange(*ranges)
     )
-    cut = settle(cut.withColumn("slice", F.spark_partition_id()))
+    path = run_folder(decisions.sparkSession, "decisions")
+    cut.withColumn("slice", F.spark_partition_id()).write.parquet(path)
+    cut = decisions.sparkSession.read.parquet(path)
     seen = F.struct(*compare)
     when = F.struct(*order)
     last = cut.groupBy("gate_id", "slice").agg(F.max_by(seen, when).alias("last"))
@@ -304,7 +314,9 @@ def gate_changes(
     )
     within = W.partitionBy("gate_id", "slice").orderBy(*order)
     looked = cut.withColumns({"before": F.lag(seen).over(within), "seen": seen})
-    met = looked.join(carried, ["gate_id", "slice"], "left")
+    # A decision without a gate id belongs to one gate like any other.
+    same = looked["gate_id"].eqNullSafe(carried["gate_id"]) & (looked["slice"] == carried["slice"])
+    met = looked.join(carried, same, "left").drop(carried["gate_id"], carried["slice"])
     previous = F.coalesce("before", "carried")
     return met.where(~F.col("seen").eqNullSafe(previous)).select(*decisions.columns)
 

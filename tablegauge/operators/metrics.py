@@ -1,14 +1,17 @@
 """User metrics: expressions fused into one scan, or statements of their own."""
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from tablegauge.functions.numbers import to_long_or
 from tablegauge.operators.checks import (
+    PARALLEL_UNITS,
     ReadOnlyViolation,
     UnknownCheck,
     brief,
@@ -17,7 +20,8 @@ from tablegauge.operators.checks import (
 )
 from tablegauge.operators.profile import union_all
 from tablegauge.schemas import METRIC_RESULTS
-from tablegauge.sources.tables import Tables
+from tablegauge.sources.storage import run_folder
+from tablegauge.sources.tables import Tables, named_views
 
 _TEXT = "string"
 
@@ -65,16 +69,40 @@ def custom_metrics(tables: Tables, specs: Sequence[Row | dict]) -> DataFrame:
     A metric gives `expr`, an aggregate expression over its table, or
     `sql_text`, a query over the tables by name; of a query other than
     `top_values` only the first row counts. A metric that does not resolve, or
-    is no read-only query, is reported as `failed`.
+    is no read-only query, or fails while running is reported as `failed`. Results
+    are stored once; expressions run by themselves only where their table's common
+    scan fails.
     """
     spark = next(iter(tables.values())).sparkSession
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
     specs = [s.asDict() if isinstance(s, Row) else dict(s) for s in specs]
     texts = {i: s.get("sql_text") or "" for i, s in enumerate(specs) if not s.get("expr")}
     lint = lint_statements(spark, texts)
     fused: dict[str, list[tuple[int, dict]]] = {}
-    frames, failures = [], []
+    single: list[tuple[DataFrame, list[tuple[int, dict]]]] = []
+    failures: list[tuple] = []
+    root, written = run_folder(spark, "metrics"), []
+
+    def refuse(seq: int, spec: dict, error: Exception) -> None:
+        failures.append(
+            (
+                spec["table_name"], spec["sql_id"], spec["purpose"], spec["column_name"],
+                seq, "failed", None, error_class_of(error), brief(error),
+            )
+        )
+
+    def run(unit: tuple[DataFrame, list[tuple[int, dict]]]) -> None:
+        frame, group = unit
+        path = f"{root}/{group[0][0]}-{len(group)}"
+        try:
+            frame.select(*METRIC_RESULTS.fieldNames()).write.mode("overwrite").parquet(path)
+            written.append(path)
+        except PySparkException as error:
+            if len(group) == 1:
+                refuse(*group[0], error)
+                return
+            for seq, spec in group:
+                run((_fused(tables[spec["table_name"]], [(seq, spec)]), [(seq, spec)]))
+
     for seq, spec in enumerate(specs):
         try:
             if spec["table_name"] not in tables:
@@ -85,30 +113,30 @@ def custom_metrics(tables: Tables, specs: Sequence[Row | dict]) -> DataFrame:
                 continue
             if lint[seq] != "ok":
                 raise ReadOnlyViolation(f"statement refused by the read-only lint: {lint[seq]}")
-            found = spark.sql(spec["sql_text"])
+            with named_views(tables):
+                found = spark.sql(spec["sql_text"])
             found = found.toDF(*[f"c{i}" for i in range(len(found.columns))])
             if spec["purpose"] != "top_values":
                 found = found.limit(1)
-            frames.append(_shape(found, spec, seq, _cells(found.columns)))
+            single.append((_shape(found, spec, seq, _cells(found.columns)), [(seq, spec)]))
         except (PySparkException, ValueError) as error:
-            failures.append(
-                (
-                    spec["table_name"], spec["sql_id"], spec["purpose"], spec["column_name"],
-                    seq, "failed", None, error_class_of(error), brief(error),
-                )
-            )
-    frames += [_fused(tables[t], group) for t, group in fused.items()]
-    if failures or not frames:
-        frames.append(spark.createDataFrame(failures, METRIC_RESULTS))
+            refuse(seq, spec, error)
+    units = single + [(_fused(tables[t], group), group) for t, group in fused.items()]
+    with ThreadPoolExecutor(max_workers=PARALLEL_UNITS) as pool:
+        list(pool.map(inheritable_thread_target(spark)(run), units))
+    frames = [spark.createDataFrame(failures, METRIC_RESULTS)] if failures or not written else []
+    if written:
+        frames.append(spark.read.schema(METRIC_RESULTS).parquet(*sorted(written)))
     return union_all(frames).select(*METRIC_RESULTS.fieldNames())
 
 
-def summarise_metrics(results: DataFrame, k: int = 5) -> DataFrame:
+def summarise_metrics(results: DataFrame, k: int | None = None) -> DataFrame:
     """Profile summary per table and column from executed metric results.
 
     Of several results for one purpose the last one counts. `min_max` may come
-    as two cells or one; `top_values` rows are `(value, n)`, of which the summary
-    shows the first `k`.
+    as two cells or one; `top_values` rows are `(value, n)`, all of which the
+    summary shows, or the first `k`. A table with nothing but a row count has a row
+    without a column.
     """
     done = results.where(F.col("status") == "executed")
     first = F.try_element_at("cells", F.lit(1))
@@ -145,9 +173,9 @@ def summarise_metrics(results: DataFrame, k: int = 5) -> DataFrame:
         "table_name", "column_name", "seq", first.alias("value"),
         to_long_or(second, cell_type, None).alias("n"),
     )
+    placed = listed.withColumn("place", F.row_number().over(order))
     tops = (
-        listed.withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= k)
+        (placed if k is None else placed.where(F.col("place") <= k))
         .groupBy("table_name", "column_name")
         .agg(F.sort_array(F.collect_list(F.struct("place", "value", "n"))).alias("t"))
         .select(
@@ -159,5 +187,5 @@ def summarise_metrics(results: DataFrame, k: int = 5) -> DataFrame:
         )
     )
     return columns.join(tops, ["table_name", "column_name"], "left").join(
-        rows, "table_name", "left"
+        rows, "table_name", "full"
     )

@@ -32,6 +32,11 @@ NON_NEGATIVE_NAMES = ("amount", "price", "qty", "quantity", "total")
 # Fragments of free-text type names that mean a number.
 NUMERIC_HINTS = ("int", "num", "real", "dec", "float", "double", "money")
 
+# Standard error of a distinct count by sketch.
+SKETCH_ERROR = 0.05
+# Names that always call for uniqueness.
+KEY_NAMES = ("id", "sku", "code")
+
 _KEYS = ("table_name", "ordinal", "column_name", "dtype", "nullable")
 _FLAT = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 _SPARK_NUMERIC = r"^(tinyint|smallint|int|bigint|float|double|decimal\(.*\))$"
@@ -46,7 +51,13 @@ class Field(NamedTuple):
 
 
 def union_all(frames: Iterable[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+    """Union by halves: each frame is analysed again once per level, not once per frame."""
+    listed = list(frames)
+    while len(listed) > 1:
+        pairs = zip(listed[::2], listed[1::2])
+        odd = listed[-1:] if len(listed) % 2 else []
+        listed = [a.unionByName(b) for a, b in pairs] + odd
+    return listed[0]
 
 
 def numeric_dtype(dtype: Column) -> Column:
@@ -207,7 +218,7 @@ def exact_distinct(
         metrics = {
             f.ordinal: {
                 "distinct_count": "count(DISTINCT "
-                f"{group_key_sql(ident(f.column.name), _is_text(f.column.dataType))})"
+                f"{group_key_sql(ident(f.column.name), f.column.dataType)})"
             }
             for f in batch
         }
@@ -225,13 +236,15 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
     for name in columns:
         dtype = df.schema[name].dataType
         value = col(name) + F.lit(0.0) if _fraction(dtype) else col(name)
-        counted = (
-            df.where(col(name).isNotNull())
-            .groupBy(value.alias("v"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .orderBy(F.desc("n"), F.asc("v"))
-            .limit(k)
-        )
+        kept = df.where(col(name).isNotNull())
+        if _is_text(dtype):
+            # Long text is grouped by its digest; one copy of each text is carried along.
+            groups = kept.groupBy(F.expr(group_key_sql(ident(name), dtype)).alias("key")).agg(
+                F.count(F.lit(1)).alias("n"), F.any_value(value).alias("v")
+            )
+        else:
+            groups = kept.groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        counted = groups.orderBy(F.desc("n"), F.asc("v")).limit(k)
         # At most k rows are left here.
         packed = counted.agg(F.collect_list(F.struct((-F.col("n")).alias("o"), "v")).alias("l"))
         ranked = packed.select(F.posexplode(F.array_sort("l")).alias("pos", "e"))
@@ -276,7 +289,7 @@ def _profile_parts(
     table_name: str,
     *,
     mode: str = "exact",
-    rsd: float = 0.05,
+    rsd: float = SKETCH_ERROR,
     columns: Sequence[str] | None = None,
     not_null: Iterable[str] = (),
     top_k: int = 0,
@@ -325,6 +338,29 @@ def profile_table(df: DataFrame, table_name: str, **options: object) -> DataFram
     return _merge(*_profile_parts(df, table_name, **options))
 
 
+def exact_where_close(
+    df: DataFrame, column_profile: DataFrame, rsd: float, columns_per_pass: int = 4
+) -> DataFrame:
+    """A profile by sketch with exact distinct counts where uniqueness could hang on them.
+
+    These are columns with a key's name and columns whose sketch lies within four
+    standard errors of the rows. One row per column reaches the driver.
+    """
+    near = F.abs(F.col("row_count") - F.col("distinct_count")) <= 4 * rsd * F.col("row_count")
+    named = F.lower("column_name").isin(*KEY_NAMES)
+    rows = column_profile.where(F.col("distinct_count").isNotNull() & (near | named)).collect()
+    if not rows:
+        return column_profile
+    fields = [Field(r.ordinal, df.schema[r.column_name], r.nullable) for r in rows]
+    passes = exact_distinct(df, rows[0].table_name, fields, columns_per_pass)
+    exact = union_all(passes).select("ordinal", F.col("distinct_count").alias("exact"))
+    return (
+        column_profile.join(exact, "ordinal", "left")
+        .withColumn("distinct_count", F.coalesce("exact", "distinct_count"))
+        .select(*COLUMN_PROFILE.fieldNames())
+    )
+
+
 def profile_schema(
     tables: Tables,
     *,
@@ -360,9 +396,12 @@ def pattern_stats(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFram
     return top_values(shapes, columns, k)
 
 
-def profile_plan_size(manifest: DataFrame) -> DataFrame:
-    """Number of profile statements of each table."""
-    numeric = numeric_dtype(F.col("dtype"))
+def profile_plan_size(manifest: DataFrame, spark_types: bool = True) -> DataFrame:
+    """Number of profile statements of each table.
+
+    `spark_types=False` reads type names as a database catalogue spells them.
+    """
+    numeric = numeric_dtype(F.col("dtype")) if spark_types else numeric_hint(F.col("dtype"))
     return manifest.groupBy("table_name").agg(
         F.count(F.lit(1)).alias("columns"),
         F.count_if(numeric).alias("numeric_columns"),
@@ -370,8 +409,14 @@ def profile_plan_size(manifest: DataFrame) -> DataFrame:
     )
 
 
-def profile_statements(manifest: DataFrame, status: str = "executed") -> DataFrame:
-    """The metrics of a profile as log rows, one statement each."""
+def profile_statements(
+    manifest: DataFrame, status: str = "executed", spark_types: bool = True
+) -> DataFrame:
+    """The metrics of a profile as log rows, one statement each.
+
+    `spark_types=False` reads type names as a database catalogue spells them.
+    """
+    numeric = numeric_dtype(F.col("dtype")) if spark_types else numeric_hint(F.col("dtype"))
     table, name = F.col("table_name"), F.col("column_name")
     source = F.concat(F.lit("`"), table, F.lit("`"))
     quoted = F.concat(F.lit("`"), F.replace(name, F.lit("`"), F.lit("``")), F.lit("`"))
@@ -404,7 +449,7 @@ def profile_statements(manifest: DataFrame, status: str = "executed") -> DataFra
             F.concat(F.lit("SELECT COUNT(DISTINCT "), quoted, F.lit(") FROM "), source),
         ),
         F.when(
-            numeric_dtype(F.col("dtype")),
+            numeric,
             statement(
                 "min_max",
                 F.concat(
@@ -456,7 +501,7 @@ def column_profile_report(column_profile: DataFrame, width: int = 40) -> DataFra
             "null_pct"
         ),
         or_missing(F.col("distinct_count")).alias("distinct_count"),
-        or_missing(F.coalesce("min_str", F.col("min_num").cast("string"))).alias("min_value"),
-        or_missing(F.coalesce("max_str", F.col("max_num").cast("string"))).alias("max_value"),
+        or_missing(F.coalesce("min_str", F.format_string("%.4f", "min_num"))).alias("min_value"),
+        or_missing(F.coalesce("max_str", F.format_string("%.4f", "max_num"))).alias("max_value"),
         or_missing(shorten(sample, width)).alias("top_sample"),
     )

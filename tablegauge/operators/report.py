@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tablegauge.functions.numbers import one_decimal, score_pct, thousands
 from tablegauge.functions.text import log_second, table_cell
 from tablegauge.operators.gates import gate_changes
+from tablegauge.operators.rules import check_sql
 from tablegauge.operators.verdict import (
     category_scores,
     mean_score,
@@ -194,6 +195,7 @@ def rule_log(judged: DataFrame) -> DataFrame:
         "threshold_pct",
         "violations",
         _status().alias("status"),
+        check_sql().alias("check_sql"),
     )
 
 
@@ -247,10 +249,13 @@ def recommendations(table_reviews: DataFrame) -> DataFrame:
 
 
 def gate_timeline(
-    decisions: DataFrame, *, compare: tuple[str, ...] = ("state", "reason")
+    decisions: DataFrame,
+    *,
+    compare: tuple[str, ...] = ("state", "reason"),
+    order: tuple[str, ...] = ("ts",),
 ) -> DataFrame:
-    """Gate changes in log order."""
-    changed = gate_changes(decisions, compare=compare)
+    """Gate changes in log order; `order` settles decisions of the same time."""
+    changed = gate_changes(decisions, compare=compare, order=order)
     return changed.select(
         "ts",
         log_second(F.col("ts")).alias("at"),

@@ -4,18 +4,19 @@ A derived rule asks for a number the profile already holds or implies, so its
 violations need no further look at the table.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.operators.profile import (
+    EMAIL_LIKE,
     EMAIL_NAME,
+    KEY_NAMES,
     NON_NEGATIVE_NAMES,
     numeric_dtype,
 )
 from tablegauge.schemas import RULE_RESULTS, RULES
 
-# Names that always call for uniqueness, and pass thresholds.
-KEY_NAMES = ("id", "sku", "code")
+# Pass thresholds.
 THRESHOLDS = {
     "non_empty": 100.0,
     "completeness": 99.0,
@@ -99,6 +100,55 @@ def _candidates(column_profile: DataFrame) -> DataFrame:
     )
 
 
+# Short names of derived rules in statement ids.
+_SHORT = {
+    "non_empty": "non_empty",
+    "completeness": "null",
+    "uniqueness": "dup",
+    "email": "email",
+    "non_negative": "nonneg",
+}
+
+
+def statement_id() -> Column:
+    """Id of a rule's check: `dq.<table>.<kind>.<column>` if derived, else `dq.<rule id>`."""
+    derived = F.col("params").isNull() | (F.size("params") == 0)
+    chain = F.when(F.lit(False), F.lit(""))
+    for kind, short in _SHORT.items():
+        named = F.concat_ws(".", F.lit("dq"), "table_name", F.lit(short), "column_name")
+        chain = chain.when(derived & (F.col("check_kind") == kind), named)
+    return chain.otherwise(F.concat(F.lit("dq."), F.col("rule_id")))
+
+
+def check_sql() -> Column:
+    """A query whose first cell is a rule's violation count; kinds that need more than a query give their name."""
+    quoted = F.concat(F.lit("`"), F.replace("column_name", F.lit("`"), F.lit("``")), F.lit("`"))
+    table = F.concat(F.lit("`"), F.replace("table_name", F.lit("`"), F.lit("``")), F.lit("`"))
+
+    def query(test: str) -> Column:
+        before, _, after = test.partition("{}")
+        return F.concat(F.lit("SELECT COUNT(*) FROM "), table, F.lit(f" WHERE {before}"), quoted, F.lit(after))
+
+    return (
+        F.when(F.col("params")["sql_text"].isNotNull(), F.col("params")["sql_text"])
+        .when(F.col("check_kind") == "completeness", query("{} IS NULL"))
+        .when(F.col("check_kind") == "email", query(f"{{}} NOT LIKE '{EMAIL_LIKE}'"))
+        .when(F.col("check_kind") == "non_negative", query("{} < 0"))
+        .when(
+            F.col("check_kind") == "uniqueness",
+            F.concat(
+                F.lit("SELECT COALESCE(SUM(n - 1), 0) FROM (SELECT COUNT(*) AS n FROM "), table,
+                F.lit(" GROUP BY "), quoted, F.lit(") AS g"),
+            ),
+        )
+        .when(
+            F.col("check_kind") == "non_empty",
+            F.concat(F.lit("SELECT CASE WHEN COUNT(*) = 0 THEN 1 ELSE 0 END FROM "), table),
+        )
+        .otherwise(F.col("check_kind"))
+    )
+
+
 def derive_rules(column_profile: DataFrame) -> DataFrame:
     """Rules that the profile calls for; `rule_seq` is their order in a table."""
     return _candidates(column_profile).select(*RULES.fieldNames())

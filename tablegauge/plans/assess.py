@@ -1,22 +1,32 @@
 """A whole assessment: profile, rules, verdicts, gates and reports."""
 
 from collections.abc import Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from tablegauge.operators import gates as G
 from tablegauge.operators.checks import brief, error_class_of, run_rules
-from tablegauge.operators.profile import profile_schema, profile_statements, union_all
-from tablegauge.operators.rules import derive_and_settle
+from tablegauge.operators.profile import (
+    SKETCH_ERROR,
+    exact_where_close,
+    profile_statements,
+    profile_table,
+)
+from tablegauge.operators.rules import check_sql, derive_and_settle, statement_id
 from tablegauge.operators.verdict import judge, reviews
 from tablegauge.schemas import CHECK_LOG, COLUMN_PROFILE, WAIVERS
 from tablegauge.sources.runs import save_run
-from tablegauge.sources.storage import settle
+from tablegauge.sources.storage import run_folder, settle
 from tablegauge.sources.tables import Tables, discover
 
+#: Tables profiled at the same time.
+PARALLEL_TABLES = 8
+
 
 @dataclass
 class Assessment:
@@ -52,10 +62,10 @@ def rule_statements(results: DataFrame) -> DataFrame:
     """Rule checks as log rows."""
     return results.select(
         "table_name",
-        F.concat(F.lit("dq."), F.col("rule_id")).alias("sql_id"),
+        statement_id().alias("sql_id"),
         F.lit("dq_check").alias("purpose"),
         "column_name",
-        F.coalesce(F.col("params")["sql_text"], F.col("check_kind")).alias("sql_text"),
+        check_sql().alias("sql_text"),
         "status",
         F.when(F.col("status") == "failed", 1).otherwise(0).alias("attempts"),
         "last_error",
@@ -75,7 +85,6 @@ def table_gates(
     Statements pass G2 and rule checks pass G4 once they resolve; G3 and G5 look
     at how they ran. The statements of a profile all resolve.
     """
-    checks = rule_statements(results)
     at_g4 = rule_statements(
         results.withColumn(
             "status", F.when(F.col("validated"), "validated").otherwise(F.col("status"))
@@ -87,7 +96,7 @@ def table_gates(
         G.gate_profile_execution(at_g2, waivers),
         G.gate_rule_generation(profile_items, waivers),
         G.gate_rule_execution(at_g4, waivers),
-        G.gate_review(checks, max_unresolved),
+        G.gate_review(results.select("table_name", "rule_id", "status"), max_unresolved),
     )
 
 
@@ -99,22 +108,36 @@ def settle_profiles(
 ) -> tuple[DataFrame, dict[str, PySparkException]]:
     """Stored profiles, and the tables that could not be read.
 
-    All tables are profiled in one job. Should it fail, each half of the tables
-    is tried by itself, down to the failing ones.
+    Every table is a job of its own, a few at a time, so plans stay small and a
+    table that fails costs no other table a second look.
+
+    With `mode="approx"` a sketch cannot tell a key from a near-key. Columns whose
+    sketch lies within its error of the rows, and columns with a key's name, are
+    counted exactly in a second look at those columns alone.
     """
-    try:
-        return settle(profile_schema(tables, not_null=not_null, **options)), {}
-    except PySparkException as error:
-        if len(tables) == 1:
-            return spark.createDataFrame([], COLUMN_PROFILE), {next(iter(tables)): error}
-    names = sorted(tables)
-    middle = len(names) // 2
-    found, broken = [], {}
-    for half in (names[:middle], names[middle:]):
-        profile, errors = settle_profiles(spark, {n: tables[n] for n in half}, not_null, options)
-        found.append(profile)
-        broken |= errors
-    return union_all(found), broken
+    root, errors = run_folder(spark, "profiles"), {}
+
+    def work(place_and_name: tuple[int, str]) -> str | None:
+        place, name = place_and_name
+        path = f"{root}/{place}"
+        try:
+            found = profile_table(tables[name], name, not_null=not_null.get(name, ()), **options)
+            if options.get("mode") == "approx":
+                found = exact_where_close(
+                    tables[name], settle(found), float(options.get("rsd", SKETCH_ERROR))
+                )
+            found.write.parquet(path)
+        except PySparkException as error:
+            errors[name] = error
+            return None
+        return path
+
+    with ThreadPoolExecutor(max_workers=PARALLEL_TABLES) as pool:
+        done = pool.map(inheritable_thread_target(spark)(work), enumerate(sorted(tables)))
+        paths = [path for path in done if path]
+    if not paths:
+        return spark.createDataFrame([], COLUMN_PROFILE), errors
+    return spark.read.schema(COLUMN_PROFILE).parquet(*paths), errors
 
 
 def profile_log(
@@ -168,7 +191,10 @@ def assess(
     results = derive_and_settle(profile)
     if catalogue is not None:
         if broken:
-            catalogue = catalogue.where(~F.col("table_name").isin(*broken))
+            gone = spark.createDataFrame([(name,) for name in broken], "table_name STRING")
+            catalogue = catalogue.join(F.broadcast(gone), "table_name", "left_anti").select(
+                *catalogue.columns
+            )
         results = results.unionByName(run_rules(spark, tables, catalogue))
     results = settle(judge(results))
     kept = waivers if waivers is not None else spark.createDataFrame([], WAIVERS)

@@ -3,28 +3,7 @@
 from pyspark.sql import types as T
 
 # Names users meet in stored runs, rules and event logs.
-STAGES = (
-    "discovery",
-    "profile_gen",
-    "profile_validate",
-    "profile_execute",
-    "dq_gen",
-    "dq_validate",
-    "dq_execute",
-    "review",
-    "reviewed",
-    "blocked",
-    "report",
-)
 SQL_STATUS = ("draft", "validated", "executed", "failed", "fixed")
-CATEGORIES = (
-    "validity",
-    "completeness",
-    "uniqueness",
-    "consistency",
-    "accuracy",
-    "timeliness",
-)
 REPORT_CATEGORIES = (
     "completeness",
     "uniqueness",
@@ -33,20 +12,6 @@ REPORT_CATEGORIES = (
     "timeliness",
     "accuracy",
 )
-ERROR_CLASSES = (
-    "syntax",
-    "missing_object",
-    "type_mismatch",
-    "permission",
-    "timeout",
-    "unknown",
-)
-GATE_STATES = ("open", "closed", "blocked")
-GATE_IDS = ("G1", "G2", "G3", "G4", "G5", "G6")
-HOOKS = ("pre_tool", "post_tool", "on_error", "gate_check")
-OUTCOMES = ("allowed", "blocked", "ok", "error", "retried")
-EVENT_KINDS = ("hook", "gate", "note")
-
 
 TEXT, FLAG, INT, COUNT, REAL = (
     T.StringType(),

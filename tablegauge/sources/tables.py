@@ -1,8 +1,10 @@
 """Tables of a schema from files, the catalogue or a database."""
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
+from contextlib import contextmanager
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -171,3 +173,31 @@ def resume_summary(manifest: DataFrame, table_states: DataFrame) -> DataFrame:
         F.count_if(F.col("done").isNull()).alias("pending"),
         F.count_if(F.col("done").isNotNull()).alias("skipped"),
     )
+
+
+@contextmanager
+def named_views(tables: Tables) -> Iterator[None]:
+    """The tables as temporary views of their names while statements are resolved.
+
+    Resolved statements no longer need the views; views of the same names that the
+    session had before are put back.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    before = {name: _own_view(spark, name) for name in tables}
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(name)
+        yield
+    finally:
+        for name, view in before.items():
+            if view is None:
+                spark.catalog.dropTempView(name)
+            else:
+                view.createOrReplaceTempView(name)
+
+
+def _own_view(spark: SparkSession, name: str) -> DataFrame | None:
+    try:
+        return spark.table(name) if spark.catalog.getTable(name).isTemporary else None
+    except PySparkException:
+        return None
