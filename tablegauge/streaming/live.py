@@ -4,7 +4,7 @@ Every micro-batch writes to a partition of its own, so a batch that runs again
 after a failure replaces what it wrote before.
 """
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,21 @@ from tablegauge.operators.gates import gate_changes
 from tablegauge.schemas import AUDIT
 
 
+Trigger = Mapping[str, object]
+#: Default trigger: what is there now, then stop. `{"processingTime": "10 seconds"}` goes on.
+ONCE: Trigger = {"availableNow": True}
+
+
+def stream_table(spark: SparkSession, folder: str, name: str, schema: T.StructType) -> DataFrame:
+    """A Parquet table as a stream, be it one file of a folder or a folder of part files."""
+    path = f"{folder}/{name}.parquet"
+    files = spark.read.schema(schema).parquet(path).inputFiles()
+    reader = spark.readStream.schema(schema)
+    if not all(file.endswith(f"/{name}.parquet") for file in files):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
 def stream_audit(spark: SparkSession, path: str, *, files_per_batch: int = 1000) -> DataFrame:
     """The event log as a stream of lines."""
     return (
@@ -31,9 +46,11 @@ def live_activity(events: DataFrame) -> DataFrame:
     return events.groupBy("agent", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-def write_running_counts(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the complete counts after each micro-batch."""
-    return _write_batches(counts, "complete", path, checkpoint)
+def write_running_counts(
+    counts: DataFrame, path: str, checkpoint: str, trigger: Trigger | None = None
+) -> StreamingQuery:
+    """Write the complete counts after each micro-batch, keeping the newest two."""
+    return _write_batches(counts, "complete", path, checkpoint, trigger, keep=2)
 
 
 def latest_counts(spark: SparkSession, path: str) -> DataFrame:
@@ -43,14 +60,26 @@ def latest_counts(spark: SparkSession, path: str) -> DataFrame:
     return found.where(F.col("batch_id") == last).drop("batch_id")
 
 
-def _write_batches(df: DataFrame, mode: str, path: str, checkpoint: str) -> StreamingQuery:
+def _write_batches(
+    df: DataFrame,
+    mode: str,
+    path: str,
+    checkpoint: str,
+    trigger: Trigger | None = None,
+    keep: int | None = None,
+) -> StreamingQuery:
+    """Write each micro-batch; with `keep`, older batches are emptied once they are superseded."""
+
     def replace(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        if keep is not None and batch_id >= keep:
+            # The one before the newest stays for readers that have just begun.
+            batch.limit(0).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id - keep}")
 
     return (
         df.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or ONCE))
         .foreachBatch(replace)
         .start()
     )
@@ -63,6 +92,7 @@ def write_gate_changes(
     *,
     compare: tuple[str, ...] = ("state", "reason"),
     order: tuple[str, ...] = ("ts",),
+    trigger: Trigger | None = None,
 ) -> StreamingQuery:
     """Write the decisions of each micro-batch that change their gate.
 
@@ -92,7 +122,7 @@ def write_gate_changes(
 
     return (
         decisions.writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or ONCE))
         .foreachBatch(check)
         .start()
     )
@@ -127,7 +157,11 @@ def _row_rules(rules: Sequence[Row]) -> list[Row]:
 
 
 def write_batch_violations(
-    stream: DataFrame, rules: Sequence[Row], path: str, checkpoint: str
+    stream: DataFrame,
+    rules: Sequence[Row],
+    path: str,
+    checkpoint: str,
+    trigger: Trigger | None = None,
 ) -> StreamingQuery:
     """Violation counts of row rules for each micro-batch, in one pass over it."""
     sound = _row_rules(rules)
@@ -139,7 +173,7 @@ def write_batch_violations(
 
     return (
         stream.writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or ONCE))
         .foreachBatch(check)
         .start()
     )
@@ -172,9 +206,11 @@ def windowed_violations(
     return _unpivot(counted, ("window_start",), sound)
 
 
-def write_windows(windows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def write_windows(
+    windows: DataFrame, path: str, checkpoint: str, trigger: Trigger | None = None
+) -> StreamingQuery:
     """Write the windows that each micro-batch changed."""
-    return _write_batches(windows, "update", path, checkpoint)
+    return _write_batches(windows, "update", path, checkpoint, trigger)
 
 
 def latest_windows(spark: SparkSession, path: str) -> DataFrame:
