@@ -6,9 +6,9 @@ from tablegauge.operators.verdict import overall_scores, table_scores
 
 ADVICE = [
     "customers.email [validity] FAILED: email must look like an email - 1 violation(s) "
-    "(16.7% of rows). Consider a constraint, backfill or upstream fix.",
-    "customers.email: 33% NULLs - evaluate NOT NULL + default, or drop the column.",
-    "orders.amount [validity] FAILED: amount must be >= 0 - 1 violation(s) (14.3% of rows). "
+    "(12.5% of rows). Consider a constraint, backfill or upstream fix.",
+    "customers.email: 25% NULLs - evaluate NOT NULL + default, or drop the column.",
+    "orders.amount [validity] FAILED: amount must be >= 0 - 1 violation(s) (10.0% of rows). "
     "Consider a constraint, backfill or upstream fix.",
     "products.sku [uniqueness] FAILED: sku must be unique - 1 violation(s) (20.0% of rows). "
     "Consider a constraint, backfill or upstream fix.",
@@ -62,7 +62,7 @@ def test_sample_assessment(spark, sample):
     ).first()
     assert head.asDict() == {
         "tables": 3,
-        "total_rows": 18,
+        "total_rows": 23,
         "profile_items": 37,
         "rules": 26,
         "passed": 23,

@@ -87,12 +87,12 @@ def test_declared_not_null(spark, sample):
     assert [tuple(r) for r in open_columns] == [("customers", "email")]
     listed = discover(spark, sample, "s", not_null={"customers": ["email"]}, with_rows=True)
     row = listed.where("column_name = 'email'").first()
-    assert (row.nullable, row.row_estimate, row.ordinal) == (False, 6, 3)
+    assert (row.nullable, row.row_estimate, row.ordinal) == (False, 8, 3)
 
 
 def test_row_counts(sample):
     found = {r.table_name: r.row_count for r in row_counts(sample).collect()}
-    assert found == {"customers": 6, "orders": 7, "products": 5}
+    assert found == {"customers": 8, "orders": 10, "products": 5}
 
 
 def test_report_of_missing_parts(spark):

@@ -17,14 +17,14 @@ def test_scorecard(spark, shop):
     assert (found["products"].uniqueness, found["products"].score) == (50.0, 85.7)
     assert found["orders"].timeliness is None
     whole = found["SCHEMA AGGREGATE"]
-    assert (whole.stage, whole.row_count, whole.n_rules, whole.score) == ("3 Tables", 18, 26, 88.5)
+    assert (whole.stage, whole.row_count, whole.n_rules, whole.score) == ("3 Tables", 23, 26, 88.5)
     assert (whole.uniqueness, whole.validity, whole.accuracy) == (83.3, 33.3, None)
 
 
 def test_cards_and_bands(spark, shop):
     rows = R.table_rows(shop.column_profile)
     cards = {r.table_name: r for r in R.health_cards(shop.table_states, rows, shop.judged, shop.reviews).collect()}
-    assert (cards["orders"].badge, cards["orders"].band, cards["orders"].rows) == ("1 Violations", "ok", "7")
+    assert (cards["orders"].badge, cards["orders"].band, cards["orders"].rows) == ("1 Violations", "ok", "10")
     assert cards["products"].band == "warn"
     df = spark.createDataFrame([(s,) for s in (95.0, 94.9, 75.0, 74.9)], "s DOUBLE")
     assert [r[0] for r in df.select(R.score_band(F.col("s"))).collect()] == ["ok", "warn", "warn", "bad"]

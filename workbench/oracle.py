@@ -143,11 +143,22 @@ LINE_KEY = """(SELECT CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) FROM (SELECT count
 ODD_STATUS = "(SELECT count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O', 'P'))"
 
 
+#: Kinds of the catalogue's rules, by their place.
+KINDS = {
+    1001: "not_future",
+    1002: "sigma_range",
+    1003: "allowed_set",
+    1004: "joined_predicate",
+    1005: "natural_key",
+    1006: "range",
+}
+
+
 def _extra(table, rule_id, column, category, description, threshold, seq, count) -> str:
     held = f"'{column}'" if column else "CAST(NULL AS VARCHAR)"
     return f"""SELECT '{table}' AS table_name, {seq} AS rule_seq, '{rule_id}' AS rule_id,
   {held} AS column_name, '{category}' AS category, '{description}' AS description,
-  'catalogue' AS check_kind, CAST({threshold} AS DOUBLE) AS threshold_pct,
+  '{KINDS[seq]}' AS check_kind, CAST({threshold} AS DOUBLE) AS threshold_pct,
   CAST({count} AS BIGINT) AS violations, (SELECT count(*) FROM {table}) AS row_count"""
 
 
@@ -173,8 +184,8 @@ CHAIN = (
     DERIVED,
     "found AS (\nSELECT * FROM derived\nUNION ALL\n" + union(_extra(*c) for c in CATALOGUE) + "\n)",
     """judged AS (
-SELECT table_name, rule_seq, rule_id, column_name, category, description, threshold_pct, row_count,
-  CASE WHEN table_name <> 'supplier' THEN violations END AS violations,
+SELECT table_name, rule_seq, rule_id, column_name, category, description, check_kind, threshold_pct,
+  row_count, CASE WHEN table_name <> 'supplier' THEN violations END AS violations,
   CASE WHEN rule_id = 'supplier.validity.rating' THEN 'failed'
        WHEN table_name = 'supplier' THEN 'validated' ELSE 'executed' END AS status,
   CASE WHEN table_name <> 'supplier'
@@ -274,6 +285,7 @@ FROM profile""",
     profile_cte(["dirty_customer"]),
 )
 oracle("distinct_exact", "SELECT column_name, distinct_count FROM profile", profile_cte(["lineitem"]))
+oracle("approx_within_error", "SELECT column_name, TRUE AS within FROM profile", profile_cte(["lineitem"]))
 oracle("distinct_text", "SELECT column_name, distinct_count FROM profile", profile_cte(["documents"]))
 oracle(
     "min_max_numeric",
@@ -327,13 +339,12 @@ oracle(
   CASE WHEN column_name = 'id' THEN 'NO' ELSE 'YES' END AS nullable,
   CAST(null_count AS VARCHAR) AS null_count,
   concat(printf('%.1f', null_count / row_count * 100.0), '%') AS null_pct,
-  CAST(distinct_count AS VARCHAR) AS distinct_count, min_str AS min_value, max_str AS max_value,
-  CASE WHEN column_name NOT IN ('name', 'segment') THEN '—'
+  CAST(distinct_count AS VARCHAR) AS distinct_count, COALESCE(min_str, printf('%.4f', min_num)) AS min_value,
+  COALESCE(max_str, printf('%.4f', max_num)) AS max_value, CASE WHEN column_name NOT IN ('name', 'segment') THEN '—'
        WHEN length(sample) > 40 THEN concat(substr(sample, 1, 40), '...') ELSE sample END AS top_sample
 FROM profile LEFT JOIN (
   SELECT column_name, string_agg(concat(value, ' (', CAST(n AS VARCHAR), ')'), ', ' ORDER BY rank)
-    AS sample FROM tops GROUP BY column_name) USING (column_name)
-WHERE column_name <> 'total_amount'""",
+    AS sample FROM tops GROUP BY column_name) USING (column_name)""",
     profile_cte(["dirty_customer"]),
     "tops AS (" + union(_top("dirty_customer", c, k=3) for c in ("name", "segment")) + ")",
 )
@@ -353,6 +364,8 @@ UNION ALL SELECT 'm.top', 'top_values', 'o_orderpriority', 'executed', NULL,
 UNION ALL SELECT 'm.blank', 'blank_count', 'o_orderstatus', 'executed', NULL,
   CAST(count(*) FILTER (trim(o_orderstatus) = '') AS VARCHAR) FROM orders
 UNION ALL SELECT 'm.broken', 'distinct', 'o_nothing', 'failed', 'missing_object', NULL
+UNION ALL SELECT 'm.cast', 'distinct', 'o_orderstatus', 'failed', 'type_mismatch', NULL
+UNION ALL SELECT 'm.parts', 'row_count', NULL, 'executed', NULL, CAST(count(*) AS VARCHAR) FROM part
 UNION ALL SELECT 'm.single', 'min', 'o_orderpriority', 'executed', NULL, min(o_orderpriority)
 FROM orders""",
     "tops AS (" + _top("orders", "o_orderpriority", k=3) + ")",
@@ -372,7 +385,8 @@ UNION ALL SELECT 'o_orderstatus', NULL, count(DISTINCT o_orderstatus), NULL, NUL
 UNION ALL SELECT 'o_orderkey', NULL, NULL, CAST(min(o_orderkey) AS VARCHAR),
   CAST(max(o_orderkey) AS VARCHAR), NULL, NULL FROM orders
 UNION ALL SELECT 'o_orderpriority', NULL, NULL, NULL, NULL, min(o_orderpriority), NULL
-FROM orders)""",
+FROM orders)
+UNION ALL SELECT 'part', NULL, NULL, NULL, NULL, NULL, NULL, NULL, count(*), NULL FROM part""",
     "tops AS (" + _top("orders", "o_orderpriority", k=3) + ")",
 )
 oracle(
@@ -580,6 +594,10 @@ chain(
     "judge_rules",
     "SELECT table_name, rule_id, category, violations, threshold_pct, status, passed FROM judged",
 )
+chain(
+    "assess_approx",
+    "SELECT table_name, rule_id, category, violations, threshold_pct, status, passed FROM judged",
+)
 chain("verdict_counts", "SELECT table_name, n_rules, dq_pass, dq_fail, unchecked FROM states")
 chain("category_scores", "SELECT table_name, category, ok, total, score FROM scored")
 chain("suggestions", "SELECT table_name, part, suggestion FROM advice")
@@ -598,10 +616,10 @@ _CELL = "max(score) FILTER (category = '{0}') AS {1}"
 chain(
     "table_reviews",
     """SELECT table_name, TRUE AS profile_ok, dq_pass, dq_fail, """
-    + ", ".join(f"score_{c}" for c in SCORED[:4])
+    + ", ".join(f"score_{c}" for c in SCORED)
     + """, COALESCE(suggestions, '') AS suggestions, 0 AS waived_items
 FROM states JOIN (SELECT table_name, """
-    + ", ".join(_CELL.format(c, f"score_{c}") for c in SCORED[:4])
+    + ", ".join(_CELL.format(c, f"score_{c}") for c in SCORED)
     + """ FROM scored GROUP BY table_name) USING (table_name)
 LEFT JOIN listed USING (table_name) WHERE stage = 'reviewed'""",
 )
@@ -623,32 +641,32 @@ oracle(
 )
 
 
-def gate_log(waived: bool) -> str:
+def gate_log(waived: bool, log: str = "check_log_v", waivers: str = "waived_v") -> str:
     flag = "w.sql_id IS NOT NULL" if waived else "FALSE"
     join = (
-        "LEFT JOIN waived_v w ON w.table_name = c.table_name AND w.sql_id = c.sql_id"
+        f"LEFT JOIN {waivers} w ON w.table_name = c.table_name AND w.sql_id = c.sql_id"
         if waived
         else ""
     )
     n_waived = (
-        "(SELECT count(*) FROM waived_v w WHERE w.table_name = l.table_name)" if waived else "0"
+        f"(SELECT count(*) FROM {waivers} w WHERE w.table_name = l.table_name)" if waived else "0"
     )
+    rule = "rule_id" if log == "check_log_fine_v" else "sql_id"
     return f"""logged AS (
-SELECT c.table_name, c.sql_id, c.status, {flag} AS waived,
+SELECT c.*, {flag} AS waived,
   c.status NOT IN ('validated', 'executed') AND NOT {flag} AS pending,
   c.status <> 'executed' AND NOT {flag} AS bad
-FROM check_log_v c {join}),
+FROM {log} c {join}),
 numbered AS (
-SELECT *, row_number() OVER (PARTITION BY table_name, pending ORDER BY sql_id) AS pending_rn,
-  row_number() OVER (PARTITION BY table_name, bad ORDER BY sql_id) AS bad_rn,
-  row_number() OVER (PARTITION BY table_name, status ORDER BY sql_id) AS status_rn
+SELECT *, row_number() OVER (PARTITION BY table_name, bad ORDER BY sql_id) AS bad_rn,
+  row_number() OVER (PARTITION BY table_name, status ORDER BY {rule}) AS status_rn
 FROM logged),
 tallies AS (
 SELECT table_name, count(*) AS n, count(*) FILTER (pending) AS n_pending,
   count(*) FILTER (bad) AS n_bad, {n_waived} AS n_waived,
-  string_agg(sql_id, ', ' ORDER BY sql_id) FILTER (pending AND pending_rn <= 5) AS pending_ids,
+  string_agg(sql_id, ', ' ORDER BY sql_id) FILTER (pending AND status = 'failed') AS pending_ids,
   string_agg(sql_id, ', ' ORDER BY sql_id) FILTER (bad AND bad_rn <= 5) AS bad_ids,
-  string_agg(sql_id, ', ' ORDER BY sql_id) FILTER (status = 'failed' AND status_rn <= 5) AS failed_ids,
+  string_agg({rule}, ', ' ORDER BY {rule}) FILTER (status = 'failed' AND status_rn <= 5) AS failed_ids,
   count(*) FILTER (status = 'executed') AS n_executed,
   count(*) FILTER (status = 'validated') AS n_validated,
   count(*) FILTER (status = 'failed') AS n_failed
@@ -662,8 +680,7 @@ def _validated_gate(gate_id: str, label: str) -> str:
     table_name, ''' validated', CASE WHEN n_waived > 0 THEN
     concat(' (', CAST(n_waived AS VARCHAR), ' waived)') ELSE '' END)
   ELSE concat('{label}: ', CAST(n_pending AS VARCHAR), ' of ', CAST(n AS VARCHAR), ' SQLs for ''',
-    table_name, ''' not validated; unfixable after retries: ', pending_ids,
-    CASE WHEN n_pending > 5 THEN '...' ELSE '' END) END AS reason,
+    table_name, ''' not validated', COALESCE(concat('; unfixable after retries: ', pending_ids), '')) END AS reason,
   n_executed, n_validated, n_failed FROM tallies"""
 
 
@@ -675,23 +692,24 @@ _G3 = """SELECT 'G3' AS gate_id, table_name,
     ' SQL(s) not executed (', bad_ids, CASE WHEN n_bad > 5 THEN '...' ELSE '' END,
     ') - DQ rule generation stays locked') END AS reason,
   n_executed, n_validated, n_failed FROM tallies"""
-oracle("gate_g2", _validated_gate("G2", "Profile execution"), gate_log(False))
+_FINE = gate_log(False, "check_log_fine_v")
+oracle("gate_g2", _validated_gate("G2", "Profile execution"), _FINE)
 oracle("gate_g3", _G3, gate_log(False))
 oracle(
     "gate_g4_waived",
     _validated_gate("G4", "DQ execution") + "\nUNION ALL\n" + _G3,
-    gate_log(True),
+    gate_log(True, "check_log_fine_v", "waived_fine_v"),
 )
 oracle(
     "gate_g5",
     """SELECT 'G5' AS gate_id, table_name,
-  CASE WHEN n_failed <= 225 THEN 'open' ELSE 'closed' END AS state,
-  CASE WHEN n_failed <= 225
+  CASE WHEN n_failed <= 1 THEN 'open' ELSE 'closed' END AS state,
+  CASE WHEN n_failed <= 1
     THEN concat('''', table_name, ''': all DQ checks resolved - review unlocked')
   ELSE concat('''', table_name, ''': ', CAST(n_failed AS VARCHAR),
     ' DQ check(s) unresolved after 3 fix attempts (', failed_ids, ') - review blocked') END AS reason,
   n_executed, n_validated, n_failed FROM tallies""",
-    gate_log(False),
+    _FINE,
 )
 _LOG_STATES = """logged_states AS (
 SELECT table_name, CASE WHEN n_pending > 0 THEN 'G2' WHEN n_bad > 0 THEN 'G3'
@@ -723,7 +741,13 @@ chain(
     FILTER (stage = 'blocked'), ') - report generated in PARTIAL mode') AS reason
 FROM states""",
 )
-oracle("gate_evidence", "SELECT 'G2' AS gate_id, table_name, status, sql_id FROM check_log_v")
+oracle(
+    "gate_evidence",
+    """SELECT 'G2' AS gate_id, table_name, status, sql_id, FALSE AS waived FROM check_log_fine_v
+UNION ALL
+SELECT 'G4', c.table_name, c.status, c.sql_id, w.sql_id IS NOT NULL
+FROM check_log_fine_v c LEFT JOIN waived_fine_v w ON w.table_name = c.table_name AND w.sql_id = c.sql_id""",
+)
 _CHANGED = """changed AS (
 SELECT event_id, ts, gate_id, state FROM (SELECT *, lag(state) OVER (
   PARTITION BY gate_id ORDER BY ts, event_id) AS before FROM audit_v)
@@ -837,7 +861,14 @@ FROM (SELECT *, {_SCORE} AS score FROM states) LEFT JOIN listed USING (table_nam
 )
 _STATUS = "CASE WHEN passed THEN 'PASS' WHEN NOT passed THEN 'FAIL' ELSE 'UNCHECKED' END"
 _RULE_LOG = f"""SELECT table_name, rule_seq, rule_id, category, COALESCE(column_name, '*') AS column_name,
-  description, threshold_pct, violations, {_STATUS} AS status FROM judged"""
+  description, threshold_pct, violations, {_STATUS} AS status, CASE check_kind
+  WHEN 'completeness' THEN concat('SELECT COUNT(*) FROM `', table_name, '` WHERE `', column_name, '` IS NULL')
+  WHEN 'email' THEN concat('SELECT COUNT(*) FROM `', table_name, '` WHERE `', column_name, '` NOT LIKE ''%_@_%._%''')
+  WHEN 'non_negative' THEN concat('SELECT COUNT(*) FROM `', table_name, '` WHERE `', column_name, '` < 0')
+  WHEN 'uniqueness' THEN concat('SELECT COALESCE(SUM(n - 1), 0) FROM (SELECT COUNT(*) AS n FROM `', table_name,
+    '` GROUP BY `', column_name, '`) AS g')
+  WHEN 'non_empty' THEN concat('SELECT CASE WHEN COUNT(*) = 0 THEN 1 ELSE 0 END FROM `', table_name, '`')
+  ELSE check_kind END AS check_sql FROM judged"""
 chain("rule_log", _RULE_LOG)
 chain(
     "rule_search",

@@ -49,6 +49,20 @@ SELECT concat('t', CAST(user_id % 8 AS STRING)) AS table_name,
        WHEN event_type = 'view' AND user_id % 8 = 2 THEN 'validated'
        ELSE 'executed' END AS status
 FROM {events}""",
+    # The same statements under one table name a user, so that lists of them stay short.
+    "check_log_fine_v": """
+SELECT concat('t', CAST(user_id AS STRING)) AS table_name,
+  concat('q', CAST(event_id AS STRING)) AS sql_id,
+  concat('r', CAST(event_id AS STRING)) AS rule_id,
+  CASE WHEN event_type = 'error' AND user_id % 8 >= 4 THEN 'failed'
+       WHEN event_type = 'view' AND user_id % 8 = 2 THEN 'validated'
+       WHEN event_type = 'signup' AND user_id % 8 = 5 THEN 'generated'
+       ELSE 'executed' END AS status
+FROM {events}""",
+    "waived_fine_v": """
+SELECT concat('t', CAST(user_id AS STRING)) AS table_name,
+  concat('q', CAST(event_id AS STRING)) AS sql_id
+FROM {events} WHERE event_type = 'view' OR event_id % 3 = 0""",
     "waived_v": """
 SELECT concat('t', CAST(user_id % 8 AS STRING)) AS table_name,
   concat('q', CAST(event_id AS STRING)) AS sql_id
