@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +33,9 @@ from tablegauge.llm.words import mixed, stored, text_chunks
 LENGTH, GRAM = 100, 30
 WINDOW = LENGTH - GRAM + 1
 #: Suffixes of one anchor that a task sorts at most, and of a batch of anchors.
-CROWD, BATCH = 20_000, 40_000
+CROWD, BATCH = 100_000, 40_000
+#: Rows of windows that are gathered at once, and texts that are cut at once.
+GATHER, CUT = 20_000, 1_000
 #: Stands for a NULL id; such rows come last.
 NO_ID = (1 << 63) - 1
 
@@ -104,25 +107,43 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "id", "sub", "place", "state"])
 
 
+def _ragged(data: np.ndarray, begin: np.ndarray, length: np.ndarray, step: int, kind: pa.DataType) -> pa.Array:
+    """Byte strings of `data` that begin at given places and run forwards or backwards."""
+    ends = np.concatenate(([0], np.cumsum(length)))
+    within = np.arange(ends[-1]) - np.repeat(ends[:-1], length)
+    body = data[np.repeat(begin, length) + step * within]
+    return pa.Array.from_buffers(kind, len(length), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(body)])
+
+
+def _listed(column: pa.Array, *fields: str) -> tuple[np.ndarray, ...]:
+    """Bounds of the lists of structs in a column, and the structs' fields."""
+    column = column.fill_null([]) if column.null_count else column
+    values = column.flatten()
+    bounds = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False))))
+    return bounds.astype(np.int64), *(values.field(f).to_numpy(zero_copy_only=False) for f in fields)
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each anchor of a text the bytes to its left, nearest first, and to its right."""
     for batch in batches:
-        texts = batch.column("text").cast(pa.large_binary())
-        marks = batch.column("marks").to_pylist()
-        for lo in range(0, batch.num_rows, 64):
-            rows: list[tuple] = []
-            for i in range(lo, min(lo + 64, batch.num_rows)):
-                text = texts[i].as_py()
-                ident = (batch.column("id")[i].as_py(), batch.column("sub")[i].as_py())
-                for mark in marks[i]:
-                    at = mark["place"]
-                    left = text[max(0, at - WINDOW + 1) : at][::-1]
-                    rows.append((mark["anchor"], *ident, at, left, text[at : at + LENGTH]))
-            columns = list(zip(*rows)) if rows else [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["anchor", "id", "sub", "place", "lefts", "rights"]
-            )
+        ids, subs = batch.column("id").to_numpy(), batch.column("sub").to_numpy()
+        bounds, anchor, place = _listed(batch.column("marks"), "anchor", "place")
+        for row, data, offsets in text_chunks(batch.column("text")):
+            first, last = bounds[row], bounds[row + len(offsets) - 1]
+            owner = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds[row : row + len(offsets)]))
+            for lo in range(first, last, GATHER):
+                some = slice(lo, min(lo + GATHER, last))
+                text = owner[some.start - first : some.stop - first]
+                at = offsets[text] + place[some]
+                left = np.minimum(place[some], WINDOW - 1).astype(np.int64)
+                right = np.minimum(offsets[text + 1] - at, LENGTH)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(anchor[some]), pa.array(ids[row + text]), pa.array(subs[row + text]), pa.array(place[some]),
+                        _ragged(data, at - 1, left, -1, pa.binary()), _ragged(data, at, right, 1, pa.binary()),
+                    ],
+                    names=["anchor", "id", "sub", "place", "lefts", "rights"],
+                )
 
 
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -233,29 +254,38 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the bytes that strings beginning from `first` to `last` cover, apart from each other."""
+    order = np.argsort(first, kind="stable")
+    begin, end = first[order], np.maximum.accumulate(last[order] + LENGTH)
+    new = np.flatnonzero(np.concatenate(([True], begin[1:] > end[:-1])))
+    return begin[new], end[np.concatenate((new[1:] - 1, [len(end) - 1]))]
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is left of each text once its repeated strings are gone."""
-    for batch in batches:
-        texts = batch.column("text").fill_null("").cast(pa.large_binary())
-        rows = []
-        for i, found in enumerate(batch.column("found").to_pylist()):
-            text = texts[i].as_py()
-            spans: list[list[int]] = []
-            for first, last in sorted((f["first"], f["last"]) for f in found or ()):
-                if spans and first <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], last + LENGTH)
-                else:
-                    spans.append([first, last + LENGTH])
-            gone = sum(b - a for a, b in spans)
-            ends = [0, *(x for span in spans for x in span), len(text)]
-            kept = b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2])) if spans else text
-            rows.append((len(text), gone, [{"begin": a, "end": b} for a, b in spans], hashlib.sha256(kept).hexdigest()))
-        span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-        kinds = [pa.int64(), pa.int64(), span, pa.string()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), *[pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds)]],
-            names=["id", "n_bytes", "n_removed", "spans", "kept_sha256"],
-        )
+    span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+    kinds = [pa.int64(), pa.int64(), span, pa.string()]
+    for whole in batches:
+        for lo in range(0, whole.num_rows, CUT):
+            batch = whole.slice(lo, CUT)
+            texts = batch.column("text").fill_null("").cast(pa.large_binary())
+            bounds, first, last = _listed(batch.column("found"), "first", "last")
+            rows = []
+            for i, text in enumerate(texts):
+                text, some = text.as_py(), slice(bounds[i], bounds[i + 1])
+                begins, ends = merged(first[some], last[some]) if bounds[i] < bounds[i + 1] else ((), ())
+                digest, at = hashlib.sha256(), 0
+                for begin, end in zip(begins, ends):
+                    digest.update(text[at:begin])
+                    at = end
+                digest.update(text[at:])
+                spans = [{"begin": int(a), "end": int(b)} for a, b in zip(begins, ends)]
+                rows.append((len(text), int(sum(ends) - sum(begins)), spans, digest.hexdigest()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]],
+                names=["id", "n_bytes", "n_removed", "spans", "kept_sha256"],
+            )
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
