@@ -22,7 +22,7 @@ from tablegauge.operators.verdict import judge, reviews
 from tablegauge.schemas import CHECK_LOG, COLUMN_PROFILE, WAIVERS
 from tablegauge.sources.runs import save_run
 from tablegauge.sources.storage import run_folder, settle
-from tablegauge.sources.tables import Tables, discover
+from tablegauge.sources.tables import Tables, discover, pending_tables
 
 #: Tables profiled at the same time.
 PARALLEL_TABLES = 8
@@ -175,10 +175,13 @@ def assess(
     waivers: DataFrame | None = None,
     not_null: Mapping[str, Iterable[str]] | None = None,
     max_unresolved: int = 0,
+    lookups: Tables | None = None,
     **profile_options: object,
 ) -> Assessment:
     """Profile the tables, derive and check rules, and judge the results.
 
+    Catalogue rules may also refer to the tables of `lookups`.
+
     The tables are read by the profile and by the catalogue rules; everything
     after works on frames with a row per column, rule or statement. The profile
     and the rule results are stored once in the shared folder and reused. A table
@@ -195,7 +198,7 @@ def assess(
             catalogue = catalogue.join(F.broadcast(gone), "table_name", "left_anti").select(
                 *catalogue.columns
             )
-        results = results.unionByName(run_rules(spark, tables, catalogue))
+        results = results.unionByName(run_rules(spark, {**(lookups or {}), **tables}, catalogue))
     results = settle(judge(results))
     kept = waivers if waivers is not None else spark.createDataFrame([], WAIVERS)
     items = profile_log(spark, manifest, broken)
@@ -222,3 +225,50 @@ def assess(
         reviews=table_reviews,
         waivers=kept,
     )
+
+
+def resume(
+    spark: SparkSession,
+    tables: Tables,
+    stored: Mapping[str, DataFrame],
+    *,
+    schema_name: str = "",
+    catalogue: DataFrame | None = None,
+    **options: object,
+) -> Assessment:
+    """Finish a stored run: assess the tables it left pending and keep the rest of it.
+
+    `stored` are the entities of the run (`load_run`); its waivers hold unless others are
+    given. Results of reviewed tables are taken as they are, so only pending tables are
+    read. The overall gates are decided anew. The names of pending tables, one row a
+    table, reach the driver.
+    """
+    options.setdefault("waivers", stored["waivers"])
+    manifest = discover(spark, tables, schema_name, not_null=options.get("not_null"))
+    left = {r.table_name for r in pending_tables(manifest, stored["table_states"]).collect()}
+    todo = {name: tables[name] for name in sorted(left)}
+    old = {
+        name: df.where(F.col("table_name").isNotNull() & ~F.col("table_name").isin(*left))
+        for name, df in stored.items()
+    }
+    if todo:
+        rules = None
+        if catalogue is not None:
+            rules = catalogue.where(F.col("table_name").isin(*left))
+        # Rules may look up tables that are done; only pending ones are profiled.
+        new = assess(
+            spark, todo, schema_name=schema_name, catalogue=rules, lookups=tables, **options
+        ).entities()
+        old = {name: df.unionByName(new[name].where("table_name IS NOT NULL")) for name, df in old.items()}
+    states = settle(old["table_states"])
+    return Assessment(
+        manifest=manifest,
+        column_profile=old["column_profile"],
+        judged=old["rule_results"],
+        check_log=old["check_log"],
+        gates=G.all_gates(G.gate_connection(manifest, schema_name), old["gates"]),
+        final_gate=G.gate_final(states),
+        table_states=states,
+        reviews=old["reviews"],
+        waivers=options["waivers"],
+    )

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablegauge import assess
+from tablegauge.plans.assess import resume
+from tablegauge.sources.runs import fork_run
 from tablegauge.operators import gates as G
 from tablegauge.operators import profile as P
 from tablegauge.operators.checks import duplicate_excess, rule, rules_frame, run_rules
@@ -119,3 +121,15 @@ def test_a_broken_table_leaves_statements_without_a_table(spark):
     catalogue = rules_frame(spark, [free]).withColumn("table_name", F.lit(None).cast("string"))
     found = assess(spark, {"good": spark.range(3), "broken": broken}, catalogue=catalogue)
     assert found.judged.where("rule_id = 'free'").count() == 1
+
+
+def test_a_resumed_run_equals_a_whole_one(spark, sample, tmp_path):
+    whole = assess(spark, sample, schema_name="s")
+    whole.save("first", str(tmp_path))
+    stored = fork_run(spark, "first", "second", str(tmp_path), reset="orders")
+    resumed = resume(spark, sample, stored, schema_name="s")
+    for name, df in whole.entities().items():
+        assert sorted(map(str, df.collect())) == sorted(map(str, resumed.entities()[name].collect())), name
+    assert resumed.final_gate.first() == whole.final_gate.first()
+    again = resume(spark, sample, resumed.entities(), schema_name="s")
+    assert again.judged.count() == whole.judged.count()

@@ -594,6 +594,10 @@ chain(
     "judge_rules",
     "SELECT table_name, rule_id, category, violations, threshold_pct, status, passed FROM judged",
 )
+chain(
+    "resume_run",
+    "SELECT table_name, rule_id, category, violations, threshold_pct, status, passed FROM judged",
+)
 chain(
     "assess_approx",
     "SELECT table_name, rule_id, category, violations, threshold_pct, status, passed FROM judged",

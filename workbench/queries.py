@@ -14,7 +14,7 @@ from tablegauge.functions.text import (
 )
 from tablegauge.operators import activity, gates, metrics, profile, report, rules, verdict
 from tablegauge.operators.checks import LIST_SEPARATOR, rule, rule_counts, rules_frame, run_rules
-from tablegauge.plans.assess import Assessment, assess, settle_profiles
+from tablegauge.plans.assess import Assessment, assess, resume, settle_profiles
 from tablegauge.sources import audit_log, reports, runs
 from tablegauge.sources.storage import run_folder, settle
 from tablegauge.sources.tables import discover, pending_tables, resume_summary, row_counts
@@ -858,6 +858,21 @@ def fork_run(spark, folder):
     return _states(forked).join(stages, "table_name")
 
 
+@register
+def resume_run(spark, folder):
+    """A run with one table started over and finished again has the verdicts of the whole run."""
+    root = run_folder(spark, "runs")
+    _assessed(spark, folder).save("first", root)
+    stored = runs.fork_run(spark, "first", "second", root, reset="orders")
+    found = resume(
+        spark, views(spark, folder, *ASSESSED), stored, schema_name="main",
+        catalogue=rules_frame(spark, CATALOGUE),
+    )
+    return found.judged.select(
+        "table_name", "rule_id", "category", "violations", "threshold_pct", "status", "passed"
+    )
+
+
 @register
 def pending(spark, folder):
     found = _assessed(spark, folder)
