@@ -21,7 +21,7 @@ from tablegauge.llm.linear import FOLD, SAMPLE, calibrate, held_out, hinge_fit,
 from tablegauge.llm.shipping import ship
 
 LANDMARKS = 96
-ORDER, DECAY = 3, 0.6
+ORDER, DECAY = 3, 0.8
 #: Kernel values are raised to this power, which keeps them a kernel; below `FLOOR` they are 0.
 POWER, FLOOR = 4, 0.35
 #: A word is telling if it is so many times as frequent in toxic texts.
@@ -80,19 +80,22 @@ def _skips(codes: np.ndarray) -> np.ndarray:
 def subsequence_kernel(x: np.ndarray, y: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
     """Gap-weighted kernel of sequences of `order` characters, row by row of two code arrays."""
     n, width, other = len(x), x.shape[1], y.shape[1]
-    total = np.zeros(n)
-    # below[j]: sequences one shorter that end before the current places, weighted by their length so far.
-    below = np.ones((width + 1, other + 1, n))
-    for _ in range(order):
-        total[:] = 0
-        above = np.zeros((width + 1, other + 1, n))
+    met = (np.ascontiguousarray(x.T)[:, None] == np.ascontiguousarray(y.T)[None]) & (x.T > 0)[:, None]
+    met = met.astype(np.float32) * np.float32(decay * decay)
+    fade, total = np.float32(decay), np.zeros(n, np.float32)
+    # below[i, j]: sequences one shorter within the first i and j characters, faded to there.
+    below = np.ones((width + 1, other + 1, n), np.float32)
+    for k in range(order):
+        last = k == order - 1
+        above = None if last else np.zeros((width + 1, other + 1, n), np.float32)
         for i in range(1, width + 1):
-            run = np.zeros(n)
-            for j in range(1, other + 1):
-                met = np.where((x[:, i - 1] == y[:, j - 1]) & (x[:, i - 1] > 0), decay * decay * below[i - 1, j - 1], 0.0)
-                total += met
-                run = decay * run + met
-                above[i, j] = decay * above[i - 1, j] + run
+            now = met[i - 1] * below[i - 1, :other]
+            if last:
+                total += now.sum(axis=0)
+                continue
+            for j in range(1, other):
+                now[j] += fade * now[j - 1]
+            above[i, 1:] = fade * above[i - 1, 1:] + now
         below = above
     return total
 
@@ -118,18 +121,23 @@ class Matcher:
         rows, marks = np.nonzero(near)
         if not len(rows):
             return out
-        some, back = np.unique(rows, return_inverse=True)
-        lengths = (codes > 0).sum(axis=1)
-        own = np.zeros(len(some))
-        for lo in range(0, len(some), 4096):
-            own[lo : lo + 4096] = _self(codes[some[lo : lo + 4096], : max(1, lengths[some[lo : lo + 4096]].max())])
-        marked = (self.codes > 0).sum(axis=1)
+        lengths, marked = (codes > 0).sum(axis=1), (self.codes > 0).sum(axis=1)
         order = np.argsort(lengths[rows] * 100 + marked[marks], kind="stable")
-        for lo in range(0, len(order), 4096):
-            part = order[lo : lo + 4096]
-            x, y = codes[rows[part], : lengths[rows[part]].max()], self.codes[marks[part], : marked[marks[part]].max()]
-            alike = subsequence_kernel(x, y) / np.sqrt(np.maximum(own[back[part]], 1e-12)) / self.norms[marks[part]]
-            out[rows[part], marks[part]] = np.where(alike < FLOOR, 0, alike**POWER)
+        rows, marks, cross = rows[order], marks[order], np.zeros(len(order))
+        for lo in range(0, len(order), 2048):
+            word, mark = rows[lo : lo + 2048], marks[lo : lo + 2048]
+            cross[lo : lo + 2048] = subsequence_kernel(codes[word, : lengths[word].max()], self.codes[mark, : marked[mark].max()])
+        cross /= self.norms[marks]
+        # A word's own kernel is at least that of its runs of characters, so few words need it.
+        least = np.sqrt(np.maximum(lengths[rows] - ORDER + 1, 1) * DECAY ** (2 * ORDER))
+        close = np.flatnonzero(cross >= FLOOR * least)
+        some, back = np.unique(rows[close], return_inverse=True)
+        own = np.ones(len(some))
+        for lo in range(0, len(some), 2048):
+            word = some[lo : lo + 2048]
+            own[lo : lo + 2048] = _self(codes[word, : lengths[word].max()])
+        alike = cross[close] / np.sqrt(np.maximum(own[back], 1e-12))
+        out[rows[close], marks[close]] = np.where(alike < FLOOR, 0, alike**POWER)
         return out
 
     def learn(self, seen: set[str]) -> None:
