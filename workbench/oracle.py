@@ -923,16 +923,29 @@ SELECT kind, outcome FROM audit_v WHERE kind <> 'note' AND outcome <> 'error'
 UNION ALL SELECT kind, outcome FROM audit_v WHERE outcome = 'retried')
 GROUP BY kind, outcome""",
 )
-_ENTITIES = """SELECT 'column_profile' AS entity, table_name, count(*) AS n FROM profile GROUP BY 2
-UNION ALL SELECT 'manifest', table_name, count(*) FROM profile GROUP BY 2
-UNION ALL SELECT 'rule_results', table_name, count(*) FROM judged GROUP BY 2
-UNION ALL SELECT 'table_states', table_name, 1 FROM states"""
+_CHECK_ID = """CASE check_kind WHEN 'non_empty' THEN concat('dq.', table_name, '.non_empty')
+  WHEN 'completeness' THEN concat('dq.', table_name, '.null.', column_name)
+  WHEN 'uniqueness' THEN concat('dq.', table_name, '.dup.', column_name)
+  WHEN 'email' THEN concat('dq.', table_name, '.email.', column_name)
+  WHEN 'non_negative' THEN concat('dq.', table_name, '.nonneg.', column_name)
+  ELSE concat('dq.', rule_id) END"""
+_ENTITIES = f"""SELECT 'manifest' AS entity, table_name, concat_ws('|', CAST(ordinal AS VARCHAR), column_name, dtype) AS content
+FROM profile
+UNION ALL SELECT 'table_states', table_name, concat_ws('|', stage, CASE WHEN stage = 'blocked' THEN 'G4' END) FROM states
+UNION ALL SELECT 'gates', table_name, concat(g, '|', CASE WHEN g = 'G4' AND stage = 'blocked' THEN 'closed' ELSE 'open' END)
+FROM states, (VALUES ('G2'), ('G3'), ('G4'), ('G5')) AS gate(g) WHERE stage = 'reviewed' OR g < 'G5'
+UNION ALL SELECT 'check_log', table_name, concat_ws('|', {_CHECK_ID}, status) FROM judged
+UNION ALL SELECT 'column_profile', table_name, concat_ws('|', column_name, CAST(row_count AS VARCHAR),
+  CAST(null_count AS VARCHAR), CAST(distinct_count AS VARCHAR)) FROM profile
+UNION ALL SELECT 'rule_results', table_name, concat_ws('|', rule_id, CAST(violations AS VARCHAR), status,
+  CAST(passed AS VARCHAR)) FROM judged
+UNION ALL SELECT 'reviews', table_name, concat_ws('|', CAST(dq_pass AS VARCHAR), CAST(dq_fail AS VARCHAR))
+FROM states WHERE stage = 'reviewed'"""
 chain("run_roundtrip", _ENTITIES)
 chain(
     "fork_run",
-    f"""SELECT entity, table_name, n,
-  CASE table_name WHEN 'orders' THEN 'discovery' WHEN 'supplier' THEN 'blocked' ELSE 'reviewed' END AS stage,
-  CASE table_name WHEN 'supplier' THEN 'G4' END AS blocked_at
+    f"""SELECT entity, table_name, CASE WHEN entity = 'table_states' AND table_name = 'orders'
+  THEN 'discovery' ELSE content END AS content
 FROM ({_ENTITIES}) WHERE table_name <> 'orders' OR entity IN ('manifest', 'table_states')""",
 )
 chain(
@@ -943,9 +956,10 @@ FROM states WHERE stage <> 'reviewed'""",
 )
 chain(
     "report_write",
-    """SELECT 'rule_log' AS section, table_name, count(*) AS n FROM judged GROUP BY table_name
-UNION ALL SELECT 'scorecard', table_name, 1 FROM states
-UNION ALL SELECT 'scorecard', 'SCHEMA AGGREGATE', 1""",
+    f"""SELECT 'rule_log' AS section, table_name, concat_ws('|', rule_id, CAST(violations AS VARCHAR), {_STATUS})
+  AS content FROM judged
+UNION ALL SELECT 'scorecard', table_name, table_name FROM states
+UNION ALL SELECT 'scorecard', 'SCHEMA AGGREGATE', 'SCHEMA AGGREGATE'""",
 )
 
 # ---- streams ----------------------------------------------------------------------------------

@@ -831,22 +831,35 @@ def audit_read(spark, folder):
     )
 
 
-def _states(entities: dict[str, DataFrame]) -> DataFrame:
-    sizes = [
-        df.groupBy("table_name").agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(name).alias("entity"), "table_name", "n"
-        )
-        for name, df in sorted(entities.items())
-        if name in ("column_profile", "rule_results", "table_states", "manifest")
-    ]
-    return profile.union_all(sizes)
+# What a stored run holds, as one text a row: per entity the columns that SQL can tell.
+CONTENTS = {
+    "manifest": ("ordinal", "column_name", "dtype"),
+    "table_states": ("stage", "blocked_at"),
+    "gates": ("gate_id", "state"),
+    "check_log": ("sql_id", "status"),
+    "column_profile": ("column_name", "row_count", "null_count", "distinct_count"),
+    "rule_results": ("rule_id", "violations", "status", "passed"),
+    "reviews": ("dq_pass", "dq_fail"),
+    "waivers": ("sql_id",),
+}
+
+
+def _contents(entities: dict[str, DataFrame]) -> DataFrame:
+    """Every row of a run that belongs to a table; of the statements those of rules."""
+    frames = []
+    for name, columns in CONTENTS.items():
+        df = entities[name].where("table_name IS NOT NULL")
+        df = df.where("purpose = 'dq_check'") if name == "check_log" else df
+        content = F.concat_ws("|", *(F.col(c).cast("string") for c in columns))
+        frames.append(df.select(F.lit(name).alias("entity"), "table_name", content.alias("content")))
+    return profile.union_all(frames)
 
 
 @register
 def run_roundtrip(spark, folder):
     root = run_folder(spark, "runs")
     _assessed(spark, folder).save("first", root)
-    return _states(runs.load_run(spark, "first", root))
+    return _contents(runs.load_run(spark, "first", root))
 
 
 @register
@@ -854,8 +867,7 @@ def fork_run(spark, folder):
     root = run_folder(spark, "runs")
     _assessed(spark, folder).save("first", root)
     forked = runs.fork_run(spark, "first", "second", root, reset="orders")
-    stages = forked["table_states"].select("table_name", "stage", "blocked_at")
-    return _states(forked).join(stages, "table_name")
+    return _contents(forked)
 
 
 @register
@@ -896,11 +908,12 @@ def report_write(spark, folder):
     }
     path = run_folder(spark, "report")
     reports.write_report(frames, path)
+    cells = {"rule_log": ("rule_id", "violations", "status"), "scorecard": ("table_name",)}
     read = [
-        spark.read.parquet(f"{path}/{name}")
-        .groupBy("table_name")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.lit(name).alias("section"), "table_name", "n")
+        spark.read.parquet(f"{path}/{name}").select(
+            F.lit(name).alias("section"), "table_name",
+            F.concat_ws("|", *(F.col(c).cast("string") for c in cells[name])).alias("content"),
+        )
         for name in frames
     ]
     return profile.union_all(read)
