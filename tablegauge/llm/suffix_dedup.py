@@ -320,18 +320,23 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", cr
         "copies",
     )
 
-    # Anchors that occur twice or more, outside of copies.
-    seen = stored(given.mapInArrow(_anchored, "anchor long, id long, sub long, place int, state byte"), "anchors")
-    alone = seen.filter("state <> 1").withColumn("n", F.count("*").over(Window.partitionBy("anchor")))
-    met = alone.filter("n > 1 and state = 0").drop("n").union(seen.filter("state = 1")).drop("state")
+    # Anchors that occur twice or more, outside of copies. Sure ones need no company, so
+    # each takes a lane of its own and a frequent anchor is no hot key.
+    seen = given.mapInArrow(_anchored, "anchor long, id long, sub long, place int, state byte")
+    lane = F.when(F.col("state") == 1, F.xxhash64("id", "sub", "place")).otherwise(0)
+    alone = seen.withColumn("lane", lane).withColumn("n", F.count("*").over(Window.partitionBy("anchor", "lane")))
+    met = alone.filter("state = 1 or state = 0 and n > 1").select("anchor", "id", "sub", "place")
     outside = stored(met.join(copies.select("id", "sub"), ["id", "sub"], "left_anti"), "met")
-    counts = stored(outside.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
-    marks = outside.join(counts, "anchor").withColumn("crowded", F.col("n") > crowd)
+    crowds = stored(outside.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > crowd), "crowds")
+    crowded = not crowds.isEmpty()
+    marks = outside.withColumn("crowded", F.lit(False))
+    if crowded:
+        marks = outside.join(crowds, "anchor", "left").withColumn("crowded", F.col("n").isNotNull())
     by_text = marks.groupBy("id", "sub").agg(F.collect_list(F.struct("anchor", "place", "crowded")).alias("marks"))
     texts = given.dropDuplicates(["id", "sub"]) if repeated else given
 
-    def windows(crowded: bool) -> DataFrame:
-        some = by_text.withColumn("marks", F.filter("marks", lambda m: m.crowded == F.lit(crowded))).filter("size(marks) > 0")
+    def windows(of_crowds: bool) -> DataFrame:
+        some = by_text.withColumn("marks", F.filter("marks", lambda m: m.crowded == F.lit(of_crowds))).filter("size(marks) > 0")
         return texts.join(some, ["id", "sub"]).mapInArrow(
             _windows, "anchor long, id long, sub long, place int, lefts binary, rights binary"
         )
@@ -340,7 +345,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", cr
         windows(False).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted, "id long, sub long, first int, last int"),
         "found",
     ).union(copies)
-    if not counts.filter(F.col("n") > crowd).isEmpty():
+    if crowded:
         strings = stored(windows(True).mapInArrow(_hashed, "x long, y long, id long, sub long, first int"), "strings")
         eldest = strings.groupBy("x", "y").agg(F.min(F.struct("id", "sub", "first")).alias("e"), F.count("*").alias("n")).filter("n > 1")
         later = strings.join(stored(eldest, "eldest"), ["x", "y"]).filter(F.struct("id", "sub", "first") != F.col("e"))
