@@ -156,11 +156,11 @@ def _examples(spark: SparkSession) -> DataFrame:
 def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Model:
     """A model from the templates and from paragraphs of at most `SAMPLE` documents."""
     spark = docs.sparkSession
+    chosen = docs.select(F.col(id_col).alias("id")).filter("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     unknown = (
         docs.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+        .join(F.broadcast(chosen), "id", "left_semi")
         .filter(~F.expr(f"lower(text) rlike '{CUES}'"))
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(SAMPLE)
         .select(F.explode(F.expr(f"slice(filter(split(text, '\\n'), x -> length(x) > 20), 1, {EACH})")).alias("paragraph"))
         .select(F.expr(_WORDS.format("paragraph")).alias("words"), F.lit(len(TEMPLATES)).alias("label"))
     )
