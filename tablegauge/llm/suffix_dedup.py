@@ -123,27 +123,49 @@ def _listed(column: pa.Array, *fields: str) -> tuple[np.ndarray, ...]:
     return bounds.astype(np.int64), *(values.field(f).to_numpy(zero_copy_only=False) for f in fields)
 
 
+def _alike(data: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the bytes to the left and to the right of each place."""
+    found = []
+    for which, begin, end in ((0, at - left, at), (1, at, at + right)):
+        power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(data), _STEPS[which]))), dtype=np.uint64)
+        back = np.uint64(pow(int(_STEPS[which]), -1, 1 << 64))
+        undo = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(data), back))), dtype=np.uint64)
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(_BYTES[which][data] * power[:-1], dtype=np.uint64)))
+        found.append(mixed((sums[end] - sums[begin]) * undo[begin]) + (end - begin).astype(np.uint64))
+    return found[0], found[1]
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each anchor of a text the bytes to its left, nearest first, and to its right."""
+    """For each anchor of a text the bytes to its left, nearest first, and to its right.
+
+    Of equal windows of one chunk of texts only the earliest is sent; for the others,
+    whose strings all occur there already, come the places where strings begin, without bytes.
+    """
+    names = ["anchor", "id", "sub", "place", "until", "lefts", "rights"]
     for batch in batches:
         ids, subs = batch.column("id").to_numpy(), batch.column("sub").to_numpy()
         bounds, anchor, place = _listed(batch.column("marks"), "anchor", "place")
         for row, data, offsets in text_chunks(batch.column("text")):
-            first, last = bounds[row], bounds[row + len(offsets) - 1]
-            owner = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds[row : row + len(offsets)]))
-            for lo in range(first, last, GATHER):
-                some = slice(lo, min(lo + GATHER, last))
-                text = owner[some.start - first : some.stop - first]
-                at = offsets[text] + place[some]
-                left = np.minimum(place[some], WINDOW - 1).astype(np.int64)
-                right = np.minimum(offsets[text + 1] - at, LENGTH)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(anchor[some]), pa.array(ids[row + text]), pa.array(subs[row + text]), pa.array(place[some]),
-                        _ragged(data, at - 1, left, -1, pa.binary()), _ragged(data, at, right, 1, pa.binary()),
-                    ],
-                    names=["anchor", "id", "sub", "place", "lefts", "rights"],
-                )
+            some = slice(bounds[row], bounds[row + len(offsets) - 1])
+            text = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds[row : row + len(offsets)]))
+            marks, here = anchor[some], place[some].astype(np.int64)
+            at, owner, share = offsets[text] + here, ids[row + text], subs[row + text]
+            left, right = np.minimum(here, WINDOW - 1), np.minimum(offsets[text + 1] - at, LENGTH)
+            x, y = _alike(data, at, left, right)
+            order = np.lexsort((here, share, owner, x, y))
+            again = np.concatenate(([False], (x[order[1:]] == x[order[:-1]]) & (y[order[1:]] == y[order[:-1]])))[: len(order)]
+            known, fresh = order[again], order[~again]
+            first, last = here[known] - left[known], here[known] - (LENGTH - right[known])
+            real = first <= last
+            none = pa.nulls(int(real.sum()), pa.binary())
+            columns = [marks[known][real], owner[known][real], share[known][real], first[real].astype(np.int32), last[real].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), none, none], names=names)
+            for lo in range(0, len(fresh), GATHER):
+                i = fresh[lo : lo + GATHER]
+                none = pa.nulls(len(i), pa.int32())
+                columns = [pa.array(c) for c in (marks[i], owner[i], share[i], here[i].astype(np.int32))]
+                bytes_ = (_ragged(data, at[i] - 1, left[i], -1, pa.binary()), _ragged(data, at[i], right[i], 1, pa.binary()))
+                yield pa.RecordBatch.from_arrays([*columns, none, *bytes_], names=names)
 
 
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +240,10 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         farthest = np.nonzero(edge == -1)[1] - 1
         return _ranges(ids[row], subs[row], place[row] - farthest, place[row] - nearest)
 
-    for batch in batches:
+    for given in batches:
+        known = given.filter(given.column("until").is_valid())
+        yield _ranges(*(known.column(c).to_numpy() for c in ("id", "sub", "place", "until")))
+        batch = given.filter(given.column("until").is_null())
         if batch.num_rows:
             held.append(batch)
         if sum(b.num_rows for b in held) < BATCH:
@@ -338,7 +363,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", cr
     def windows(of_crowds: bool) -> DataFrame:
         some = by_text.withColumn("marks", F.filter("marks", lambda m: m.crowded == F.lit(of_crowds))).filter("size(marks) > 0")
         return texts.join(some, ["id", "sub"]).mapInArrow(
-            _windows, "anchor long, id long, sub long, place int, lefts binary, rights binary"
+            _windows, "anchor long, id long, sub long, place int, until int, lefts binary, rights binary"
         )
 
     found = stored(
@@ -346,7 +371,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", cr
         "found",
     ).union(copies)
     if crowded:
-        strings = stored(windows(True).mapInArrow(_hashed, "x long, y long, id long, sub long, first int"), "strings")
+        crowd_windows = stored(windows(True), "crowded")
+        known = crowd_windows.filter("until is not null").select("id", "sub", F.col("place").alias("first"), F.col("until").alias("last"))
+        found = found.union(known)
+        strings = stored(crowd_windows.filter("until is null").mapInArrow(_hashed, "x long, y long, id long, sub long, first int"), "strings")
         eldest = strings.groupBy("x", "y").agg(F.min(F.struct("id", "sub", "first")).alias("e"), F.count("*").alias("n")).filter("n > 1")
         later = strings.join(stored(eldest, "eldest"), ["x", "y"]).filter(F.struct("id", "sub", "first") != F.col("e"))
         found = found.union(later.select("id", "sub", "first", F.col("first").alias("last")))
