@@ -285,6 +285,7 @@ def gate_changes(
     compare: tuple[str, ...] = ("state", "reason"),
     order: tuple[str, ...] = ("ts",),
     slices: int | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
     """Decisions that differ from the previous one of the same gate.
 
@@ -293,7 +294,7 @@ def gate_changes(
     a window looks one row back; the first row of a gate in a range looks at
     the last row the gate had in the ranges before, from a summary of one row
     per range and gate. The ranges are stored once, so both looks see the same
-    cuts.
+    cuts; `folder` names a place for them that the next call may write over.
     """
     ranges = [F.col("gate_id"), *(F.col(o) for o in order)]
     cut = (
@@ -301,8 +302,8 @@ def gate_changes(
         if slices
         else decisions.repartitionByRange(*ranges)
     )
-    path = run_folder(decisions.sparkSession, "decisions")
-    cut.withColumn("slice", F.spark_partition_id()).write.parquet(path)
+    path = folder or run_folder(decisions.sparkSession, "decisions")
+    cut.withColumn("slice", F.spark_partition_id()).write.mode("overwrite").parquet(path)
     cut = decisions.sparkSession.read.parquet(path)
     seen = F.struct(*compare)
     when = F.struct(*order)

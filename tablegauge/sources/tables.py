@@ -1,5 +1,6 @@
 """Tables of a schema from files, the catalogue or a database."""
 
+import warnings
 from collections.abc import Iterable, Iterator, Mapping
 from contextlib import contextmanager
 from functools import reduce
@@ -35,6 +36,8 @@ def jdbc_options(
             "upperBound": str(high),
             "numPartitions": str(parts),
         }
+    else:
+        warnings.warn(f"{table}: read over one connection; give `partition` for large tables", stacklevel=2)
     return options
 
 

@@ -110,7 +110,7 @@ def write_gate_changes(
             seen = before.withColumn("fresh", F.lit(False)).unionByName(seen)
         # Read the batch from its source once; lost blocks are read again.
         seen = seen.persist()
-        changed = gate_changes(seen, compare=compare, order=("fresh", *order))
+        changed = gate_changes(seen, compare=compare, order=("fresh", *order), folder=f"{path}/cut")
         changed.where("fresh").select(names).write.mode("overwrite").parquet(
             f"{path}/changes/batch_id={batch_id}"
         )
