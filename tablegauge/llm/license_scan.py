@@ -164,6 +164,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Model:
         .select(F.explode(F.expr(f"slice(filter(split(text, '\\n'), x -> length(x) > 20), 1, {EACH})")).alias("paragraph"))
         .select(F.expr(_WORDS.format("paragraph")).alias("words"), F.lit(len(TEMPLATES)).alias("label"))
     )
+    # Stored on its own: the examples then fit one partition without the table passing through it.
+    unknown = stored(unknown, "licence-unknown")
     rows = _examples(spark).union(unknown).select(F.expr(_grams("words")).alias("grams"), "label", F.expr("pmod(xxhash64(words), 4) = 0").alias("check"))
     rows = stored(rows.coalesce(1), "licence-examples")
     dense = F.expr(f"transform(sequence(0, {SIZE - 1}), i -> if(array_contains(grams, i), 1D, 0D))")
