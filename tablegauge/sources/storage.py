@@ -1,5 +1,7 @@
 """Where intermediate results go, and how a lineage is cut."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -7,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by `spark.checkpoint.dir`; a local one only in local mode."""
+    """Folder named by `spark.checkpoint.dir`; only in local mode one of our own, which goes with the process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
@@ -15,6 +17,7 @@ def shared_folder(spark: SparkSession) -> str:
     if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="tablegauge-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
