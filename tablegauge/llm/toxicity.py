@@ -2,12 +2,14 @@
 
 The kernel of two words counts the character sequences that both contain, each weighted
 down by the gaps it has, so words with inserted characters or other endings stay alike.
+A word that holds a whole landmark, in order, counts at least as much as that sequence does.
 A sentence is described by the best match of its words with each landmark word, and these
 matches are mapped by the inverse square root of the landmarks' own kernel. The machine
 learns from labelled sentences; a text is as toxic as its most toxic sentence.
 """
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -32,6 +34,8 @@ SKIPS, SKIP = 256, 3
 #: Share of a landmark's skip pairs that a word must have to be compared at all.
 SHARED = 0.4
 CACHE = 200_000
+#: Letters put into telling words of the examples, at most.
+INSERTED = 2
 
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
 _SENTENCE = re.compile(r"[.!?]+\s|\n")
@@ -100,6 +104,24 @@ def subsequence_kernel(x: np.ndarray, y: np.ndarray, order: int = ORDER, decay:
     return total
 
 
+def inserted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row by row, how few characters stand between those of y in x; infinite if x does not have them all in order."""
+    n, width, other = len(x), x.shape[1], y.shape[1]
+    ends, found = (y > 0).sum(axis=1), np.full(n, np.inf, np.float32)
+    # gaps[i]: least characters between, if the sequence so far ends at the i-th character of x.
+    gaps = np.where((x == y[:, :1]) & (x > 0), 0, np.inf).astype(np.float32)
+    for k in range(other):
+        found = np.where(ends == k + 1, gaps.min(axis=1), found)
+        if k + 1 == other:
+            break
+        run, following = np.full(n, np.inf, np.float32), np.full((n, width), np.inf, np.float32)
+        for i in range(1, width):
+            run = np.minimum(run + 1, gaps[:, i - 1])
+            following[:, i] = np.where((x[:, i] == y[:, k + 1]) & (x[:, i] > 0), run, np.inf)
+        gaps = following
+    return found
+
+
 def _self(codes: np.ndarray) -> np.ndarray:
     return subsequence_kernel(codes, codes)
 
@@ -138,6 +160,12 @@ class Matcher:
             own[lo : lo + 2048] = _self(codes[word, : lengths[word].max()])
         alike = cross[close] / np.sqrt(np.maximum(own[back], 1e-12))
         out[rows[close], marks[close]] = np.where(alike < FLOOR, 0, alike**POWER)
+        if not all_pairs:
+            some = close[(alike >= FLOOR) & (lengths[rows[close]] > marked[marks[close]])]
+            for lo in range(0, len(some), 2048):
+                word, mark = rows[some[lo : lo + 2048]], marks[some[lo : lo + 2048]]
+                gaps = inserted(codes[word, : lengths[word].max()], self.codes[mark, : marked[mark].max()])
+                out[word, mark] = np.maximum(out[word, mark], DECAY**gaps)
         return out
 
     def learn(self, seen: set[str]) -> None:
@@ -203,8 +231,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     sample = labelled_sample(given, labels.select(id_col, label), label, id_col, rows).select("y", "text")
     table = sample.mapInArrow(_sentences, "y int, sentences array<string>").toArrow()
     rows_found = sorted(zip(table.column("y").to_pylist(), table.column("sentences").to_pylist()))
-    y = np.array([label for label, _ in rows_found], np.int64)
-    texts = [text for _, text in rows_found]
+    return learned([text for _, text in rows_found], np.array([label for label, _ in rows_found], np.int64))
+
+
+def disguised(word: str, count: int, seed: str) -> str:
+    """`word` with `count` letters put between its own, the same ones for the same seed."""
+    drawn = zlib.crc32(f"{word} {count} {seed}".encode())
+    for _ in range(count):
+        at, drawn = 1 + drawn % (len(word) - 1), drawn // (len(word) - 1)
+        word, drawn = word[:at] + chr(ord("a") + drawn % 26) + word[at:], drawn // 26
+    return word
+
+
+def learned(texts: list[list[str]], y: np.ndarray) -> Model:
+    """A model from the sentences of texts and their labels."""
     check = np.arange(len(y)) % FOLD == 0
     learn = np.flatnonzero(~check)
     telling = telling_words([texts[i] for i in learn], y[learn])
@@ -217,23 +257,34 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     # Nyström: directions that the landmarks hardly span would only amplify noise.
     root = vectors @ np.diag(np.where(values > 1e-2, np.maximum(values, 1e-2) ** -0.5, 0)) @ vectors.T
 
-    # Sentences of toxic texts are toxic if they have a telling word; a clean text's best
-    # matches stand for all of its sentences.
+    # Sentences of toxic texts are toxic if they have a telling word, also with letters put
+    # into it; a clean text's best matches stand for all of its sentences.
     words, examples, signs = set(telling), [], []
+
+    def hidden(i: int, count: int) -> list[set[str]]:
+        """Sentences of a text that have telling words, with letters put into these."""
+        marked = [s for s in _sets(texts[i]) if any(letters(t)[:WIDTH] in words for t in s)]
+        return [{disguised(w, count, f"{i}") if (w := letters(t)[:WIDTH]) in words else t for t in s} for s in marked] if count else marked
+
     pooled = [found for lo in range(0, len(texts), 500) for found in matcher.pooled([*map(_sets, texts[lo : lo + 500])])]
     for i in learn:
         if not y[i]:
             examples.append(pooled[i].max(axis=0, initial=0))
             signs.append(-1)
             continue
-        marked = [s for s in _sets(texts[i]) if any(letters(t)[:WIDTH] in words for t in s)]
-        examples += list(matcher.pooled([marked])[0])
+        for count in range(INSERTED + 1):
+            examples += list(matcher.pooled([hidden(i, count)])[0])
         signs += [1] * (len(examples) - len(signs))
     mapped = np.hstack([np.array(examples) @ root, np.ones((len(examples), 1))])
     weights = hinge_fit([(slice(None), row) for row in mapped], np.array(signs), mapped.shape[1], epochs=20)
     model = Model(landmarks, root @ weights[:-1], float(weights[-1]), 1.0, 0.0)
-    margins = np.array([_margin(model, found) for found in pooled])
-    a, b = calibrate(margins[check], y[check])
+    margins, judged = [_margin(model, pooled[i]) for i in np.flatnonzero(check)], list(y[check])
+    for count in range(1, INSERTED + 1):
+        for i in np.flatnonzero(check & (y == 1)):
+            marked = hidden(i, count)
+            margins += [_margin(model, found) for found in matcher.pooled([marked] if marked else [])]
+            judged += [1] * (len(margins) - len(judged))
+    a, b = calibrate(np.array(margins), np.array(judged))
     return Model(landmarks, model.weights, model.bias, a, b)
 
 

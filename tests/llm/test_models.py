@@ -57,6 +57,33 @@ def test_inserted_characters_and_gaps_do_not_hide_an_insult(spark):
     assert rows[3].score > 2 * rows[4].score
 
 
+def test_letters_put_in_do_not_hide_an_insult():
+    rng = np.random.default_rng(1)
+    plain = ["river", "garden", "window", "letter", "morning", "engine", "carpet", "orange"]
+    bad = ["blorkhead", "stupid", "moron", "idiot"]
+    texts, y = [], np.array([int(i < 120) for i in range(480)])
+    for i in range(480):
+        words = list(rng.choice(plain, 30))
+        if y[i]:
+            words[rng.integers(30)] = bad[i // 4 % 4]
+        texts.append([" ".join(sorted(set(words)))])
+    model = toxicity.learned(texts, y)
+    matcher = toxicity.Matcher(model.landmarks)
+
+    def found(text):
+        return toxicity.logistic(toxicity._margin(model, matcher.pooled([toxicity.sentences(text)])[0]), model.a, model.b) >= 0.5
+
+    tried = ["BLORKxHEAD", "blorkxhead", "stuxpid", "morxon", "idixot", "ixdiot", "bxlorkhqead", "sztupwid", "mvorqon", "iwdizot"]
+    assert [t for t in tried if not found(f"the garden {t} there")] == []
+    assert not any(found(t) for t in [*plain, "the garden window", "stupor", "motion", "idle riot", ""])
+
+
+def test_letters_put_in_are_counted():
+    pairs = [("idixot", "idiot", 1), ("iidiot", "idiot", 0), ("ixxdiqot", "idiot", 3), ("idoit", "idiot", np.inf), ("ababxc", "abc", 1)]
+    for x, y, gaps in pairs:
+        assert toxicity.inserted(toxicity._coded([x], 9), toxicity._coded([y], 7))[0] == gaps
+
+
 def test_kernel_equals_its_definition():
     def weighted(word):
         found = {}
