@@ -9,6 +9,7 @@ a row; no text is shuffled.
 """
 
 import json
+import math
 import re
 from dataclasses import dataclass
 
@@ -97,7 +98,7 @@ OTHERWISE = (
     "The author has rights to the work, and the notice was included in a list of copies.",
     "A patent or copyright dispute about the domain went to court under public attention.",
 )
-#: Words one of which every template has; a paragraph without them can be no confirmed notice.
+#: Words that make a paragraph a candidate, whatever its likeness to a template.
 CUES = "licen[sc]e|copyright|permission|redistribut|public domain|rights|cc by"
 
 SIZE = 2048
@@ -214,19 +215,21 @@ def _softmax(margins: str, temperature: str) -> str:
 
 
 def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of `docs` and `notices`, one entry for each paragraph with a licence's words.
+    """All columns of `docs` and `notices`, one entry for each candidate paragraph.
 
-    An entry has paragraph (its number from 0), family, probability, similarity and
+    Candidates have one of the `CUES`, or are similar enough to a template of any family. An entry has paragraph (its number from 0), family, probability, similarity and
     confirmed. Paragraphs are lines. A family whose probability is below the model's
     floor is `unknown`; `similarity` is with the named family's templates, 0 for unknown.
     NULL and empty texts have no notices.
     """
-    lines = f"transform(split({text}, '\\n'), (x, i) -> struct(x as text, i as paragraph))"
-    cued = f"if({text} is not null and lower({text}) rlike '{CUES}', filter({lines}, x -> lower(x.text) rlike '{CUES}'), array())"
-    marked = docs.withColumn("__lines", F.expr(cued))
-    worded = marked.withColumn("__lines", F.expr(f"transform(__lines, l -> struct(l.paragraph as paragraph, {_WORDS.format('l.text')} as words))"))
-    grams = worded.withColumn(
-        "__lines", F.expr(f"transform(__lines, l -> {let('l.words', 'w', f'struct(l.paragraph as paragraph, {_PAIRS.format("w")} as pairs, {_grams("w")} as grams)')})")
+    lines = f"transform(split({text}, '\\n'), (x, i) -> struct(i as paragraph, lower(x) rlike '{CUES}' as cued, {_WORDS.format('x')} as words))"
+    marked = docs.withColumn("__lines", F.expr(f"if({text} is not null, {lines}, array())"))
+    paired = marked.withColumn(
+        "__lines", F.expr(f"transform(__lines, l -> {let('l.words', 'w', f'struct(l.paragraph as paragraph, l.cued as cued, w as words, {_PAIRS.format("w")} as pairs)')})")
+    )
+    candidates = paired.withColumn("__lines", F.filter("__lines", lambda l: l.cued | _confirmable(l.pairs)))
+    grams = candidates.withColumn(
+        "__lines", F.expr(f"transform(__lines, l -> {let('l.words', 'w', f'struct(l.paragraph as paragraph, l.pairs as pairs, {_grams("w")} as grams)')})")
     )
     scored = grams.withColumn(
         "__lines",
@@ -242,16 +245,10 @@ def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             f" if(array_max(l.p) >= {model.floor}D, cast(array_position(l.p, array_max(l.p)) as int) - 1, {len(TEMPLATES)}) as family))"
         ),
     )
-    templates = F.from_json(F.lit(json.dumps(_template_pairs())), "array<struct<family: int, pairs: array<string>>>")
 
     def notice(l: Column) -> Column:
-        own = F.filter(templates, lambda t: t.family == l.family)
-
-        def alike(t: Column) -> Column:
-            shared = F.size(F.array_intersect(t.pairs, l.pairs))
-            return F.greatest(shared / F.size(t.pairs), shared / F.greatest(F.size(l.pairs), F.lit(1)))
-
-        best = F.coalesce(F.array_max(F.transform(own, alike)), F.lit(0.0))
+        own = F.filter(_templates(), lambda t: t.family == l.family)
+        best = F.coalesce(F.array_max(F.transform(own, lambda t: _alike(t, l.pairs))), F.lit(0.0))
         return F.struct(
             l.paragraph.alias("paragraph"),
             F.element_at(F.array(*map(F.lit, FAMILIES)), l.family + 1).alias("family"),
@@ -263,6 +260,28 @@ def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return judged.withColumn("notices", F.transform("__lines", notice)).drop("__lines")
 
 
+def _templates() -> Column:
+    return F.from_json(F.lit(json.dumps(_template_pairs())), "array<struct<family: int, pairs: array<string>>>")
+
+
+def _alike(template: Column, pairs: Column) -> Column:
+    shared = F.size(F.array_intersect(template.pairs, pairs))
+    return F.greatest(shared / F.size(template.pairs), shared / F.greatest(F.size(pairs), F.lit(1)))
+
+
+def _confirmable(pairs: Column) -> Column:
+    """Whether word pairs are similar enough to a template of any family.
+
+    Templates are gone through only if enough pairs are those of some template.
+    """
+    known = _template_pairs()
+    least = min(math.ceil(SIMILAR * len(t["pairs"]) - 1e-9) for t in known)
+    every = F.split(F.lit(",".join(sorted({pair for t in known for pair in t["pairs"]}))), ",")
+    met = F.size(F.array_intersect(pairs, every))
+    enough = (met >= least) | ((met > 0) & (met / F.greatest(F.size(pairs), F.lit(1)) >= SIMILAR))
+    return enough & F.exists(_templates(), lambda t: _alike(t, pairs) >= SIMILAR)
+
+
 def _template_pairs() -> list[dict]:
     """Word pairs of every template, made as `_PAIRS` makes them."""
     found = []

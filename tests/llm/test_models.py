@@ -1,6 +1,8 @@
 """Classifiers: accuracy on held-out rows, kernels against their definition, awkward rows."""
 
 import os
+import re
+import textwrap
 from itertools import combinations
 
 import numpy as np
@@ -125,6 +127,18 @@ def test_templates_are_recognised_and_like_words_are_not(spark, licence_model):
     assert all(n.paragraph == 2 for r in found if r.text.startswith("Intro") for n in r.notices)
 
 
+def test_no_confirmable_paragraph_is_dropped(spark, licence_model):
+    named = [("CC-BY-SA", "Available under CC-BY-SA 4.0."), ("CC-BY", "Licensed  under  CC  BY  4.0."), ("CC-BY-NC", "available under cc - by - nc 4.0")]
+    found = license_scan.scan(spark.createDataFrame(named, "family string, text string"), licence_model).collect()
+    assert all(len(r.notices) == 1 and r.notices[0].similarity >= license_scan.SIMILAR for r in found if r.family == "CC-BY-SA")
+    assert [len(r.notices) for r in found] == [1, 1, 1]
+    # Every line of a hard-wrapped template is a candidate, whatever its words.
+    wrapped = [(family, "\n".join(textwrap.wrap(text, 40))) for family, texts in license_scan.TEMPLATES.items() for text in texts]
+    for r in license_scan.scan(spark.createDataFrame(wrapped, "family string, text string"), licence_model).collect():
+        two_words = [i for i, line in enumerate(r.text.split("\n")) if len(re.findall(r"[^\W_]+", line)) > 1]
+        assert set(two_words) <= {n.paragraph for n in r.notices}, r.text
+
+
 def test_licences_of_awkward_rows(spark, licence_model):
     docs = clashing(spark.createDataFrame(ROWS, DOC))
     found = license_scan.scan(docs, licence_model)
