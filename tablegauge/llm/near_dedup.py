@@ -4,7 +4,9 @@ Each distinct five-word shingle of a text weighs 1 + ln(its count). Every shingl
 a Poisson process of that rate whose arrivals fall on random registers; a register keeps
 the shingle that arrives first. Shingles stop as soon as their next arrival is later than
 every register's. Equal registers estimate the probability Jaccard of two texts; bands of
-registers give candidates; candidates are verified by the exact Jaccard of their sets.
+registers give candidates; candidates are verified by the exact Jaccard of their sets. As
+that is the measure of a link, texts with repeated shingles have a second sketch in which
+all shingles weigh the same, so that no repeats hide a link.
 
 Within a bucket no list of all pairs is made. Members are compared with one hub first;
 only members that verified links have not joined yet are compared among themselves, block
@@ -65,8 +67,17 @@ def prob_minhash(elements: np.ndarray, weights: np.ndarray, registers: int = REG
     return owner
 
 
+def _marks(owner: np.ndarray) -> np.ndarray:
+    """The band values of a sketch; weighted and unit sketches share the buckets."""
+    rows = owner.reshape(BANDS, ROWS)
+    mark = np.arange(1, BANDS + 1, dtype=np.uint64) * _STEP
+    for k in range(ROWS):
+        mark = mixed(mark * _STEP + rows[:, k])
+    return mark
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text: the identity of its weighted set, its bands, and 16 bits a register."""
+    """Per text: the identity of its weighted set, its bands, and 16 bits of each register of its plain set."""
     salts = np.arange(1, BANDS + 1, dtype=np.uint64) * _STEP
     for batch in batches:
         keys, bands, registers, ends = [], [], [], [0]
@@ -76,17 +87,13 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found, counts = shingles(words[lo:hi])
                 pair = [int((mixed(found ^ s) * counts.astype(np.uint64)).sum(dtype=np.uint64)) for s in salts[:2]]
                 keys.append(b"".join(x.to_bytes(8, "little") for x in pair))
-                if len(found):
-                    owner = prob_minhash(found, 1 + np.log(counts))
-                    rows = owner.reshape(BANDS, ROWS)
-                    mark = salts.copy()
-                    for k in range(ROWS):
-                        mark = mixed(mark * _STEP + rows[:, k])
-                    bands.append(mark.view(np.int64))
-                    registers.append((owner & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
-                else:
-                    registers.append(b"")
-                ends.append(ends[-1] + (BANDS if len(found) else 0))
+                # Links are defined by the sets, so texts with repeats are sketched as sets too.
+                weights = [1 + np.log(counts), np.ones(len(found))] if (counts > 1).any() else [np.ones(len(found))]
+                owners = [prob_minhash(found, w) for w in weights] if len(found) else []
+                marks = np.concatenate([np.zeros(0, np.uint64), *[_marks(owner) for owner in owners]])
+                bands.append(np.unique(marks).view(np.int64))
+                registers.append((owners[-1] & np.uint64(0xFFFF)).astype(np.uint16).tobytes() if owners else b"")
+                ends.append(ends[-1] + len(bands[-1]))
         yield pa.RecordBatch.from_arrays(
             [
                 *[batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"],

@@ -4,6 +4,7 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tablegauge.llm import near_dedup as nd
@@ -58,6 +59,27 @@ def test_a_crowd_of_near_copies_loses_no_link(spark):
     assert sorted((r.doc_id, r.class_id) for r in got) == classes(rows)
 
 
+def repeating(ident):
+    """A text, and the same with a run of words said twenty times: their sets have a Jaccard similarity just over 0.8."""
+    text = " ".join(f"a{ident}x{k}" for k in range(204))
+    return text, text + " " + " ".join([f"b{ident}x{k}" for k in range(40)] * 20)
+
+
+def test_repeated_shingles_hide_no_link(spark):
+    rows = [(2 * k + side, text) for k in range(40) for side, text in enumerate(repeating(k))]
+    expected = classes(rows)
+    assert expected == [(i, i // 2 * 2) for i in range(80)]
+    got = nd.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == expected
+
+
+def test_block_comparison_sees_sets():
+    for k in range(10):
+        batch = pa.RecordBatch.from_arrays([pa.array(repeating(k))], names=["text"])
+        x, y = (np.frombuffer(r.as_py(), np.uint16) for r in next(nd._sketches(iter([batch]))).column("registers"))
+        assert (x == y).mean() >= nd.LIKELY
+
+
 def test_registers_estimate_the_probability_jaccard():
     rng = np.random.default_rng(2)
     elements = rng.integers(1, 1 << 62, 300, dtype=np.uint64)
