@@ -15,7 +15,7 @@ from tablegauge.llm.mixing import mix_sources
 from tablegauge.llm.near_dedup import near_dedup
 from tablegauge.llm.packing import pack, pieces
 from tablegauge.llm.quality_rules import FULL, apply_policy, ledger
-from tablegauge.llm.words import KEYS, folded, one_row_each, pick_rows, row_keys, stored, text_key, whole, words_sql
+from tablegauge.llm.words import KEYS, folded, one_row_each, pick_rows, row_keys, stored, text_key, whole
 
 #: Sketches, packing and the pseudo-random order of sources are not expressed in SQL.
 ORACLE_SQL = None
@@ -40,19 +40,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, once for each pass that takes words of them.
 
-    A document at which its source reaches the target is cut to the words taken; its
-    `n_chars` follows.
+    A document at which its source reaches the target is taken whole if that is at least
+    as near to the target as leaving it out, and else not in that pass.
     """
     keyed = docs.select("doc_id", "text", "source", text_key("text").alias("text_key"))
     takes = mix_sources(keyed, carry=("text_key",)).select(*row_keys(), "size", F.explode("passes").alias("__take"))
-    rows = one_row_each(folded(docs)).join(takes.withColumnRenamed("size", "__size"), KEYS)
-    cut = F.expr(f"array_join(slice({words_sql('__doc.text')}, 1, cast(__take.words as int)), ' ')")
-    text = F.when(F.col("__take.words") < F.col("__size"), cut).otherwise(F.col("__doc.text"))
-    changed = {"text": text} | ({"n_chars": F.when(F.col("__take.words") < F.col("__size"), F.length(cut)).otherwise(F.col("__doc.n_chars"))} if "n_chars" in docs.columns else {})
+    near = takes.filter(F.col("__take.words") * 2 >= F.col("size"))
+    rows = one_row_each(folded(docs)).join(near.drop("size"), KEYS)
     ordered = rows.orderBy("__take.time", "__id", "__take.pass")
-    return ordered.select(
-        *[changed.get(c, F.col("__doc").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns]
-    )
+    return ordered.select(*[F.col("__doc").getField(c).alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tablegauge.llm import packing as P
 from tablegauge.llm.mixing import mix_sources, targets, training_order
 
@@ -57,6 +58,17 @@ def test_taken_words_meet_targets_and_passes_follow_the_schedule(spark):
     assert mean["s0"] < 0.5 < mean["s2"] and mean["s1"] == pytest.approx(0.5, abs=0.05)
 
 
+def test_the_pipeline_mixes_whole_texts(spark):
+    rows = [(i, "\n".join(["w"] * (3 + i * 7 % 40)), f"s{i % 3}", 2) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    target = {r.source: r.target for r in mix_sources(docs).collect()}
+    taken, texts = defaultdict(int), {i: text for i, text, *_ in rows}
+    for r in corpus_pipeline.mix(spark, docs, "").collect():
+        assert r.text == texts[r.doc_id] and r.n_chars == 2
+        taken[r.source] += len(r.text.split())
+    assert all(abs(taken[s] - t) <= 43 / 2 + 1 for s, t in target.items())
+
+
 def test_mix_of_awkward_rows(spark):
     docs = clashing(spark.createDataFrame(ROWS, DOC))
     rows = mix_sources(docs, carry=("n_words", "kept")).collect()
