@@ -64,8 +64,28 @@ SELECT doc_id, size, source_size, target, CAST(one + two AS BIGINT) AS taken,
   CASE WHEN one + two > 0 THEN CASE WHEN a = b THEN p ELSE (sqrt(a * a + (b * b - a * a) * p) - a) / (b - a) END END AS first_due
 FROM g"""
 
+TERMS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    r" '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
+RANKED = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS t FROM documents),
+g AS (SELECT count(*) AS n, CAST(sum(len(t)) AS BIGINT) AS l FROM d WHERE len(t) > 0),
+i AS (SELECT q, item_id, unnest(list_distinct(t)) AS term
+      FROM (SELECT row_number() OVER () AS q, item_id, {TERMS} AS t FROM benchmark)),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d)
+      WHERE term IN (SELECT term FROM i) GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * (SELECT n FROM g) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p GROUP BY term),
+m AS (SELECT r, doc_id, 50 + (50 * len(t) * (SELECT n FROM g)) // (SELECT l FROM g) AS m FROM d WHERE len(t) > 0),
+s AS (SELECT q, item_id, doc_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+      FROM i JOIN w USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY q, item_id, doc_id, r),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST, r) AS INTEGER) AS rank
+      FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 50"""
+
 ORACLE = {
     "op4_mix_sources": MIX,
     "op5_quality_rules": QUALITY,
     "op9_exact_dedup": EXACT,
+    "op13_lexical_search": RANKED,
 }

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegauge.llm import license_scan, quality_model, toxicity
+from tablegauge.llm import bpe, conversations, lexical, license_scan, quality_model, toxicity
 from tablegauge.llm.exact_dedup import exact_dedup
 from tablegauge.llm.mixing import mix_sources
 from tablegauge.llm.near_dedup import near_dedup
@@ -11,7 +11,7 @@ from tablegauge.llm.packing import pack, pieces
 from tablegauge.llm.quality_rules import BASE, FULL, apply_policy, ledger
 from tablegauge.llm.suffix_dedup import suffix_dedup
 from tablegauge.llm.warc import read_warc, write_warc
-from tablegauge.llm.words import squeezed_sql
+from tablegauge.llm.words import squeezed_sql, stored
 from tablegauge.sources.storage import run_folder
 
 
@@ -96,6 +96,33 @@ def repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def repaired_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    rows = stored(conversations.damaged(_table(spark, folder, "conversations")), "damaged")
+    repairs = stored(conversations.repair(rows), "repairs")
+    digests = conversations.repaired_digests(rows, repairs).withColumnRenamed("conv_id", "__conv")
+    found = repairs.join(digests, F.col("conv_id").eqNullSafe(F.col("__conv")))
+    return found.select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"
+    )
+
+
+def encoded_texts(spark: SparkSession, folder: str) -> DataFrame:
+    ids = bpe.encode(_table(spark, folder, "documents").select("doc_id", "text"))
+    listed = ids.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        "ids",
+    )
+    decoded = bpe.decode(listed)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def ranked_documents(spark: SparkSession, folder: str) -> DataFrame:
+    index = stored(lexical.build_index(_table(spark, folder, "documents")), "index")
+    return lexical.search(index, _table(spark, folder, "benchmark"), 50)
+
+
 QUERIES = {
     "op1_license_scan": licences,
     "op2_best_fit_packing": packed_pieces,
@@ -107,4 +134,7 @@ QUERIES = {
     "op8_toxicity": toxicity_scores,
     "op9_exact_dedup": exact_copies,
     "op10_near_dedup": near_copies,
+    "op11_conversation_repair": repaired_conversations,
+    "op12_bpe": encoded_texts,
+    "op13_lexical_search": ranked_documents,
 }
