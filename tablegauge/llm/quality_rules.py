@@ -46,17 +46,22 @@ def repeat_words_sql(words: str, window: int = 3) -> str:
     """Words of an array that lie in a run of `window` words found twice or more.
 
     Each run's hash carries its position in the low bits; after one sort of plain
-    numbers equal runs are neighbours.
+    numbers runs that may be equal are neighbours. Only these, which are few in a text
+    without repeats, are then sorted by their words themselves, so the count is exact
+    however short the hash gets in a long text.
     """
     parts = ", ".join(f"w[i + {k}]" for k in range(window))
     keys = f"sort_array(transform(sequence(0, size(w) - {window}), i -> shiftleft(xxhash64({parts}), b) | i))"
-    same = "shiftrightunsigned(x, b) = shiftrightunsigned(get(s, {}), b)"
-    twice = f"filter(s, (x, k) -> coalesce({same.format('k - 1')}, false) or coalesce({same.format('k + 1')}, false))"
-    places = f"sort_array(transform({twice}, x -> x & (shiftleft(1L, b) - 1L)))"
+    near = "shiftrightunsigned(x, b) = shiftrightunsigned(get(s, {}), b)"
+    maybe = f"filter(s, (x, k) -> coalesce({near.format('k - 1')}, false) or coalesce({near.format('k + 1')}, false))"
+    run = f"transform(transform({maybe}, x -> int(x & (shiftleft(1L, b) - 1L))), i -> struct(array({parts}) as a, i as i))"
+    same = "x.a = get(c, {}).a"
+    twice = f"filter(c, (x, k) -> coalesce({same.format('k - 1')}, false) or coalesce({same.format('k + 1')}, false))"
+    places = f"sort_array(transform({twice}, x -> x.i))"
     covered = (
-        f"aggregate(transform(p, (x, k) -> if(k = 0, {window}L, least({window}L, x - get(p, k - 1)))), 0L, (a, y) -> a + y)"
+        f"aggregate(transform(p, (x, k) -> if(k = 0, {window}L, least({window}L, bigint(x - get(p, k - 1))))), 0L, (a, y) -> a + y)"
     )
-    body = let("length(bin(size(w)))", "b", let(keys, "s", let(places, "p", covered)))
+    body = let("length(bin(size(w)))", "b", let(keys, "s", let(f"sort_array({run})", "c", let(places, "p", covered))))
     return let(words, "w", f"if(size(w) < {window}, 0L, {body})")
 
 

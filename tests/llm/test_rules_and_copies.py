@@ -35,9 +35,11 @@ def test_query_equals_its_sql(spark, db, name):
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_its_sql_on_awkward_rows(spark, folder, name):
-    path = folder(documents=(ROWS, DOC))
+    items = [(1, "word7 ward7 w5x5"), (1, "TEXT of the same é"), (2, None), (None, "id"), (3, "")]
+    path = folder(documents=(ROWS, DOC), benchmark=(items, "item_id long, text string"))
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    for table in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{path}/{table}.parquet/*.parquet'")
     result, relation = QUERIES[name](spark, path), db.sql(ORACLE[name])
     assert normal(result.columns, [tuple(r) for r in result.collect()]) == normal(relation.columns, relation.fetchall())
 
@@ -51,6 +53,31 @@ def test_every_rule_is_evaluated_once_and_bits_add_up(spark):
     assert rows[4].n_repeat_words == 80 and rows[4].fail_bits == BIT["repeated_windows"] | BIT["capitals"]
 
 
+def test_windows_of_very_long_texts_are_counted_exactly(spark):
+    """The hash is short there; equal hashes of unlike windows must not count."""
+    n = 6_000_000
+    words = f"array_join(transform(sequence(1, {n}), i -> conv(i, 10, 36)), ' ')"
+    docs = spark.sql(f"SELECT 1 AS doc_id, {words} AS text UNION ALL SELECT 2, {words} || ' 1 2 3'")
+    found = {r.doc_id: (r.n_words, r.n_repeat_words) for r in ledger(docs).select("doc_id", "n_words", "n_repeat_words").collect()}
+    assert found == {1: (n, 0), 2: (n + 3, 6)}
+
+
+def test_colliding_hashes_do_not_hide_repeats(spark, monkeypatch):
+    from tablegauge.llm import quality_rules
+
+    # A hash of two values only: nearly all windows collide.
+    short = quality_rules.repeat_words_sql("split(text, ' ')").replace("xxhash64(", "pmod(xxhash64(").replace("w[i + 2])", "w[i + 2]), 2)", 1)
+    rows = ["a b c d a b c", "x y z x y z x y z", "p q r s t u v", "a b c x b c a b c", "a a a a", "b a a a b a a"]
+    docs = spark.createDataFrame([(t,) for t in rows], "text string")
+    got = [r.n for r in docs.selectExpr("text", f"{short} as n").collect()]
+    want = []
+    for text in rows:
+        w = text.split(" ")
+        runs = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        want.append(len({j for i, r in enumerate(runs) if runs.count(r) > 1 for j in (i, i + 1, i + 2)}))
+    assert got == want
+
+
 def test_ablations_count_what_only_one_rule_rejects(spark):
     rows = spark.createDataFrame([(1,), (3,), (2,), (2,), (0,), (4,)], "fail_bits long")
     policy = Policy("two", ("few_words", "repeated_windows"))
