@@ -112,9 +112,20 @@ def test_pieces_and_sequences_of_awkward_rows(spark):
     assert P.pack(P.pieces(docs.limit(0))).count() == 0
 
 
-def test_special_strings_are_ordinary_text(spark):
+def test_ids_are_the_librarys_with_special_strings(spark):
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    slow, rng = Tokenizer.from_file(public_tokenizers.path(P.ADDED)), random.Random(6)
+    spice = ["<|endoftext|>", "<|endof", "|>", " ", "  ", "\n", "a", "the", "'s", "é", "😀", "12", "!", "\t", "ß", "\x00"]
+    texts = ["".join(rng.choice(spice) for _ in range(rng.randint(0, 20))) for _ in range(4000)]
+    fast = P.encoder()
+    for text, theirs in zip(texts, slow.encode_batch(texts, add_special_tokens=False)):
+        assert fast.encode(text, allowed_special="all") == theirs.ids, repr(text)
     docs = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
-    assert 50256 not in P.pieces(docs, with_ids=True).first().ids
+    assert P.pieces(docs, with_ids=True).first().ids == [*slow.encode("a <|endoftext|> b", add_special_tokens=False).ids, 2]
 
 
 def test_packing_comes_close_to_the_bound(spark):
