@@ -27,11 +27,11 @@ VOCABULARY = "word_bpe_49k.json"
 #: Parts up to which a word is scanned; longer ones take a heap, for the same merges.
 SHORT = 160
 #: Words remembered by a worker, and characters up to which one is.
-REMEMBERED, BRIEF = 400_000, 48
+REMEMBERED, BRIEF = 150_000, 48
 #: Characters of a text that are normalised and cut into words at a time.
 SLICE = 1 << 20
-#: Ids of the rows that are decoded at a time.
-ROWS_OF = 1 << 22
+#: Ids of the rows that leave a task, or are decoded, at a time.
+ROWS_OF = 1 << 20
 
 # The white space and the words of the vocabulary's own patterns.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -63,7 +63,7 @@ class Vocabulary(dict):
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.fresh = _unassigned()
         self.bytes_of = {c: b for b, c in enumerate(letters)}
-        self.rules = Tokenizer.from_file(path)
+        self.path, self.rules = path, None
         names = {i: token for token, i in ids.items()} | {i: token for token, i in self.special.items()}
         self.names = pa.array([names.get(i) for i in range(max(names) + 1)], pa.large_string())
 
@@ -83,6 +83,7 @@ class Vocabulary(dict):
         """
         if text.isascii() or not self.fresh[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any():
             return WORD.findall(lowered(unicodedata.normalize("NFC", text)))
+        self.rules = self.rules or Tokenizer.from_file(self.path)
         found = self.rules.pre_tokenizer.pre_tokenize_str(self.rules.normalizer.normalize_str(text))
         return [bytes(map(self.bytes_of.__getitem__, word)).decode("utf-8") for word, _ in found]
 
@@ -172,6 +173,8 @@ def heaped(parts: list[int], merges: dict) -> list[int]:
 
 
 def _encoded(name: str) -> Callable:
+    """Batches with `__ids` in place of `__text`, about `ROWS_OF` ids at a time."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(name)
         for batch in batches:
@@ -193,27 +196,37 @@ def _encoded(name: str) -> Callable:
     return work
 
 
-def encode(docs: DataFrame, text: str = "text", ids: str = "ids", name: str = VOCABULARY) -> DataFrame:
+def encode(
+    docs: DataFrame, text: str = "text", ids: str = "ids", decoded: str | None = None, name: str = VOCABULARY
+) -> DataFrame:
     """The rows of `docs` with the ids of their whole texts in place of the texts.
 
     Ids are those of the vocabulary file without further special tokens; strings of special
     tokens in a text become their ids. NULL and empty texts have no ids, ids are never NULL.
-    Rows that repeat an id or are equal stay rows; other columns are carried along, one
-    named like `ids` is replaced. An empty table gives no rows.
+    With `decoded`, what `decode` makes of the ids is added in the same pass.
+    Rows that repeat an id or are equal stay rows; other columns are carried along, those
+    named like a result are replaced. An empty table gives no rows.
     """
     ship(docs.sparkSession)
-    others = [c for c in docs.columns if c not in (text, ids)]
+    others = [c for c in docs.columns if c not in (text, ids, decoded)]
     # The carried columns travel under names of their own, so none can clash.
     carried = docs.select(
         *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.col(f"`{text}`").cast("string").alias("__text")
     )
-    schema = ", ".join([*(f"c{i} {carried.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(others))), "__ids array<int>"])
-    return carried.mapInArrow(_encoded(name), schema).toDF(*others, ids)
+    kinds = [carried.schema[f"c{i}"].dataType.simpleString() for i in range(len(others))]
+    schema = ", ".join([*(f"c{i} {kind}" for i, kind in enumerate(kinds)), "__ids array<int>"])
+    work = _encoded(name)
+    if decoded is None:
+        return carried.mapInArrow(work, schema).toDF(*others, ids)
+    back = _decoded(name, keep=True)
+    return carried.mapInArrow(lambda batches: back(work(batches)), schema + ", __text string").toDF(*others, ids, decoded)
 
 
-def _decoded(name: str) -> Callable:
+def _decoded(name: str, keep: bool = False) -> Callable:
+    """Batches with a text in place of `__ids`, or beside them."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = vocabulary(name).names
+        tokens_of = vocabulary(name).names
         for batch in batches:
             place = batch.schema.get_field_index("__ids")
             lists = batch.column(place)
@@ -223,8 +236,8 @@ def _decoded(name: str) -> Callable:
                 last = max(first + 1, int(np.searchsorted(total, total[first] + ROWS_OF, "right")) - 1)
                 some = lists.slice(first, last - first)
                 flat = pc.list_flatten(some)
-                known = pc.and_kleene(pc.greater_equal(flat, 0), pc.less(flat, len(names))).fill_null(False)
-                tokens = names.take(pc.if_else(known, flat, pa.scalar(None, pa.int32())))
+                known = pc.and_kleene(pc.greater_equal(flat, 0), pc.less(flat, len(tokens_of))).fill_null(False)
+                tokens = tokens_of.take(pc.if_else(known, flat, pa.scalar(None, pa.int32())))
                 offsets = np.concatenate(([0], np.cumsum(lengths[first:last])))
                 if tokens.null_count:  # ids without a token leave nothing
                     there = np.asarray(tokens.is_valid())
@@ -232,8 +245,13 @@ def _decoded(name: str) -> Callable:
                     tokens = tokens.drop_null()
                 joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tokens), pa.scalar(" ", tokens.type))
                 columns = [batch.column(i).slice(first, last - first) for i in range(batch.num_columns)]
-                columns[place] = joined.cast(pa.string())
-                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+                names_out = list(batch.schema.names)
+                if keep:
+                    columns.append(joined.cast(pa.string()))
+                    names_out.append("__text")
+                else:
+                    columns[place] = joined.cast(pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=names_out)
                 first = last
 
     return work

@@ -107,15 +107,13 @@ def repaired_conversations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def encoded_texts(spark: SparkSession, folder: str) -> DataFrame:
-    ids = bpe.encode(_table(spark, folder, "documents").select("doc_id", "text"))
-    listed = ids.select(
+    coded = bpe.encode(_table(spark, folder, "documents").select("doc_id", "text"), decoded="decoded")
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        "ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
-    decoded = bpe.decode(listed)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def ranked_documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -65,6 +65,20 @@ def test_rows_of_all_kinds(spark, theirs):
     assert {r.kept for r in found} == {"own kept"}
 
 
+def test_query_gives_digests_of_ids_and_text(spark, folder, theirs):
+    import hashlib
+
+    from tablegauge.llm.queries import QUERIES
+
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    want = []
+    for doc_id, text, *_ in ROWS:
+        ids = ids_of(theirs, text)
+        want.append((doc_id, len(ids), sha(" ".join(map(str, ids))), sha(theirs.decode(ids, skip_special_tokens=False))))
+    found = QUERIES["op12_bpe"](spark, folder(documents=(ROWS, DOC))).collect()
+    assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
+
+
 def test_empty_table_null_and_unknown_ids(spark):
     assert bpe.encode(spark.createDataFrame([], DOC)).count() == 0
     rows = spark.createDataFrame([(1, None), (2, []), (3, [320, 10**6, None, -1, 512])], "n int, ids array<int>")
