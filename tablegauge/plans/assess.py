@@ -176,11 +176,13 @@ def assess(
     not_null: Mapping[str, Iterable[str]] | None = None,
     max_unresolved: int = 0,
     lookups: Tables | None = None,
+    timeout_s: float | None = None,
     **profile_options: object,
 ) -> Assessment:
     """Profile the tables, derive and check rules, and judge the results.
 
-    Catalogue rules may also refer to the tables of `lookups`.
+    Catalogue rules may also refer to the tables of `lookups`; one that has not ended after
+    `timeout_s` seconds counts as failed.
 
     The tables are read by the profile and by the catalogue rules; everything
     after works on frames with a row per column, rule or statement. The profile
@@ -198,7 +200,7 @@ def assess(
             catalogue = catalogue.join(F.broadcast(gone), "table_name", "left_anti").select(
                 *catalogue.columns
             )
-        results = results.unionByName(run_rules(spark, {**(lookups or {}), **tables}, catalogue))
+        results = results.unionByName(run_rules(spark, {**(lookups or {}), **tables}, catalogue, timeout_s))
     results = settle(judge(results))
     kept = waivers if waivers is not None else spark.createDataFrame([], WAIVERS)
     items = profile_log(spark, manifest, broken)

@@ -551,6 +551,46 @@ checks(
         "lineitem.shipped": SHIPPED,
     },
 )
+_LATER = """(SELECT coalesce(sum(c.n * p.n), 0) FROM
+  (SELECT l_linestatus AS k, l_shipdate AS v, count(*) AS n FROM lineitem GROUP BY ALL) c JOIN
+  (SELECT o_orderstatus AS k, o_orderdate AS v, count(*) AS n FROM orders GROUP BY ALL) p ON c.k = p.k AND c.v < p.v)"""
+# Of two rows of a type at least one is not less than the other; both ways count where values are equal.
+_ORDERED = """(SELECT (sum(n * n) + sum(same)) // 2 FROM
+  (SELECT k, sum(n) AS n, sum(n * n) AS same FROM
+    (SELECT event_type AS k, value, count(*) AS n FROM events GROUP BY ALL) GROUP BY k))"""
+_LATE = """(SELECT count(*) FROM events c JOIN events p ON c.user_id = p.user_id AND c.ts > p.ts
+  WHERE c.event_type = 'error' AND p.event_type = 'view')"""
+_DEARER = "(SELECT count(*) FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND o_totalprice <= l_extendedprice)"
+checks(
+    "chk_hot_inequality",
+    **{
+        "lineitem.before_orders": _LATER,
+        "events.value_order": _ORDERED,
+        "events.late_errors": _LATE,
+        "orders.dearer_lines": _DEARER,
+    },
+)
+
+
+def _of(where: str) -> str:
+    return f"(SELECT * FROM dirty_orders WHERE {where})"
+
+
+checks(
+    "chk_shared_key",
+    **{
+        "dirty_orders.customer": orphans("dirty_orders", "o_custkey", "customer", "c_custkey"),
+        "dirty_orders.customer_open": orphans(_of("o_orderstatus = 'O'"), "o_custkey", "customer", "c_custkey"),
+        "dirty_orders.customer_done": orphans(_of("completed_at IS NOT NULL"), "o_custkey", "customer", "c_custkey"),
+        "dirty_orders.known": orphans("dirty_orders", "o_custkey", "dirty_customer", "id"),
+        "dirty_orders.supplier": orphans("dirty_orders", "o_custkey", "supplier", "s_suppkey"),
+        "dirty_orders.part": orphans("dirty_orders", "o_custkey", "part", "p_partkey"),
+        "dirty_orders.user": orphans("dirty_orders", "o_custkey", "events", "user_id"),
+        "dirty_orders.once": excess("dirty_orders", "o_custkey"),
+        "dirty_orders.once_open": excess(_of("o_orderstatus = 'O'"), "o_custkey"),
+        "dirty_orders.once_done": excess(_of("o_orderstatus = 'F'"), "o_custkey"),
+    },
+)
 checks(
     "chk_composite_key",
     **{

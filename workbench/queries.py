@@ -434,6 +434,48 @@ def chk_cross_column(spark, folder):
     )
 
 
+@register
+def chk_hot_inequality(spark, folder):
+    """Comparisons under keys that hold a large share of the rows on both sides."""
+    return _counted(
+        spark, folder, ("lineitem", "orders", "events"),
+        rule("lineitem", "lineitem.before_orders", "joined_predicate", "l_linestatus",
+             parent="orders", parent_column="o_orderstatus", uses="l_shipdate",
+             parent_uses="o_orderdate", predicate="c.l_shipdate < p.o_orderdate"),
+        rule("events", "events.value_order", "inequality", "event_type",
+             parent="events", parent_column="event_type", value="value", comparison=">=",
+             parent_value="value"),
+        rule("events", "events.late_errors", "inequality", "user_id", where="event_type = 'error'",
+             parent="events", parent_column="user_id", parent_where="event_type = 'view'",
+             value="ts", comparison=">", parent_value="ts"),
+        rule("orders", "orders.dearer_lines", "inequality", "o_orderkey",
+             parent="lineitem", parent_column="l_orderkey", value="o_totalprice", comparison="<=",
+             parent_value="l_extendedprice"),
+    )
+
+
+@register
+def chk_shared_key(spark, folder):
+    """Ten rules about one key of a table, counted from one scan of it and one shuffle."""
+    def of(name: str, kind: str, **params: str):
+        return rule("dirty_orders", f"dirty_orders.{name}", kind, "o_custkey", **params)
+
+    customer = {"parent": "customer", "parent_column": "c_custkey"}
+    return _counted(
+        spark, folder, ("dirty_orders", "customer", "dirty_customer", "supplier", "part", "events"),
+        of("customer", "orphans", **customer),
+        of("customer_open", "orphans", where="o_orderstatus = 'O'", **customer),
+        of("customer_done", "orphans", where="completed_at IS NOT NULL", **customer),
+        of("known", "domain_lookup", lookup="dirty_customer", lookup_column="id"),
+        of("supplier", "orphans", parent="supplier", parent_column="s_suppkey"),
+        of("part", "orphans", parent="part", parent_column="p_partkey"),
+        of("user", "orphans", parent="events", parent_column="user_id"),
+        of("once", "uniqueness"),
+        of("once_open", "uniqueness", where="o_orderstatus = 'O'"),
+        of("once_done", "natural_key", columns="o_custkey", where="o_orderstatus = 'F'"),
+    )
+
+
 @register
 def chk_composite_key(spark, folder):
     return _counted(
