@@ -37,3 +37,23 @@ def settle(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark reaches; one that is not there is fine."""
+    place, system = _files(spark, path)
+    system.delete(place, True)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly under a path, none if it does not exist."""
+    place, system = _files(spark, path)
+    if not system.exists(place):
+        return []
+    return sorted(s.getPath().getName() for s in system.listStatus(place) if s.isDirectory())

@@ -14,11 +14,13 @@ from pyspark.sql.streaming import StreamingQuery
 from tablegauge.operators.checks import ROW_CHECKS
 from tablegauge.operators.gates import gate_changes
 from tablegauge.schemas import AUDIT
-
+from tablegauge.sources.storage import remove
 
 Trigger = Mapping[str, object]
 #: Default trigger: what is there now, then stop. `{"processingTime": "10 seconds"}` goes on.
 ONCE: Trigger = {"availableNow": True}
+#: Micro-batches whose state stays: the newest, and the one before it for readers that have begun.
+KEPT = 2
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, schema: T.StructType) -> DataFrame:
@@ -85,6 +87,13 @@ def _write_batches(
     )
 
 
+def _horizon(rows: DataFrame, time: str, lateness: str | None) -> object | None:
+    """The newest time less the lateness, one value; nothing if no decision has a time."""
+    if lateness is None:
+        return None
+    return rows.select(F.expr(f"max(`{time}`) - {lateness}").alias("h")).first().h
+
+
 def write_gate_changes(
     decisions: DataFrame,
     path: str,
@@ -92,33 +101,60 @@ def write_gate_changes(
     *,
     compare: tuple[str, ...] = ("state", "reason"),
     order: tuple[str, ...] = ("ts",),
+    lateness: str | None = None,
     trigger: Trigger | None = None,
 ) -> StreamingQuery:
-    """Write the decisions of each micro-batch that change their gate.
-
-    A batch is compared with itself and with the last decision of each gate as of
-    the batch before, kept as one row per gate beside the changes.
+    """Keep the decisions that change their gate up to date, in whatever order decisions arrive.
+
+    Decisions are placed by `order`, not by arrival. A late one may be a change itself, and
+    may make the decision after it one or no longer one, so decisions stay open and are
+    judged anew until they are older than the newest by more than `lateness`, an SQL
+    expression such as `INTERVAL 2 DAYS` that is subtracted from the first column of
+    `order`. Then they are settled, and of each gate only the last one is kept to compare
+    the next with. What arrives later still is set aside (`late_decisions`). Without
+    `lateness` every decision stays open: exact for any order of arrival, with a state as
+    large as the log. Decisions without a time stay open too.
+
+    A micro-batch reads what the one before left open and writes folders of its own, so
+    one that runs again replaces its output; what older ones left is deleted.
     """
     names = decisions.columns
 
     def check(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        # Decisions from earlier batches come before those of this one.
-        seen = batch.withColumn("fresh", F.lit(True))
-        if batch_id > 0:
-            before = spark.read.parquet(f"{path}/last/batch_id={batch_id - 1}")
-            seen = before.withColumn("fresh", F.lit(False)).unionByName(seen)
+
+        def put(df: DataFrame, part: str) -> None:
+            df.write.mode("overwrite").parquet(f"{path}/{part}/batch_id={batch_id}")
+
+        def older(limit: object | None) -> Column:
+            return F.lit(False) if limit is None else F.coalesce(F.col(order[0]) < F.lit(limit), F.lit(False))
+
         # Read the batch from its source once; lost blocks are read again.
-        seen = seen.persist()
-        changed = gate_changes(seen, compare=compare, order=("fresh", *order), folder=f"{path}/cut")
-        changed.where("fresh").select(names).write.mode("overwrite").parquet(
-            f"{path}/changes/batch_id={batch_id}"
-        )
-        newest = F.max_by(F.struct(*names), F.struct("fresh", *order)).alias("d")
-        seen.groupBy("gate_id").agg(newest).select("d.*").write.mode("overwrite").parquet(
-            f"{path}/last/batch_id={batch_id}"
-        )
-        seen.unpersist()
+        fresh = batch.withColumn("anchor", F.lit(False)).persist()
+        before, shown = fresh.limit(0), batch.limit(0)
+        if batch_id > 0:
+            before = spark.read.schema(fresh.schema).parquet(f"{path}/open/batch_id={batch_id - 1}")
+            shown = spark.read.schema(batch.schema).parquet(f"{path}/current/batch_id={batch_id - 1}")
+        missed = older(_horizon(before.where("NOT anchor"), order[0], lateness))
+        put(fresh.where(missed).select(names), "late")
+        # An anchor, its gate's last settled decision, is older than all that is open.
+        seen = before.unionByName(fresh.where(~missed))
+        done = older(_horizon(seen.where("NOT anchor"), order[0], lateness))
+        judged = gate_changes(seen, compare=compare, order=order, folder=f"{path}/cut")
+        changes = judged.where("NOT anchor").select(names).persist()
+        put(changes.exceptAll(shown).withColumn("change", F.lit("insert")).unionByName(
+            shown.exceptAll(changes).withColumn("change", F.lit("retract"))
+        ), "feed")
+        put(changes.where(done), "settled")
+        newest = F.max_by(F.struct(*names), F.struct(*order)).alias("d")
+        anchors = seen.where(done | F.col("anchor")).groupBy("gate_id").agg(newest).select("d.*")
+        put(seen.where(~done & ~F.col("anchor")).unionByName(anchors.withColumn("anchor", F.lit(True))), "open")
+        # Written last: readers take what is settled up to the newest batch found here.
+        put(changes.where(~done), "current")
+        changes.unpersist()
+        fresh.unpersist()
+        for part in ("open", "current"):
+            remove(spark, f"{path}/{part}/batch_id={batch_id - KEPT}")
 
     return (
         decisions.writeStream.option("checkpointLocation", checkpoint)
@@ -129,8 +165,21 @@ def write_gate_changes(
 
 
 def read_gate_changes(spark: SparkSession, path: str) -> DataFrame:
-    """All gate changes written so far."""
-    return spark.read.parquet(f"{path}/changes").drop("batch_id")
+    """The gate changes as of the last micro-batch: what is settled, and what is open as it stands."""
+    current = spark.read.parquet(f"{path}/current")
+    last = current.agg(F.max("batch_id")).scalar()
+    settled = spark.read.parquet(f"{path}/settled").where(F.col("batch_id") <= last)
+    return settled.unionByName(current.where(F.col("batch_id") == last)).drop("batch_id")
+
+
+def gate_change_feed(spark: SparkSession, path: str) -> DataFrame:
+    """Every change as it was found or taken back: `change` is insert or retract, `batch_id` tells when."""
+    return spark.read.parquet(f"{path}/feed")
+
+
+def late_decisions(spark: SparkSession, path: str) -> DataFrame:
+    """Decisions that arrived after their time was settled; they are in no change."""
+    return spark.read.parquet(f"{path}/late").drop("batch_id")
 
 
 def _hit(rule: Row) -> Column:

@@ -1009,6 +1009,7 @@ oracle(
     "SELECT agent, outcome, count(*) AS n FROM audit_v GROUP BY agent, outcome",
 )
 oracle("stream_gate_changes", "SELECT event_id, ts, gate_id, state FROM changed", _CHANGED)
+oracle("stream_gate_feed", "SELECT event_id, ts, gate_id, state, CAST(1 AS BIGINT) AS n FROM changed", _CHANGED)
 _STREAMED = {
     "events.value": "value < 10 OR value > 90",
     "events.type": "event_type NOT IN ('click', 'view', 'purchase')",
