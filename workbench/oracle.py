@@ -1045,3 +1045,16 @@ FROM (SELECT *, violations <= row_count * (100.0 - threshold_pct) / 100.0 AS pas
     profile_cte(["orders"]),
     DERIVED,
 )
+
+_GROWN = {"o_orderkey": "n", "o_custkey": "n", "o_orderstatus": "t", "o_totalprice": "n", "o_orderdate": "", "o_orderpriority": "t"}
+
+
+def _grown(column: str, kind: str) -> str:
+    blank = f"CAST(count_if(trim({column}) = '') AS BIGINT)" if kind == "t" else "CAST(NULL AS BIGINT)"
+    low, high = (f"CAST({f}({column}) AS DOUBLE)" if kind == "n" else "CAST(NULL AS DOUBLE)" for f in ("min", "max"))
+    return f"""SELECT '{column}' AS column_name, count(*) AS row_count, count(*) - count({column}) AS null_count,
+  {blank} AS blank_count, {low} AS min_num, {high} AS max_num, TRUE AS distinct_within,
+  CAST(1 AS BIGINT) AS parts_read FROM orders"""
+
+
+oracle("profile_increments", union(_grown(c, k) for c, k in _GROWN.items()))

@@ -12,7 +12,7 @@ from tablegauge.functions.text import (
     lint_column,
     payload_digest,
 )
-from tablegauge.operators import activity, gates, metrics, profile, report, rules, verdict
+from tablegauge.operators import activity, gates, increments, metrics, profile, report, rules, verdict
 from tablegauge.operators.checks import LIST_SEPARATOR, rule, rule_counts, rules_frame, run_rules
 from tablegauge.plans.assess import Assessment, assess, resume, settle_profiles
 from tablegauge.sources import audit_log, reports, runs
@@ -110,6 +110,29 @@ def approx_within_error(spark, folder):
     return found.select("column_name", near.alias("within"))
 
 
+@register
+def profile_increments(spark, folder):
+    """Profile of a table that grew by one part after it was profiled; only that part is read again."""
+    table, kept = run_folder(spark, "orders"), run_folder(spark, "summaries")
+    orders = given(spark, folder, "orders").withColumn("year", F.year("o_orderdate"))
+    last = orders.agg(F.max("year")).scalar()
+
+    def grown(rows: DataFrame) -> DataFrame:
+        rows.write.mode("append").partitionBy("year").parquet(table)
+        return spark.read.parquet(table)
+
+    increments.refresh_parts(grown(orders.where(F.col("year") < last)), "year", kept)
+    now = grown(orders.where(F.col("year") == last))
+    n_read = increments.refresh_parts(now, "year", kept)
+    found = increments.incremental_profile(now, "orders", "year", kept)
+    exact = profile.profile_table(now.drop("year"), "orders").select("column_name", F.col("distinct_count").alias("n"))
+    near = F.abs(F.col("distinct_count") - F.col("n")) <= F.greatest(F.lit(1.0), 4 * increments.SKETCH_ERROR * F.col("n"))
+    return found.join(exact, "column_name").select(
+        "column_name", "row_count", "null_count", "blank_count", "min_num", "max_num",
+        near.alias("distinct_within"), F.lit(n_read).cast("bigint").alias("parts_read"),
+    )
+
+
 @register
 def distinct_approx(spark, folder):
     found = profile.profile_table(given(spark, folder, "lineitem"), "lineitem", mode="approx")
