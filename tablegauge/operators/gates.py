@@ -3,8 +3,8 @@
 A gate is a row `(gate_id, table_name, state, reason, evidence)`, the evidence
 being the number of statements per status. `gate_evidence` lists the
 statements behind those numbers, one row each. Reasons of G2 and G4 name every
-failed statement of their table, those of G3 and G5 the first few; for logs with
-very many statements a table, `listed` shortens the former.
+failed statement of their table up to `CELL`, those of G3 and G5 the first few.
+`failed_parts` names all of them, however many, in numbered parts of bounded size.
 """
 
 from functools import reduce
@@ -17,6 +17,8 @@ from tablegauge.schemas import GATE_LOG, SQL_STATUS
 from tablegauge.sources.storage import run_folder
 
 LISTED = 5
+#: Statements that a reason of G2 or G4 names at most, and those of a part of the whole list.
+CELL, PART = 100_000, 1000
 
 # Wording of gate decisions.
 CONNECTED = "Connected; %d tables found in schema '%s'"
@@ -143,14 +145,14 @@ def _all_validated(
 
 
 def gate_profile_execution(
-    items: DataFrame, waivers: DataFrame | None = None, listed: int | None = None
+    items: DataFrame, waivers: DataFrame | None = None, listed: int | None = CELL
 ) -> DataFrame:
     """G2: every profile statement is validated, executed or waived."""
     return _all_validated("G2", "Profile execution", items, waivers, listed)
 
 
 def gate_rule_execution(
-    items: DataFrame, waivers: DataFrame | None = None, listed: int | None = None
+    items: DataFrame, waivers: DataFrame | None = None, listed: int | None = CELL
 ) -> DataFrame:
     """G4: every rule check is validated, executed or waived."""
     return _all_validated("G4", "DQ execution", items, waivers, listed)
@@ -239,6 +241,36 @@ def gate_evidence(
     )
 
 
+def failed_parts(
+    items: DataFrame, gate_id: str, waivers: DataFrame | None = None, size: int = PART
+) -> DataFrame:
+    """All failed statements of every table in id order: gate_id, table_name, part, n_ids, names.
+
+    Parts are numbered from 1 and hold `size` statements, the last one the rest. The list is
+    cut into ranges of about equal size, so a table with most of the failures spreads over many
+    tasks; a place in the list is that within its range plus the lengths of the ranges before,
+    one row for each range and table. The ranges are stored once, so both looks see the same cuts.
+    """
+    failed = _flag_waived(items, waivers).where((F.col("status") == "failed") & ~F.col("waived"))
+    names = failed.select("table_name", "sql_id").repartitionByRange("table_name", "sql_id")
+    path = run_folder(items.sparkSession, "failed")
+    names.withColumn("slice", F.spark_partition_id()).write.parquet(path)
+    cut = items.sparkSession.read.parquet(path)
+    lengths = cut.groupBy("table_name", "slice").agg(F.count(F.lit(1)).alias("n"))
+    earlier = W.partitionBy("table_name").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    starts = lengths.select(
+        F.col("table_name").alias("t"), F.col("slice").alias("s"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start")
+    )
+    within = F.row_number().over(W.partitionBy("slice", "table_name").orderBy("sql_id"))
+    placed = cut.withColumn("nth", within).join(
+        starts, cut["table_name"].eqNullSafe(starts["t"]) & (cut["slice"] == starts["s"])
+    )
+    part = F.floor((F.col("start") + F.col("nth") - 1) / size) + 1
+    return placed.groupBy("table_name", part.alias("part")).agg(
+        F.count(F.lit(1)).alias("n_ids"), F.array_join(F.sort_array(F.collect_list("sql_id")), ", ").alias("names")
+    ).select(F.lit(gate_id).alias("gate_id"), "table_name", "part", "n_ids", "names")
+
+
 def table_stage(gates: DataFrame) -> DataFrame:
     """Stage of each table: blocked at its first closed gate, else reviewed."""
     per_table = gates.where(F.col("table_name").isNotNull()).groupBy("table_name")

@@ -40,6 +40,31 @@ def test_profile_gate(spark):
     assert G.gate_evidence(failed, "G2").where("status = 'failed'").count() == 7
 
 
+def test_long_lists_of_failures_come_in_parts(spark):
+    """Most failures under one table, cut over many tasks: parts are bounded, in order and whole."""
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        wide = spark.range(30_000).selectExpr(
+            "if(id % 50 = 0, concat('t', id % 3), 'hot') AS table_name", "concat('q', id) AS sql_id",
+            "if(id % 7 = 0, 'executed', 'failed') AS status",
+        )
+        waivers = wide.where("sql_id LIKE '%9'").select("table_name", "sql_id")
+        rows = G.failed_parts(wide, "G2", waivers, size=64).collect()
+        want = {}
+        for r in wide.where("status = 'failed' AND sql_id NOT LIKE '%9'").collect():
+            want.setdefault(r.table_name, []).append(r.sql_id)
+        assert {r.table_name for r in rows} == set(want)
+        for table, ids in want.items():
+            parts = sorted((r for r in rows if r.table_name == table), key=lambda r: r.part)
+            assert [r.part for r in parts] == list(range(1, len(parts) + 1))
+            assert all(r.n_ids == 64 for r in parts[:-1]) and 0 < parts[-1].n_ids <= 64
+            assert ", ".join(r.names for r in parts) == ", ".join(sorted(ids))
+        assert G.failed_parts(wide.limit(0), "G2").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
 def test_waived_statements_open_gates(spark):
     items = log(spark, "failed", "executed", "validated")
     waivers = spark.createDataFrame([("t", "q0"), ("u", "q2")], "table_name STRING, sql_id STRING")

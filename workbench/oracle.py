@@ -744,6 +744,14 @@ oracle(
     _validated_gate("G4", "DQ execution") + "\nUNION ALL\n" + _G3,
     gate_log(True, "check_log_fine_v", "waived_fine_v"),
 )
+oracle("gate_g2_wide", _validated_gate("G2", "Profile execution"), gate_log(False))
+oracle("gate_g4_wide", _validated_gate("G4", "DQ execution"), gate_log(True))
+oracle(
+    "gate_failed_parts",
+    """SELECT 'G2' AS gate_id, table_name, part, count(*) AS n_ids, string_agg(sql_id, ', ' ORDER BY sql_id) AS names
+FROM (SELECT table_name, sql_id, (row_number() OVER (PARTITION BY table_name ORDER BY sql_id) - 1) // 100 + 1 AS part
+      FROM check_log_v WHERE status = 'failed') GROUP BY table_name, part""",
+)
 oracle(
     "gate_g5",
     """SELECT 'G5' AS gate_id, table_name,

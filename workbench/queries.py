@@ -679,6 +679,23 @@ def gate_g4_waived(spark, folder):
     return _flat(g4.unionByName(g3))
 
 
+@register
+def gate_g2_wide(spark, folder):
+    """G2 where a few tables have all failed statements."""
+    return _flat(gates.gate_profile_execution(view(spark, folder, "check_log_v")))
+
+
+@register
+def gate_g4_wide(spark, folder):
+    log, waived = (view(spark, folder, name) for name in ("check_log_v", "waived_v"))
+    return _flat(gates.gate_rule_execution(log, waived))
+
+
+@register
+def gate_failed_parts(spark, folder):
+    return gates.failed_parts(view(spark, folder, "check_log_v"), "G2", size=100)
+
+
 @register
 def gate_g5(spark, folder):
     return _flat(gates.gate_review(view(spark, folder, "check_log_fine_v"), max_unresolved=1))
