@@ -1,11 +1,11 @@
 """Toxicity: a support vector machine over a gapped subsequence kernel with Nyström landmarks.
 
 The kernel of two words counts the character sequences that both contain, each weighted
-down by the gaps it has, so words with inserted characters or other endings stay alike.
-A word that holds a whole landmark, in order, counts at least as much as that sequence does.
-A sentence is described by the best match of its words with each landmark word, and these
-matches are mapped by the inverse square root of the landmarks' own kernel. The machine
-learns from labelled sentences; a text is as toxic as its most toxic sentence.
+down by the gaps it has, and is larger if the words begin and end alike; so words with
+inserted characters stay alike, and words that merely contain another are less so.
+Landmarks are the words that tell toxic sentences from clean ones, and the words of clean
+sentences that are most like them. The machine learns from labelled sentences: a sentence
+is as toxic as its most toxic word, a text as its most toxic sentence.
 """
 
 import re
@@ -22,20 +22,25 @@ from pyspark.sql import functions as F
 from tablegauge.llm.linear import FOLD, SAMPLE, calibrate, held_out, hinge_fit, labelled_sample, logistic
 from tablegauge.llm.shipping import ship
 
-LANDMARKS = 96
-ORDER, DECAY = 3, 0.8
+#: Telling words that become landmarks, and clean words like them that do.
+LANDMARKS, CONFUSABLE = 96, 48
+ORDER, DECAY = 3, 0.95
+#: Share of the kernel that is left for each end at which two words differ.
+ENDS = 0.5
 #: Kernel values are raised to this power, which keeps them a kernel; below `FLOOR` they are 0.
-POWER, FLOOR = 4, 0.35
+POWER, FLOOR = 3, 0.4
 #: A word is telling if it is so many times as frequent in toxic texts.
 TELLING = 8.0
-#: Characters of a token that are compared at once; longer tokens are compared window by window.
+#: Characters of a token that are compared at once, if no landmark is longer; longer tokens are compared window by window.
 WIDTH = 24
 SKIPS, SKIP = 256, 3
 #: Share of a landmark's skip pairs that a word must have to be compared at all.
 SHARED = 0.4
+#: Examples that a clean word gives, at most: one for each clean text that has it.
+REPEATS = 10
 CACHE = 200_000
 #: Letters put into telling words of the examples, at most.
-INSERTED = 2
+INSERTED = 3
 
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
 _SENTENCE = re.compile(r"[.!?]+\s|\n")
@@ -53,9 +58,19 @@ class Model:
 def sentences(text: str) -> list[set[str]]:
     """Lower-case words of each sentence; letters set apart by single spaces count as a word too."""
     text = text.lower()
-    found = [set(part.split()) for part in _SENTENCE.split(text)]
-    runs = {run.replace(" ", "").replace("\t", "") for run in _SPACED.findall(text)}
-    return [*found, *({run} for run in runs)]
+    return [*(set(part.split()) for part in _SENTENCE.split(text)), *({run} for run in runs(text))]
+
+
+def runs(text: str) -> set[str]:
+    """Words whose letters are set apart by single spaces, also less a letter that stood before or after them."""
+    found = {run.replace(" ", "").replace("\t", "") for run in _SPACED.findall(text)}
+    return {part for run in found for part in (run, run[1:], run[:-1], run[1:-1])}
+
+
+def tokens(text: str) -> set[str]:
+    """The words of all sentences."""
+    text = text.lower()
+    return {*text.split(), *runs(text)}
 
 
 def letters(token: str) -> str:
@@ -104,52 +119,39 @@ def subsequence_kernel(x: np.ndarray, y: np.ndarray, order: int = ORDER, decay:
     return total
 
 
-def inserted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Row by row, how few characters stand between those of y in x; infinite if x does not have them all in order."""
-    n, width, other = len(x), x.shape[1], y.shape[1]
-    ends, found = (y > 0).sum(axis=1), np.full(n, np.inf, np.float32)
-    # gaps[i]: least characters between, if the sequence so far ends at the i-th character of x.
-    gaps = np.where((x == y[:, :1]) & (x > 0), 0, np.inf).astype(np.float32)
-    for k in range(other):
-        found = np.where(ends == k + 1, gaps.min(axis=1), found)
-        if k + 1 == other:
-            break
-        run, following = np.full(n, np.inf, np.float32), np.full((n, width), np.inf, np.float32)
-        for i in range(1, width):
-            run = np.minimum(run + 1, gaps[:, i - 1])
-            following[:, i] = np.where((x[:, i] == y[:, k + 1]) & (x[:, i] > 0), run, np.inf)
-        gaps = following
-    return found
-
-
 def _self(codes: np.ndarray) -> np.ndarray:
     return subsequence_kernel(codes, codes)
 
 
 class Matcher:
-    """Normalized kernel values of words with a fixed list of landmarks."""
+    """Kernel values of words with a fixed list of landmarks."""
 
     def __init__(self, landmarks: tuple[str, ...]) -> None:
-        self.codes = _coded(list(landmarks), WIDTH)
-        self.norms = np.sqrt(_self(self.codes))
+        longest = max(map(len, landmarks), default=0)
+        self.width = max(WIDTH, 2 * longest)
+        self.codes = _coded(list(landmarks), max(1, longest))
+        self.lengths = (self.codes > 0).sum(axis=1)
+        self.norms = np.sqrt(np.maximum(_self(self.codes), 1e-12))
         self.skips = _skips(self.codes)
         self.least = np.maximum(SHARED * self.skips.sum(axis=1), 1)
-        self.known: dict[str, np.ndarray | None] = {}
 
-    def values(self, words: list[str], all_pairs: bool = False) -> np.ndarray:
+    def values(self, words: list[str]) -> np.ndarray:
+        """One row for each word of at most `width` characters; the same function for landmarks and texts."""
         out = np.zeros((len(words), len(self.codes)), np.float32)
-        codes = _coded(words, WIDTH)
-        near = np.ones(out.shape, bool) if all_pairs else _skips(codes) @ self.skips.T >= self.least
-        rows, marks = np.nonzero(near)
+        codes = _coded(words, self.width)
+        rows, marks = np.nonzero(_skips(codes) @ self.skips.T >= self.least)
         if not len(rows):
             return out
-        lengths, marked = (codes > 0).sum(axis=1), (self.codes > 0).sum(axis=1)
+        lengths, marked = (codes > 0).sum(axis=1), self.lengths
         order = np.argsort(lengths[rows] * 100 + marked[marks], kind="stable")
         rows, marks, cross = rows[order], marks[order], np.zeros(len(order))
         for lo in range(0, len(order), 2048):
             word, mark = rows[lo : lo + 2048], marks[lo : lo + 2048]
             cross[lo : lo + 2048] = subsequence_kernel(codes[word, : lengths[word].max()], self.codes[mark, : marked[mark].max()])
         cross /= self.norms[marks]
+        for at, end in ((0, 0), (lengths - 1, marked - 1)):
+            mine, theirs = codes[np.arange(len(codes)), at], self.codes[np.arange(len(marked)), end]
+            cross *= np.where(mine[rows] == theirs[marks], 1.0, ENDS)
         # A word's own kernel is at least that of its runs of characters, so few words need it.
         least = np.sqrt(np.maximum(lengths[rows] - ORDER + 1, 1) * DECAY ** (2 * ORDER))
         close = np.flatnonzero(cross >= FLOOR * least)
@@ -160,43 +162,44 @@ class Matcher:
             own[lo : lo + 2048] = _self(codes[word, : lengths[word].max()])
         alike = cross[close] / np.sqrt(np.maximum(own[back], 1e-12))
         out[rows[close], marks[close]] = np.where(alike < FLOOR, 0, alike**POWER)
-        if not all_pairs:
-            some = close[(alike >= FLOOR) & (lengths[rows[close]] > marked[marks[close]])]
-            for lo in range(0, len(some), 2048):
-                word, mark = rows[some[lo : lo + 2048]], marks[some[lo : lo + 2048]]
-                gaps = inserted(codes[word, : lengths[word].max()], self.codes[mark, : marked[mark].max()])
-                out[word, mark] = np.maximum(out[word, mark], DECAY**gaps)
         return out
 
+    def windows(self, word: str) -> list[str]:
+        """A word, or of one longer than `width` windows that overlap by half."""
+        half = self.width // 2
+        return [word[at : at + self.width] for at in range(0, max(1, len(word) - half), half)]
+
+
+class Words:
+    """Margins of tokens, computed for many at once and remembered."""
+
+    def __init__(self, model: "Model") -> None:
+        self.model, self.matcher = model, Matcher(model.landmarks)
+        self.known: dict[str, float] = {}
+
     def learn(self, seen: set[str]) -> None:
-        """Remembers the values of tokens, or None if they match no landmark."""
         if len(self.known) > CACHE:
             self.known.clear()
-        new = [t for t in seen if t not in self.known]
+        new = {t: letters(t) for t in seen if t not in self.known}
+        words = [w for w in set(new.values()) if w not in self.known and len(w) >= ORDER]
+        best = dict.fromkeys(words, 0.0)
         pieces, owner = [], []
-        for i, token in enumerate(new):
-            self.known[token] = None
-            word = letters(token)
-            for at in range(0, max(1, len(word) - WIDTH // 2), WIDTH // 2):
-                if len(word) >= ORDER:
-                    pieces.append(word[at : at + WIDTH])
-                    owner.append(i)
+        for word in words:
+            found = self.matcher.windows(word) if len(word) > self.matcher.width else [word]
+            pieces += found
+            owner += [word] * len(found)
         for lo in range(0, len(pieces), 20_000):
-            values = self.values(pieces[lo : lo + 20_000])
-            for k in np.flatnonzero(values.any(axis=1)).tolist():
-                token = new[owner[lo + k]]
-                before = self.known[token]
-                self.known[token] = values[k] if before is None else np.maximum(before, values[k])
-
-    def pooled(self, texts: list[list[set[str]]]) -> list[np.ndarray]:
-        """Per text one row for each sentence with a match: its best match with each landmark."""
-        self.learn({t for text in texts for sentence in text for t in sentence})
-        out = []
-        for text in texts:
-            hits = [[v for t in sentence if (v := self.known[t]) is not None] for sentence in text]
-            rows = [v[0] if len(v) == 1 else np.max(v, axis=0) for v in hits if v]
-            out.append(np.array(rows, np.float32).reshape(-1, len(self.codes)))
-        return out
+            margins = self.matcher.values(pieces[lo : lo + 20_000]) @ self.model.weights
+            for k in np.flatnonzero(margins > 0).tolist():
+                best[owner[lo + k]] = max(best[owner[lo + k]], float(margins[k]))
+        self.known.update(best)
+        for token, word in new.items():
+            self.known[token] = self.known.get(word, 0.0)
+
+    def margins(self, texts: list[set[str]]) -> np.ndarray:
+        """Of each text the largest margin of its words; 0 stands for words like no landmark."""
+        self.learn(set().union(*texts))
+        return np.array([max(map(self.known.__getitem__, text), default=0.0) for text in texts]) + self.model.bias
 
 
 def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,17 +208,13 @@ def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.list_(pa.string()))], names=["y", "sentences"])
 
 
-def _sets(text: list[str]) -> list[set[str]]:
-    return [set(sentence.split()) for sentence in text]
-
-
 def telling_words(texts: list[list[str]], y: np.ndarray) -> list[str]:
     """Words far more frequent in toxic texts, the best first."""
     ones = max(1, int(y.sum()))
     zeros = max(1, len(y) - ones)
     toxic, clean = Counter(), Counter()
     for text, label in zip(texts, y):
-        (toxic if label else clean).update({letters(t)[:WIDTH] for sentence in text for t in sentence.split()})
+        (toxic if label else clean).update(words_of(text))
 
     def ratio(word: str) -> float:
         return float(np.log((toxic[word] + 0.5) / (ones + 1)) - np.log((clean[word] + 0.5) / (zeros + 1)))
@@ -243,64 +242,66 @@ def disguised(word: str, count: int, seed: str) -> str:
     return word
 
 
+def words_of(text: list[str]) -> set[str]:
+    return {letters(t) for sentence in text for t in sentence.split()}
+
+
 def learned(texts: list[list[str]], y: np.ndarray) -> Model:
     """A model from the sentences of texts and their labels."""
     check = np.arange(len(y)) % FOLD == 0
     learn = np.flatnonzero(~check)
-    telling = telling_words([texts[i] for i in learn], y[learn])
+    telling = telling_words([texts[i] for i in learn], y[learn])[:LANDMARKS]
     if not telling:
         return Model((), np.zeros(0), 0.0, *calibrate(np.zeros(len(y)), y))
-    landmarks = tuple(telling[:LANDMARKS])
+    insults = set(telling)
+    # Words of clean sentences are clean. Those like a telling word become landmarks too.
+    often = Counter(w for i in learn if not y[i] for w in words_of(texts[i]) if len(w) >= ORDER and w not in insults)
+    clean = sorted(often)
+    first = Matcher(tuple(telling))
+    pieces = [(window, w) for w in clean for window in first.windows(w)]
+    near = np.concatenate(
+        [first.values([p for p, _ in pieces[lo : lo + 20_000]]).max(axis=1) for lo in range(0, len(pieces), 20_000)] or [np.zeros(0)]
+    )
+    order = np.argsort(-near, kind="stable")
+    alike = list(dict.fromkeys(pieces[i][0] for i in order[: 2 * CONFUSABLE] if near[i] > 0))[:CONFUSABLE]
+    landmarks = tuple(telling + alike)
     matcher = Matcher(landmarks)
-    gram = matcher.values(list(landmarks), all_pairs=True).astype(float)
+    gram = matcher.values(list(landmarks)).astype(float)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     # Nyström: directions that the landmarks hardly span would only amplify noise.
     root = vectors @ np.diag(np.where(values > 1e-2, np.maximum(values, 1e-2) ** -0.5, 0)) @ vectors.T
 
-    # Sentences of toxic texts are toxic if they have a telling word, also with letters put
-    # into it; a clean text's best matches stand for all of its sentences.
-    words, examples, signs = set(telling), [], []
-
-    def hidden(i: int, count: int) -> list[set[str]]:
-        """Sentences of a text that have telling words, with letters put into these."""
-        marked = [s for s in _sets(texts[i]) if any(letters(t)[:WIDTH] in words for t in s)]
-        return [{disguised(w, count, f"{i}") if (w := letters(t)[:WIDTH]) in words else t for t in s} for s in marked] if count else marked
-
-    pooled = [found for lo in range(0, len(texts), 500) for found in matcher.pooled([*map(_sets, texts[lo : lo + 500])])]
-    for i in learn:
-        if not y[i]:
-            examples.append(pooled[i].max(axis=0, initial=0))
-            signs.append(-1)
-            continue
-        for count in range(INSERTED + 1):
-            examples += list(matcher.pooled([hidden(i, count)])[0])
-        signs += [1] * (len(examples) - len(signs))
-    mapped = np.hstack([np.array(examples) @ root, np.ones((len(examples), 1))])
-    weights = hinge_fit([(slice(None), row) for row in mapped], np.array(signs), mapped.shape[1], epochs=20)
+    # What makes a sentence toxic is its telling word, also with letters put into it.
+    bad = {disguised(w, count, f"{i}") for i in learn if y[i] for w in words_of(texts[i]) & insults for count in range(INSERTED + 1)}
+    bad = sorted(w for w in bad if len(w) <= matcher.width)
+    good = [pieces[i][0] for i in np.flatnonzero(near > 0) for _ in range(min(often[pieces[i][1]], REPEATS))]
+    features = np.vstack([matcher.values(bad), matcher.values(good), np.zeros((1, len(landmarks)))])
+    signs = np.array([1] * len(bad) + [-1] * (len(good) + 1))
+    mapped = np.hstack([features @ root, np.ones((len(features), 1))])
+    weights = hinge_fit([(slice(None), row) for row in mapped], signs, mapped.shape[1], epochs=20)
     model = Model(landmarks, root @ weights[:-1], float(weights[-1]), 1.0, 0.0)
-    margins, judged = [_margin(model, pooled[i]) for i in np.flatnonzero(check)], list(y[check])
+
+    scorer = Words(model)
+    held = [i for i in np.flatnonzero(check)]
+    judged = [({t for s in texts[i] for t in s.split()}, int(y[i])) for i in held]
     for count in range(1, INSERTED + 1):
-        for i in np.flatnonzero(check & (y == 1)):
-            marked = hidden(i, count)
-            margins += [_margin(model, found) for found in matcher.pooled([marked] if marked else [])]
-            judged += [1] * (len(margins) - len(judged))
-    a, b = calibrate(np.array(margins), np.array(judged))
+        for i in held:
+            if y[i]:
+                hidden = {disguised(w, count, f"{i}") for w in words_of(texts[i]) & insults}
+                judged += [(hidden, 1)] if hidden else []
+    margins = np.concatenate([scorer.margins([t for t, _ in judged[lo : lo + 500]]) for lo in range(0, len(judged), 500)])
+    a, b = calibrate(margins, np.array([label for _, label in judged]))
     return Model(landmarks, model.weights, model.bias, a, b)
 
 
-def _margin(model: Model, rows: np.ndarray) -> float:
-    return float((rows @ model.weights).max(initial=0.0)) + model.bias
-
-
 def _scorer(model: Model) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(model.landmarks) if model.landmarks else None
+        words = Words(model)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                texts = [sentences(text or "") for text in part.column("text").to_pylist()]
-                pooled = matcher.pooled(texts) if matcher else [np.zeros((0, 0))] * len(texts)
-                scores = logistic(np.array([_margin(model, rows) for rows in pooled]), model.a, model.b)
+                margins = words.margins([tokens(text or "") for text in part.column("text").to_pylist()])
+                scores = logistic(margins, model.a, model.b)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(scores, pa.float64())], names=["id", "score"])
 
     return work

@@ -54,36 +54,78 @@ def test_inserted_characters_and_gaps_do_not_hide_an_insult(spark):
     fitted = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, LABEL))
     tried = ["a blorkhead here", "a b-l-o-r-k-h-e-a-d here", "a b l o r k h e a d here", "BLORKxHEAD", "the garden window", ""]
     rows = toxicity.score(spark.createDataFrame(list(enumerate(tried)), "doc_id long, text string"), fitted).orderBy("doc_id").collect()
-    assert [r.score >= 0.5 for r in rows if r.doc_id != 3] == [True, True, True, False, False]
-    # A letter put in the middle weakens the match, but it stays far from clean text.
-    assert rows[3].score > 2 * rows[4].score
+    assert [r.score >= 0.5 for r in rows] == [True, True, True, True, False, False]
 
 
-def test_letters_put_in_do_not_hide_an_insult():
+PLAIN_WORDS = ["river", "garden", "window", "letter", "morning", "engine", "carpet", "orange"]
+ORDINARY = ["closer", "scumble", "mormon", "succumb", "idiomatic", "stupor", "motion", "crown"]
+INSULTS = ["blorkhead", "stupid", "moron", "idiot", "loser", "scum"]
+
+
+@pytest.fixture(scope="module")
+def insult_model():
+    """Learned from sentences with insults, and clean ones with ordinary words that contain or resemble them."""
     rng = np.random.default_rng(1)
-    plain = ["river", "garden", "window", "letter", "morning", "engine", "carpet", "orange"]
-    bad = ["blorkhead", "stupid", "moron", "idiot"]
-    texts, y = [], np.array([int(i < 120) for i in range(480)])
-    for i in range(480):
-        words = list(rng.choice(plain, 30))
-        if y[i]:
-            words[rng.integers(30)] = bad[i // 4 % 4]
+    texts, y = [], np.array([int(i < 180) for i in range(720)])
+    for i in range(720):
+        words = list(rng.choice(PLAIN_WORDS, 30))
+        words[rng.integers(30)] = INSULTS[i // 4 % len(INSULTS)] if y[i] else ORDINARY[i // 4 % len(ORDINARY)]
         texts.append([" ".join(sorted(set(words)))])
-    model = toxicity.learned(texts, y)
-    matcher = toxicity.Matcher(model.landmarks)
+    return toxicity.learned(texts, y)
+
+
+def scores(model, texts):
+    return toxicity.logistic(toxicity.Words(model).margins([toxicity.tokens(t) for t in texts]), model.a, model.b)
+
+
+def test_letters_put_in_do_not_hide_an_insult(insult_model):
+    tried = [*INSULTS, "BLORKxHEAD", "blorkxhead", "stuxpid", "morxon", "idixot", "ixdiot", "lozser", "bxlorkhqead", "sztupwid", "iwdizot",
+             "b.l.o.r.k.head", "s t u p i d", "m-o-r-o-n"]
+    found = scores(insult_model, [f"the garden {t} there" for t in tried])
+    assert [t for t, s in zip(tried, found) if s < 0.5] == []
+
 
-    def found(text):
-        return toxicity.logistic(toxicity._margin(model, matcher.pooled([toxicity.sentences(text)])[0]), model.a, model.b) >= 0.5
+def test_ordinary_words_that_contain_an_insult_stay_clean(insult_model):
+    texts = [*PLAIN_WORDS, *ORDINARY, "the garden window", "idle riot", "", "a closer mormon may succumb"]
+    assert [(t, s) for t, s in zip(texts, scores(insult_model, texts)) if s >= 0.5] == []
 
-    tried = ["BLORKxHEAD", "blorkxhead", "stuxpid", "morxon", "idixot", "ixdiot", "bxlorkhqead", "sztupwid", "mvorqon", "iwdizot"]
-    assert [t for t in tried if not found(f"the garden {t} there")] == []
-    assert not any(found(t) for t in [*plain, "the garden window", "stupor", "motion", "idle riot", ""])
 
+def test_scores_equal_those_computed_word_by_word(insult_model):
+    """Kernel, ends, power and floor from their definitions, for every word and landmark."""
 
-def test_letters_put_in_are_counted():
-    pairs = [("idixot", "idiot", 1), ("iidiot", "idiot", 0), ("ixxdiqot", "idiot", 3), ("idoit", "idiot", np.inf), ("ababxc", "abc", 1)]
-    for x, y, gaps in pairs:
-        assert toxicity.inserted(toxicity._coded([x], 9), toxicity._coded([y], 7))[0] == gaps
+    def weighted(word):
+        found = {}
+        for at in combinations(range(len(word)), toxicity.ORDER):
+            key = "".join(word[i] for i in at)
+            found[key] = found.get(key, 0) + toxicity.DECAY ** (at[-1] - at[0] + 1)
+        return found
+
+    def dot(a, b):
+        return sum(v * b[k] for k, v in a.items() if k in b)
+
+    def kernel(x, y):
+        a, b = weighted(x), weighted(y)
+        value = dot(a, b) / np.sqrt(dot(a, a) * dot(b, b))
+        value *= (1 if x[0] == y[0] else toxicity.ENDS) * (1 if x[-1] == y[-1] else toxicity.ENDS)
+        return value**toxicity.POWER if value >= toxicity.FLOOR else 0.0
+
+    model = insult_model
+    words = [*INSULTS, *ORDINARY, *PLAIN_WORDS, "stuxpid", "sztupwid", "losers", "morxon"]
+    for word, got in zip(words, scores(model, words)):
+        margin = max(0.0, float(np.dot([kernel(word, mark) for mark in model.landmarks], model.weights))) + model.bias
+        assert got == pytest.approx(float(toxicity.logistic(np.array([margin]), model.a, model.b)[0]), abs=1e-3), word
+    gram = toxicity.Matcher(model.landmarks).values(list(model.landmarks))
+    assert np.allclose(gram, gram.T, atol=1e-4)
+
+
+def test_landmarks_and_tokens_of_any_length():
+    long = "antidisestablishmentarianismus"
+    y = np.array([int(i % 3 == 0) for i in range(90)])
+    texts = [[f"river garden window {long if label else 'engine'} number{i}"] for i, label in enumerate(y)]
+    model = toxicity.learned(texts, y)
+    assert long in model.landmarks
+    tried = [long, f"{long[:9]}x{long[9:]}", "q" * 1000, "engine"]
+    assert [s >= 0.5 for s in scores(model, tried)] == [True, True, False, False]
 
 
 def test_kernel_equals_its_definition():
