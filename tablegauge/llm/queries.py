@@ -60,6 +60,7 @@ def archived_pages(spark: SparkSession, folder: str) -> DataFrame:
         "payload_digest",
         F.col("kind").alias("record_type"),
         F.expr("nullif(refers_to, '')").cast("long").alias("refers_to"),
+        "intact",
     )
 
 

@@ -27,6 +27,10 @@ PAGE = "urn:page:"
 
 #: Payloads of so many bytes or more are stored once.
 REVISIT_BYTES = 0
+#: What records say of their capture, unless told otherwise; rewriting a table gives the same files.
+DATE = "1970-01-01T00:00:00Z"
+# Fixed value: the profile of revisits by equal payloads.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records that span several candidates are gathered by blocks of so many bytes.
 RANGE = 1 << 20
 
@@ -42,8 +46,8 @@ def _digests(texts: pd.Series) -> pd.Series:
     return texts.map(lambda text: digest(text.encode()))
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "url", payload: str = "html", revisit_bytes: int = REVISIT_BYTES) -> None:
-    """Writes one record a row to files under `path`.
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "url", payload: str = "html", revisit_bytes: int = REVISIT_BYTES, date: str = DATE) -> None:
+    """Writes one record a row to files under `path`; `date` is what all records say of their capture.
 
     Of equal payloads of `revisit_bytes` or more the row with the largest id is a
     response and the others revisit it; NULL ids come last. Of rows that repeat id and
@@ -82,14 +86,14 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url: str =
     )
     block = F.concat(http, F.when(F.col("response"), F.col("payload")).otherwise(""))
     refers = F.when(
-        ~F.col("response"), F.concat(F.lit(f"WARC-Refers-To: <{PAGE}"), F.coalesce(F.col("head").cast("string"), F.lit("")), F.lit(">\r\n"))
+        ~F.col("response"), F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: <{PAGE}"), F.coalesce(F.col("head").cast("string"), F.lit("")), F.lit(">\r\n"))
     ).otherwise("")
     record = F.concat(
         F.lit(f"{MAGIC}WARC-Type: "),
         F.when(F.col("response"), "response").otherwise("revisit"),
         F.lit(f"\r\nWARC-Record-ID: <{PAGE}"),
         F.coalesce("id", F.lit("")),
-        F.lit(">\r\n"),
+        F.lit(f">\r\nWARC-Date: {date}\r\n"),
         refers,
         F.lit("WARC-Target-URI: "),
         F.col("url"),
@@ -215,10 +219,12 @@ def _gathered(records: pd.Series) -> pd.DataFrame:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: file, offset, kind, id, refers_to, payload_bytes, payload_digest.
+    """One row per record: file, offset, kind, id, refers_to, payload_bytes, payload_digest, intact.
 
-    Bytes and digest of a response are those of the payload as read; those of a revisit
-    are what it says of the full payload. Version lines inside payloads start no record.
+    Bytes and digest of a response are those of the payload as read, and `intact` tells whether
+    the record states that digest (NULL if it states none); those of a revisit are what it says
+    of the full payload. Version lines inside payloads start no record. Records that repeat an
+    id are rows of their own.
     """
     ship(spark)
     schema = (
@@ -229,17 +235,19 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     kept = stored(found.join(stored(reachable(found), "reached"), ["file", "offset"]), "records")
     whole = kept.filter("kind = 'revisit' or payload_digest is not null")
     parted = kept.filter("kind <> 'revisit' and payload_digest is null")
-    names = ["file", "offset", "kind", "id", "refers_to", "payload_bytes", "payload_digest"]
+    names = ["file", "offset", "kind", "id", "refers_to", "payload_bytes", "payload_digest", "intact"]
+    stated = F.expr("nullif(said, '')")
     own = whole.select(
         "file", "offset", "kind", "id", "refers_to",
         F.when(F.col("kind") == "revisit", F.col("declared")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
         F.when(F.col("kind") == "revisit", F.col("said")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        F.when(F.col("kind") != "revisit", stated == F.col("payload_digest")).alias("intact"),
     )
     if parted.isEmpty():
         return own
     # A record that holds version lines was split at them: gather its rows by blocks.
     ranges = parted.withColumn("cell", F.explode(F.expr(f"sequence(offset div {RANGE}, (next - 1) div {RANGE})"))).select(
-        "file", "cell", F.col("offset").alias("begin"), F.col("next").alias("end"), "kind", "id", "refers_to"
+        "file", "cell", F.col("offset").alias("begin"), F.col("next").alias("end"), "kind", "id", "refers_to", "said"
     )
     rows = _located(spark, path, _spread, "file long, block long, offset long, size long, value binary")
     inside = rows.withColumn("cell", F.expr(f"offset div {RANGE}")).join(ranges, ["file", "cell"]).filter("offset >= begin and offset < end")
@@ -249,9 +257,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         F.lit(b""),
         lambda all_, part: F.concat(all_, magic, part.value),
     )
-    gathered = inside.groupBy("file", "begin", "end", "kind", "id", "refers_to").agg(text.alias("record"))
+    gathered = inside.groupBy("file", "begin", "end", "kind", "id", "refers_to", "said").agg(text.alias("record"))
     hashed = gathered.withColumn("p", F.pandas_udf(_gathered, "bytes long, digest string")("record"))
     rest = hashed.select(
-        "file", F.col("begin").alias("offset"), "kind", "id", "refers_to", F.col("p.bytes").alias("payload_bytes"), F.col("p.digest").alias("payload_digest")
+        "file", F.col("begin").alias("offset"), "kind", "id", "refers_to", F.col("p.bytes").alias("payload_bytes"), F.col("p.digest").alias("payload_digest"),
+        (stated == F.col("p.digest")).alias("intact"),
     )
     return own.select(*names).union(rest.select(*names))

@@ -27,8 +27,8 @@ def expected(rows):
         data = html.encode()
         ids.sort(key=lambda x: (x is not None, x or 0))
         said = (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
-        out.append((ids[-1], *said, "response", None))
-        out += [(i, *said, "revisit", ids[-1]) for i in ids[:-1]]
+        out.append((ids[-1], *said, "response", None, True))
+        out += [(i, *said, "revisit", ids[-1], None) for i in ids[:-1]]
     return sorted(out, key=str)
 
 
@@ -56,6 +56,29 @@ def test_files_follow_the_format(spark, tmp_path):
     data = b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*")))
     assert data.count(b"WARC/1.1\r\nWARC-Type: ") == 2 and data.endswith(b"\r\n\r\n")
     assert b"WARC-Refers-To: <urn:page:2>\r\n" in data
+    # Fields that every record, and every revisit, must have.
+    for name in (b"WARC-Record-ID", b"Content-Length", b"WARC-Date", b"WARC-Type"):
+        assert data.count(b"\r\n" + name + b": ") >= 2, name
+    assert data.count(b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/") == 1
+
+
+def test_changed_payloads_are_noticed(spark, tmp_path):
+    path = f"{tmp_path}/out"
+    write_warc(spark.createDataFrame([(1, "u", "abcd"), (2, "u", "efgh"), (3, "u", INNER)], PAGE).coalesce(1), path)
+    (file,) = (tmp_path / "out").glob("part-*")
+    file.write_bytes(file.read_bytes().replace(b"efgh", b"eFgh").replace(b"abcde", b"abXde"))
+    for crc in (tmp_path / "out").glob(".*.crc"):
+        crc.unlink()
+    assert {r.id: r.intact for r in read_warc(spark, path).collect()} == {"1": True, "2": False, "3": False}
+
+
+def test_further_columns_do_not_clash(spark, tmp_path):
+    from tests.llm.awkward import clashing
+
+    path = f"{tmp_path}/out"
+    pages = clashing(spark.createDataFrame(PAGES, PAGE)).selectExpr("*", "'own' AS digest", "1 AS head", "2 AS rank", "'x' AS payload")
+    write_warc(pages, path)
+    assert read_warc(spark, path).count() == len(PAGES)
 
 
 def test_empty_table(spark, tmp_path):
