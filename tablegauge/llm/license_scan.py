@@ -220,7 +220,9 @@ def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Candidates have one of the `CUES`, or are similar enough to a template of any family. An entry has paragraph (its number from 0), family, probability, similarity and
     confirmed. Paragraphs are lines. A family whose probability is below the model's
     floor is `unknown`; `similarity` is with the named family's templates, 0 for unknown.
-    NULL and empty texts have no notices.
+    NULL and empty texts have no notices. Rows are independent, so those that repeat an id or
+    are equal have notices each; a column named `notices` is replaced, `__lines` is kept for own
+    use. An empty table gives no rows.
     """
     lines = f"transform(split({text}, '\\n'), (x, i) -> struct(i as paragraph, lower(x) rlike '{CUES}' as cued, {_WORDS.format('x')} as words))"
     marked = docs.withColumn("__lines", F.expr(f"if({text} is not null, {lines}, array())"))

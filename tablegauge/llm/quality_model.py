@@ -106,7 +106,11 @@ def _scorer(model: Model) -> Callable:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of `docs`: id, held_out, score in [0, 1]; NULL and empty texts are scored too."""
+    """One row per row of `docs`: id, held_out, score in [0, 1]; NULL and empty texts are scored too.
+
+    Rows are independent: those that repeat an id or are equal are scored each. Further
+    columns, whatever their names, are not read. An empty table gives no rows.
+    """
     ship(docs.sparkSession)
     given = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     kind = given.schema["id"].dataType.simpleString()
