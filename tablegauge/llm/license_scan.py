@@ -3,9 +3,9 @@
 A multinomial logistic regression with an L1 penalty over hashed word n-grams names a
 paragraph's licence family or calls it unknown. Its probabilities are tempered on
 paragraphs it was not fitted on, and the least probability that counts as a family is
-chosen on the same. A family is confirmed if the paragraph and one of the family's
-templates contain each other's word pairs. Everything runs as column expressions within
-a row; no text is shuffled.
+chosen on the same. A family is confirmed if the paragraph holds the word pairs of one of
+the family's templates, or is itself a clear part of one. Everything runs as column
+expressions within a row; no text is shuffled.
 """
 
 import json
@@ -14,7 +14,7 @@ import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,12 +105,18 @@ SIZE = 2048
 ORDERS = (1, 2, 3)
 UNKNOWN = "unknown"
 FAMILIES = (*TEMPLATES, UNKNOWN)
-#: Documents whose paragraphs stand for the unknown class, at most, and paragraphs of each.
-SAMPLE, EACH = 300, 8
+#: Documents whose paragraphs stand for the unknown class, and paragraphs taken of all their whole texts, at most.
+SAMPLE, LINES = 300, 2400
 TEMPERATURES = tuple(2.0**k for k in range(-3, 4))
 FLOORS = tuple(k / 20 for k in range(6, 20))
 PRECISION = 0.99
 SIMILAR = 0.8
+#: Below this likeness to every template a paragraph is an example of the unknown class; those between teach nothing.
+UNLIKE = 0.5
+#: What a paragraph must share with a template to be confirmed as a part of it: so many word pairs, or this share of the template.
+CLEAR, PART = 6, 0.6
+#: Slots of the bitmaps of template pairs that paragraphs are held against first.
+SLOTS = 1 << 16
 
 _WORDS = "filter(split(lower({}), '[^\\\\p{{L}}\\\\p{{N}}]+'), x -> x <> '')"
 _PAIRS = "array_distinct(if(size({0}) < 2, {0}, transform(sequence(1, size({0}) - 1), i -> concat({0}[i - 1], ' ', {0}[i]))))"
@@ -158,20 +164,26 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Model:
     """A model from the templates and from paragraphs of at most `SAMPLE` documents."""
     spark = docs.sparkSession
     chosen = docs.select(F.col(id_col).alias("id")).filter("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    unknown = (
+    lines = (
         docs.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
         .join(F.broadcast(chosen), "id", "left_semi")
-        .filter(~F.expr(f"lower(text) rlike '{CUES}'"))
-        .select(F.explode(F.expr(f"slice(filter(split(text, '\\n'), x -> length(x) > 20), 1, {EACH})")).alias("paragraph"))
-        .select(F.expr(_WORDS.format("paragraph")).alias("words"), F.lit(len(TEMPLATES)).alias("label"))
+        .select(F.explode(F.expr("filter(split(text, '\\n'), x -> length(x) > 20)")).alias("paragraph"))
+        .distinct()
+        .orderBy(F.xxhash64("paragraph"), "paragraph")
+        .limit(LINES)
+        .select(F.expr(_WORDS.format("paragraph")).alias("words"))
+        .withColumn("pairs", F.expr(_PAIRS.format("words")))
     )
+    likeness = F.array_max(F.transform(_templates(), lambda t: _alike(t, F.col("pairs"))))
+    unknown = lines.filter(likeness < UNLIKE).select("words", F.lit(len(TEMPLATES)).alias("label"))
     # Stored on its own: the examples then fit one partition without the table passing through it.
     unknown = stored(unknown, "licence-unknown")
     rows = _examples(spark).union(unknown).select(F.expr(_grams("words")).alias("grams"), "label", F.expr("pmod(xxhash64(words), 4) = 0").alias("check"))
     rows = stored(rows.coalesce(1), "licence-examples")
-    dense = F.expr(f"transform(sequence(0, {SIZE - 1}), i -> if(array_contains(grams, i), 1D, 0D))")
+    numbered = rows.filter("not check").select(F.col("grams").cast("array<string>").alias("grams"), F.col("label").cast("double").alias("label"))
+    marks = CountVectorizerModel.from_vocabulary([str(g) for g in range(SIZE)], "grams", "features").setBinary(True)
     learner = LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=2e-4, maxIter=40, standardization=False)
-    fitted = learner.fit(rows.filter("not check").select(array_to_vector(dense).alias("features"), F.col("label").cast("double").alias("label")))
+    fitted = learner.fit(marks.transform(numbered).select("features", "label"))
     classes = fitted.coefficientMatrix.toArray()
     flat = [0.0] * (SIZE * len(FAMILIES))
     for c in range(fitted.numClasses):
@@ -181,14 +193,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Model:
     margins = rows.filter("check").select("label", _margins(flat, biases, F.col("grams")).alias("m"))
     tried = margins.select("label", "m", F.explode(F.array(*map(F.lit, TEMPERATURES))).alias("t"))
     tempered = tried.withColumn("p", F.expr(_softmax("m", "t")))
-    losses = tempered.groupBy("t").agg(F.avg(-F.log(F.greatest(F.expr("p[label]"), F.lit(1e-12)))).alias("loss")).collect()
-    best = min(losses, key=lambda r: (r.loss, r.t)).t if losses else 1.0
-    said = margins.select("label", F.expr(_softmax("m", str(best) + "D")).alias("p")).select(
-        "label", F.expr("array_max(p)").alias("top"), F.expr("array_position(p, array_max(p)) - 1").alias("guess")
+    judged = tempered.select(
+        "t", (-F.log(F.greatest(F.expr("p[label]"), F.lit(1e-12)))).alias("loss"), F.expr("array_max(p)").alias("top"),
+        (F.expr("array_position(p, array_max(p))") - 1).alias("guess"), "label",
     )
-    families = said.filter(F.col("guess") < len(TEMPLATES)).select("*", F.explode(F.array(*map(F.lit, FLOORS))).alias("floor")).filter("top >= floor")
-    precise = families.groupBy("floor").agg(F.avg((F.col("guess") == F.col("label")).cast("double")).alias("right")).filter(F.col("right") >= PRECISION)
-    floor = precise.agg(F.min("floor").alias("floor")).first().floor
+    right = F.when(F.col("guess") < len(TEMPLATES), (F.col("guess") == F.col("label")).cast("double"))
+    precisions = [F.avg(F.when(F.col("top") >= floor, right)).alias(f"floor{k}") for k, floor in enumerate(FLOORS)]
+    losses = judged.groupBy("t").agg(F.avg("loss").alias("loss"), *precisions).collect()
+    chosen_row = min(losses, key=lambda r: (r.loss, r.t)) if losses else None
+    best = chosen_row.t if chosen_row else 1.0
+    precise = [f for k, f in enumerate(FLOORS) if chosen_row and (chosen_row[f"floor{k}"] or 0.0) >= PRECISION]
+    floor = min(precise, default=None)
     return Model(tuple(flat), tuple(biases), best, floor if floor is not None else FLOORS[-1])
 
 
@@ -217,46 +232,66 @@ def _softmax(margins: str, temperature: str) -> str:
 def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of `docs` and `notices`, one entry for each candidate paragraph.
 
-    Candidates have one of the `CUES`, or are similar enough to a template of any family. An entry has paragraph (its number from 0), family, probability, similarity and
-    confirmed. Paragraphs are lines. A family whose probability is below the model's
-    floor is `unknown`; `similarity` is with the named family's templates, 0 for unknown.
-    NULL and empty texts have no notices. Rows are independent, so those that repeat an id or
-    are equal have notices each; a column named `notices` is replaced, `__lines` is kept for own
-    use. An empty table gives no rows.
+    Paragraphs are lines. Candidates have one of the `CUES`, or are similar enough to a
+    template of any family; so are two neighbouring lines together, as in hard-wrapped
+    notices, unless both are by themselves. An entry has paragraph (its number from 0), lines (1
+    or 2), family, probability, similarity and confirmed. A family whose probability is below
+    the model's floor is `unknown`; `similarity` is with the named family's templates, 0 for
+    unknown: the share of the template's word pairs in the paragraph or, from `CLEAR` common
+    pairs or a `PART` of the template on, of the paragraph's in the template. A part that is as
+    much like another family's template confirms neither. NULL and empty texts have no notices. Rows
+    are independent, so those that repeat an id or are equal have notices each; a column
+    named `notices` is replaced, `__lines` is kept for own use. An empty table gives no rows.
     """
-    lines = f"transform(split({text}, '\\n'), (x, i) -> struct(i as paragraph, lower(x) rlike '{CUES}' as cued, {_WORDS.format('x')} as words))"
+    known, telling = _bitmaps(docs.sparkSession)
+    lines = f"transform(split({text}, '\\n'), (x, i) -> struct(i as paragraph, 1 as lines, lower(x) rlike '{CUES}' as cued, {_WORDS.format('x')} as words))"
     marked = docs.withColumn("__lines", F.expr(f"if({text} is not null, {lines}, array())"))
-    paired = marked.withColumn(
-        "__lines", F.expr(f"transform(__lines, l -> {let('l.words', 'w', f'struct(l.paragraph as paragraph, l.cued as cued, w as words, {_PAIRS.format("w")} as pairs)')})")
+    alone = _weighed(marked, "__lines", known, telling)
+    beside = (
+        "if(size(__lines) < 2, array(), transform(filter(sequence(1, size(__lines) - 1), i ->"
+        " not (__lines[i - 1].sure and __lines[i].sure) and __lines[i - 1].met > 0 and __lines[i].met > 0),"
+        " i -> struct(__lines[i - 1].paragraph as paragraph, 2 as lines, false as cued,"
+        " concat(__lines[i - 1].words, __lines[i].words) as words)))"
+    )
+    both = _weighed(alone.withColumn("__beside", F.expr(beside)), "__beside", known, telling)
+    candidates = both.withColumn(
+        "__lines", F.expr("concat(filter(__lines, l -> l.cued or l.sure), filter(__beside, l -> l.sure))")
+    ).drop("__beside")
+    candidates = candidates.withColumn(
+        "__lines",
+        F.expr(f"transform(__lines, l -> struct(l.paragraph as paragraph, l.lines as lines, l.words as words, {_PAIRS.format('l.words')} as pairs))"),
     )
-    candidates = paired.withColumn("__lines", F.filter("__lines", lambda l: l.cued | _confirmable(l.pairs)))
     grams = candidates.withColumn(
-        "__lines", F.expr(f"transform(__lines, l -> {let('l.words', 'w', f'struct(l.paragraph as paragraph, l.pairs as pairs, {_grams("w")} as grams)')})")
+        "__lines", F.expr(f"transform(__lines, l -> {let('l.words', 'w', f'struct(l.paragraph as paragraph, l.lines as lines, l.pairs as pairs, {_grams("w")} as grams)')})")
     )
     scored = grams.withColumn(
         "__lines",
-        F.transform("__lines", lambda l: F.struct(l.paragraph.alias("paragraph"), l.pairs.alias("pairs"), _margins(model.weights, model.biases, l.grams).alias("m"))),
+        F.transform("__lines", lambda l: F.struct(l.paragraph.alias("paragraph"), l.lines.alias("lines"), l.pairs.alias("pairs"), _margins(model.weights, model.biases, l.grams).alias("m"))),
     )
     judged = scored.withColumn(
         "__lines",
-        F.expr(f"transform(__lines, l -> struct(l.paragraph as paragraph, l.pairs as pairs, {_softmax('l.m', str(model.temperature) + 'D')} as p))"),
+        F.expr(f"transform(__lines, l -> struct(l.paragraph as paragraph, l.lines as lines, l.pairs as pairs, {_softmax('l.m', str(model.temperature) + 'D')} as p))"),
     ).withColumn(
         "__lines",
         F.expr(
-            "transform(__lines, l -> struct(l.paragraph as paragraph, l.pairs as pairs, array_max(l.p) as p,"
+            "transform(__lines, l -> struct(l.paragraph as paragraph, l.lines as lines, l.pairs as pairs, array_max(l.p) as p,"
             f" if(array_max(l.p) >= {model.floor}D, cast(array_position(l.p, array_max(l.p)) as int) - 1, {len(TEMPLATES)}) as family))"
         ),
     )
 
     def notice(l: Column) -> Column:
-        own = F.filter(_templates(), lambda t: t.family == l.family)
-        best = F.coalesce(F.array_max(F.transform(own, lambda t: _alike(t, l.pairs))), F.lit(0.0))
+        def most(likeness, of):
+            return F.coalesce(F.array_max(F.transform(F.filter(_templates(), of), lambda t: likeness(t, l.pairs))), F.lit(0.0))
+
+        best = most(_alike, lambda t: t.family == l.family)
+        sure = (most(_held, lambda t: t.family == l.family) >= SIMILAR) | (best > most(_alike, lambda t: t.family != l.family))
         return F.struct(
             l.paragraph.alias("paragraph"),
+            l.lines.alias("lines"),
             F.element_at(F.array(*map(F.lit, FAMILIES)), l.family + 1).alias("family"),
             l.p.alias("probability"),
             best.alias("similarity"),
-            (best >= SIMILAR).alias("confirmed"),
+            ((best >= SIMILAR) & sure).alias("confirmed"),
         )
 
     return judged.withColumn("notices", F.transform("__lines", notice)).drop("__lines")
@@ -266,22 +301,77 @@ def _templates() -> Column:
     return F.from_json(F.lit(json.dumps(_template_pairs())), "array<struct<family: int, pairs: array<string>>>")
 
 
+def _held(template: Column, pairs: Column) -> Column:
+    return F.size(F.array_intersect(template.pairs, pairs)) / F.size(template.pairs)
+
+
 def _alike(template: Column, pairs: Column) -> Column:
     shared = F.size(F.array_intersect(template.pairs, pairs))
-    return F.greatest(shared / F.size(template.pairs), shared / F.greatest(F.size(pairs), F.lit(1)))
+    held = shared / F.size(template.pairs)
+    part = F.when((shared >= CLEAR) | (held >= PART), shared / F.size(pairs)).otherwise(0.0)
+    return F.greatest(held, part)
 
 
-def _confirmable(pairs: Column) -> Column:
-    """Whether word pairs are similar enough to a template of any family.
+def _bitmaps(spark: SparkSession) -> tuple[str, str]:
+    """Slots of all pairs of templates, and of their telling pairs, as SQL constants.
 
-    Templates are gone through only if enough pairs are those of some template.
+    A text that holds `SIMILAR` of a template's pairs lacks few of them, so it has at least
+    one of any set of that many and one more; the telling pairs are the longest so many.
     """
     known = _template_pairs()
-    least = min(math.ceil(SIMILAR * len(t["pairs"]) - 1e-9) for t in known)
-    every = F.split(F.lit(",".join(sorted({pair for t in known for pair in t["pairs"]}))), ",")
-    met = F.size(F.array_intersect(pairs, every))
-    enough = (met >= least) | ((met > 0) & (met / F.greatest(F.size(pairs), F.lit(1)) >= SIMILAR))
-    return enough & F.exists(_templates(), lambda t: _alike(t, pairs) >= SIMILAR)
+    every = sorted({pair for t in known for pair in t["pairs"]})
+    telling = set()
+    for t in known:
+        lacking = len(t["pairs"]) - math.ceil(SIMILAR * len(t["pairs"]) - 1e-9)
+        telling.update(sorted(t["pairs"], key=lambda pair: (-len(pair), pair))[: lacking + 1])
+    slots = spark.range(1).select(F.array(*[F.xxhash64(*map(F.lit, pair.split(" "))) for pair in every])).first()[0]
+
+    def bitmap(pairs: set[str]) -> str:
+        words = [0] * (SLOTS >> 6)
+        for pair, key in zip(every, slots):
+            if pair in pairs:
+                words[key % SLOTS >> 6] |= 1 << (key % 64)
+        signed = (w - (1 << 64) if w >> 63 else w for w in words)
+        return f"cast(split('{','.join(map(str, signed))}', ',') as array<bigint>)"
+
+    return bitmap(set(every)), bitmap(telling)
+
+
+def _weighed(docs: DataFrame, column: str, known: str, telling: str) -> DataFrame:
+    """Paragraphs with `met` (their pairs that are some template's) and `sure`: whether they are similar enough to one.
+
+    Pairs are compared as words only where the bitmaps leave it open.
+    """
+    keys = "if(size(l.words) < 2, array(), transform(sequence(1, size(l.words) - 1), i -> xxhash64(l.words[i - 1], l.words[i])))"
+
+    def among(bits: str, key: str) -> str:
+        return f"getbit(element_at({bits}, cast(shiftright({key} & {SLOTS - 1}, 6) as int) + 1), cast({key} & 63 as int)) = 1"
+
+    least = min(CLEAR, *(math.ceil(PART * len(t["pairs"]) - 1e-9) for t in _template_pairs()))
+    near = (
+        f"exists(m, x -> {among(telling, 'x')})"
+        f" or (size(m) >= {least} and size(array_distinct(m)) >= {SIMILAR}D * size(array_distinct(k)))"
+    )
+    entry = f"struct(l.paragraph as paragraph, l.lines as lines, l.cued as cued, l.words as words, size(m) as met, {near} as near)"
+    met = let(keys, "k", let(f"filter(k, x -> {among(known, 'x')})", "m", entry))
+    weighed = docs.withColumn(column, F.expr(f"transform({column}, l -> {met})"))
+    paired = weighed.withColumn(
+        column,
+        F.expr(
+            f"transform({column}, l -> struct(l.paragraph as paragraph, l.lines as lines, l.cued as cued, l.words as words, l.met as met,"
+            f" if(l.near, {_PAIRS.format('l.words')}, array()) as pairs))"
+        ),
+    )
+    return paired.withColumn(
+        column,
+        F.transform(
+            column,
+            lambda l: F.struct(
+                *[l[name].alias(name) for name in ("paragraph", "lines", "cued", "words", "met")],
+                ((F.size(l.pairs) > 0) & F.exists(_templates(), lambda t: _alike(t, l.pairs) >= SIMILAR)).alias("sure"),
+            ),
+        ),
+    )
 
 
 def _template_pairs() -> list[dict]:

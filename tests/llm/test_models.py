@@ -2,11 +2,13 @@
 
 import os
 import re
+import struct
 import textwrap
 from itertools import combinations
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tablegauge.llm import license_scan, quality_model, toxicity
@@ -174,11 +176,87 @@ def test_no_confirmable_paragraph_is_dropped(spark, licence_model):
     found = license_scan.scan(spark.createDataFrame(named, "family string, text string"), licence_model).collect()
     assert all(len(r.notices) == 1 and r.notices[0].similarity >= license_scan.SIMILAR for r in found if r.family == "CC-BY-SA")
     assert [len(r.notices) for r in found] == [1, 1, 1]
-    # Every line of a hard-wrapped template is a candidate, whatever its words.
+
+
+def test_wrapped_templates_are_joined_and_fragments_are_not_confirmed(spark, licence_model):
     wrapped = [(family, "\n".join(textwrap.wrap(text, 40))) for family, texts in license_scan.TEMPLATES.items() for text in texts]
     for r in license_scan.scan(spark.createDataFrame(wrapped, "family string, text string"), licence_model).collect():
-        two_words = [i for i, line in enumerate(r.text.split("\n")) if len(re.findall(r"[^\W_]+", line)) > 1]
-        assert set(two_words) <= {n.paragraph for n in r.notices}, r.text
+        assert {n.family for n in r.notices if n.confirmed} == {r.family}, r.text
+    fragments = ["this list of conditions", "use this file", "All rights", "the terms of the", "as published by", "this work"]
+    for r in license_scan.scan(spark.createDataFrame([(x,) for x in fragments], "text string"), licence_model).collect():
+        assert not any(n.confirmed for n in r.notices), r.text
+
+
+def test_notices_equal_a_plain_computation(spark, licence_model):
+    templates = [(i, text) for i, texts in enumerate(license_scan.TEMPLATES.values()) for text in texts]
+
+    def words_of(line):
+        return re.findall(r"[a-z0-9]+", line.lower())
+
+    def pairs_of(words):
+        return set(zip(words, words[1:])) or {(w,) for w in words}
+
+    def alike(template, pairs):
+        shared, size = len(template & pairs), len(template)
+        part = shared / len(pairs) if shared >= license_scan.CLEAR or shared >= license_scan.PART * size else 0.0
+        return max(shared / size, part)
+
+    def gram(n, *words):
+        key = xxhash.xxh64_intdigest(struct.pack("<i", n), 42)
+        for word in words:
+            key = xxhash.xxh64_intdigest(word.encode(), key)
+        return (key - (1 << 64) if key >> 63 else key) % license_scan.SIZE
+
+    def judged(words):
+        grams = {gram(n, *words[i : i + n]) for n in license_scan.ORDERS for i in range(len(words) - n + 1)}
+        flat = np.array(licence_model.weights).reshape(license_scan.SIZE, -1)
+        margins = (np.array(licence_model.biases) + flat[sorted(grams)].sum(axis=0)) / licence_model.temperature
+        p = np.exp(margins - margins.max())
+        p /= p.sum()
+        family = int(p.argmax()) if p.max() >= licence_model.floor else len(license_scan.TEMPLATES)
+        return family, p.max()
+
+    known = [(i, pairs_of(words_of(text))) for i, text in templates]
+
+    def likeness(pairs):
+        return max(alike(t, pairs) for _, t in known)
+
+    def expected(text):
+        lines = [words_of(line) for line in text.split("\n")]
+        cued = [re.search(license_scan.CUES, line.lower()) is not None for line in text.split("\n")]
+        sure = [bool(w) and likeness(pairs_of(w)) >= license_scan.SIMILAR for w in lines]
+        met = [len(w) > 1 and any(pairs_of(w) & t for _, t in known) for w in lines]
+        found = [(i, 1, w) for i, w in enumerate(lines) if cued[i] or sure[i]]
+        for i, (one, two) in enumerate(zip(lines, lines[1:])):
+            if met[i] and met[i + 1] and not (sure[i] and sure[i + 1]) and likeness(pairs_of(one + two)) >= license_scan.SIMILAR:
+                found.append((i, 2, one + two))
+        for place, count, words in found:
+            family, p = judged(words)
+            own = [t for i, t in known if i == family]
+            similarity = max((alike(t, pairs_of(words)) for t in own), default=0.0)
+            rival = max(alike(t, pairs_of(words)) for i, t in known if i != family)
+            held = max((len(t & pairs_of(words)) / len(t) for t in own), default=0.0)
+            confirmed = similarity >= license_scan.SIMILAR and (held >= license_scan.SIMILAR or similarity > rival)
+            yield place, count, license_scan.FAMILIES[family], p, similarity, confirmed
+
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(150):
+        lines = []
+        for _ in range(rng.integers(1, 7)):
+            words = templates[rng.integers(len(templates))][1].split(" ")
+            start = rng.integers(0, len(words))
+            part = words[start : start + rng.integers(1, 30)] if rng.random() < 0.6 else words
+            kept = [w if rng.random() > 0.05 else "river" for w in part] + ["meadow"] * rng.integers(0, 3)
+            lines += textwrap.wrap(" ".join(kept), int(rng.integers(20, 200)))
+        texts.append(("\n".join(lines),))
+    seen = 0
+    for r in license_scan.scan(spark.createDataFrame(texts, "text string"), licence_model).collect():
+        want = list(expected(r.text))
+        seen += len(want)
+        assert [(n.paragraph, n.lines, n.family, n.confirmed) for n in r.notices] == [(a, b, f, ok) for a, b, f, _, _, ok in want], r.text
+        assert [(n.probability, n.similarity) for n in r.notices] == [pytest.approx((p, x), abs=1e-9) for *_, p, x, _ in want]
+    assert seen > 300
 
 
 def test_licences_of_awkward_rows(spark, licence_model):
