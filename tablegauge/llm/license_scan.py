@@ -99,7 +99,7 @@ OTHERWISE = (
     "A patent or copyright dispute about the domain went to court under public attention.",
 )
 #: Words that make a paragraph a candidate, whatever its likeness to a template.
-CUES = "licen[sc]e|copyright|permission|redistribut|public domain|rights|cc by"
+CUES = ("license", "licence", "copyright", "permission", "redistribut", "public domain", "rights", "cc by")
 
 SIZE = 2048
 ORDERS = (1, 2, 3)
@@ -118,7 +118,7 @@ CLEAR, PART = 6, 0.6
 #: Slots of the bitmaps of template pairs that paragraphs are held against first.
 SLOTS = 1 << 16
 
-_WORDS = "filter(split(lower({}), '[^\\\\p{{L}}\\\\p{{N}}]+'), x -> x <> '')"
+_WORDS = "filter(split({}, '[^\\\\p{{L}}\\\\p{{N}}]+'), x -> x <> '')"
 _PAIRS = "array_distinct(if(size({0}) < 2, {0}, transform(sequence(1, size({0}) - 1), i -> concat({0}[i - 1], ' ', {0}[i]))))"
 
 
@@ -148,7 +148,7 @@ def _examples(spark: SparkSession) -> DataFrame:
     rows = [(text, i) for i, family in enumerate(TEMPLATES) for text in TEMPLATES[family]]
     rows += [(text, len(TEMPLATES)) for text in OTHERWISE]
     listed = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(t).alias("text"), F.lit(i).alias("label")) for t, i in rows])).alias("r"))
-    words = listed.select(F.expr(_WORDS.format("r.text")).alias("words"), F.col("r.label").alias("label"))
+    words = listed.select(F.expr(_WORDS.format("lower(r.text)")).alias("words"), F.col("r.label").alias("label"))
     starts = words.withColumn("from", F.explode(F.expr("sequence(0, greatest(size(words) - 8, 0), 2)")))
     spans = starts.withColumn("take", F.explode(F.expr("array_distinct(array(8, 14, 24, 60))")))
     runs = spans.select(F.expr("slice(words, from + 1, take)").alias("words"), "label")
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Model:
         .distinct()
         .orderBy(F.xxhash64("paragraph"), "paragraph")
         .limit(LINES)
-        .select(F.expr(_WORDS.format("paragraph")).alias("words"))
+        .select(F.expr(_WORDS.format("lower(paragraph)")).alias("words"))
         .withColumn("pairs", F.expr(_PAIRS.format("words")))
     )
     likeness = F.array_max(F.transform(_templates(), lambda t: _alike(t, F.col("pairs"))))
@@ -244,7 +244,10 @@ def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     named `notices` is replaced, `__lines` is kept for own use. An empty table gives no rows.
     """
     known, telling = _bitmaps(docs.sparkSession)
-    lines = f"transform(split({text}, '\\n'), (x, i) -> struct(i as paragraph, 1 as lines, lower(x) rlike '{CUES}' as cued, {_WORDS.format('x')} as words))"
+    # Most texts have no cue at all, which is found once a text.
+    cued = "(" + " or ".join(f"contains({{0}}, '{cue}')" for cue in CUES) + ")"
+    entry = f"struct(i as paragraph, 1 as lines, c and {cued.format('x')} as cued, {_WORDS.format('x')} as words)"
+    lines = let(f"lower({text})", "t", let(cued.format("t"), "c", f"transform(split(t, '\\n'), (x, i) -> {entry})"))
     marked = docs.withColumn("__lines", F.expr(f"if({text} is not null, {lines}, array())"))
     alone = _weighed(marked, "__lines", known, telling)
     beside = (
