@@ -65,6 +65,14 @@ def test_long_lists_of_failures_come_in_parts(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
 
 
+def test_reasons_name_every_failed_statement(spark):
+    n = 100_001
+    items = spark.range(n).selectExpr("'t' AS table_name", "concat('q', id) AS sql_id", "'failed' AS status")
+    every = ", ".join(sorted(f"q{i}" for i in range(n)))
+    for gate in (G.gate_profile_execution, G.gate_rule_execution):
+        assert one(gate(items))[1].endswith(f"; unfixable after retries: {every}")
+
+
 def test_waived_statements_open_gates(spark):
     items = log(spark, "failed", "executed", "validated")
     waivers = spark.createDataFrame([("t", "q0"), ("u", "q2")], "table_name STRING, sql_id STRING")
