@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tablegauge.operators import checks
+from tablegauge.operators import checks, matching
 from tablegauge.operators.checks import rule, rule_counts, rules_frame, run_rules
 from tablegauge.operators.matching import inequality_pairs
 
@@ -69,6 +69,30 @@ def test_ranges_cut_a_key_and_carry_over(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
 
 
+@pytest.mark.parametrize("heavy", [0, 150, 10_000])
+def test_only_keys_of_heavy_buckets_are_cut_into_ranges(spark, monkeypatch, heavy):
+    monkeypatch.setattr(matching, "HEAVY", heavy)
+    rng = random.Random(heavy)
+    for keys in ([1, 1, 1, 1, *range(2, 40)], ["hot", "hot", "hot", *map(str, range(20))]):
+        a = [(rng.choice(keys), rng.choice([None, *range(9)])) for _ in range(1200)]
+        b = [(rng.choice(keys), rng.choice([None, *range(9)])) for _ in range(900)]
+        kind = "int" if keys[0] == 1 else "string"
+        left, right = (spark.createDataFrame(rows, f"k {kind}, x int") for rows in (a, b))
+        for sign, holds in HOLDS.items():
+            want = sum(k == j and None not in (x, y) and holds(x, y) for k, x in a for j, y in b)
+            assert inequality_pairs(left, "k", F.col("x"), sign, right, "k", F.col("x")).first().violations == want
+
+
+def test_rows_of_ordinary_keys_are_not_cut_into_ranges(spark, monkeypatch):
+    given, ranged = matching._met_in_ranges, []
+    monkeypatch.setattr(matching, "_met_in_ranges", lambda rows, ties: ranged.append(rows) or given(rows, ties))
+    left = spark.range(20_000).selectExpr("id % 5000 AS k", "id AS x")
+    right = spark.range(5000).selectExpr("id AS k", "10000 AS x")
+    found = inequality_pairs(left, "k", F.col("x"), "<", right, "k", F.col("x"))
+    assert found.first().violations == 10_000
+    assert len(ranged) == 1 and ranged[0].count() == 0
+
+
 def test_unlike_types_are_joined_or_refused(spark):
     tables = {"a": spark.createDataFrame([(1, "10")], "k int, x string"), "b": spark.createDataFrame([(1, 9)], "k int, y int")}
     common = {"parent": "b", "parent_column": "k"}
