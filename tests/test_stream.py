@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tablegauge.operators.checks import rule
 from tablegauge.sources.audit_log import append_audit
 from tablegauge.streaming import live
+from workbench.queries import _weekly
 
 RULES = (
     rule("t", "low", "range", "v", low="10"),
@@ -186,3 +187,14 @@ def test_a_batch_that_runs_again_replaces_its_output(spark, tmp_path, monkeypatc
     monkeypatch.undo()
     assert log.run(("G", 33, "open", None)) == [("G", 1), ("G", 20), ("G", 25), ("G", 30), ("G", 33)]
     assert live.gate_change_feed(spark, log.out).count() == 5
+
+
+def test_weekly_files_are_cut_by_all_tasks(spark):
+    """A week is one file, but no task looks through the whole log for it."""
+    rows = spark.range(0, 4000, 1, 4).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, id % 700) AS ts", "'g' AS gate_id", "'open' AS state"
+    )
+    weeks = _weekly(rows)
+    assert [w.rdd.getNumPartitions() for w in weeks] == [1] * 5
+    assert all("Exchange" in w._jdf.queryExecution().executedPlan().toString() for w in weeks)
+    assert sorted(r.event_id for w in weeks for r in w.collect()) == list(range(4000))
