@@ -163,3 +163,8 @@ def training_order(mix: DataFrame) -> DataFrame:
         F.col("__pass.time").alias("time"),
     )
     return due_rows.orderBy("time", *mix.columns[:1], "pass")
+
+
+def by_first_due(mix: DataFrame) -> DataFrame:
+    """The rows of a mix range-sorted by the time their first pass is due, those never due last."""
+    return mix.orderBy(F.try_element_at("passes", F.lit(1))["time"].asc_nulls_last(), mix.columns[0])

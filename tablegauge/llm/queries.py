@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tablegauge.llm import bpe, conversations, lexical, license_scan, quality_model, toxicity
 from tablegauge.llm.exact_dedup import exact_dedup
-from tablegauge.llm.mixing import mix_sources
+from tablegauge.llm.mixing import by_first_due, mix_sources
 from tablegauge.llm.near_dedup import near_dedup
 from tablegauge.llm.packing import pack, pieces
 from tablegauge.llm.quality_rules import BASE, FULL, apply_policy, ledger
@@ -41,7 +41,7 @@ def near_copies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
-    mix = mix_sources(_table(spark, folder, "documents").select("doc_id", "text", "source"))
+    mix = by_first_due(mix_sources(_table(spark, folder, "documents").select("doc_id", "text", "source")))
     first = F.try_element_at("passes", F.lit(1))
     return mix.select("doc_id", "size", "source_size", "target", "taken", first["time"].alias("first_due"))
 

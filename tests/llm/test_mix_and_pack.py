@@ -11,6 +11,7 @@ import pytest
 import corpus_pipeline
 from tablegauge.llm import packing as P
 from tablegauge.llm.mixing import mix_sources, targets, training_order
+from tablegauge.llm.queries import mixed_sources
 
 from .awkward import DOC, PLAIN, ROWS, clashing
 
@@ -58,6 +59,16 @@ def test_taken_words_meet_targets_and_passes_follow_the_schedule(spark):
     assert mean["s0"] < 0.5 < mean["s2"] and mean["s1"] == pytest.approx(0.5, abs=0.05)
 
 
+def test_the_query_gives_its_rows_in_training_order(spark, tmp_path):
+    rows = [(i, " ".join(["w"] * (i % 17)), f"s{i % 4}") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    found = mixed_sources(spark, str(tmp_path)).collect()
+    first = list(dict.fromkeys(r.doc_id for r in training_order(mix_sources(docs)).collect()))
+    assert len(found) == 500 and [r.doc_id for r in found][: len(first)] == first
+    assert all(r.taken == 0 and r.first_due is None for r in found[len(first) :])
+
+
 def test_the_pipeline_mixes_whole_texts(spark):
     rows = [(i, "\n".join(["w"] * (3 + i * 7 % 40)), f"s{i % 3}", 2) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
