@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +8,8 @@ from tablegauge import assess
 from tablegauge.operators import gates as G
 from tablegauge.operators.checks import rule, rules_frame
 from tablegauge.operators.report import run_summary
+from workbench.oracle import ORACLE
+from workbench.queries import QUERIES
 
 LOG = "table_name STRING, sql_id STRING, status STRING"
 
@@ -88,6 +91,32 @@ def test_waived_statements_open_gates(spark):
     )
 
 
+def test_repeated_statements_and_waivers(spark):
+    """A statement logged or waived again; `per_waiver` counts as a join of both logs does."""
+    items = log(spark, "failed", "executed", "validated").union(log(spark, "failed"))
+    waivers = spark.createDataFrame([("t", "q0"), ("t", "q0"), ("t", "q2")], "table_name STRING, sql_id STRING")
+    for per_waiver, n, statuses in ((False, 4, [2, 1, 1]), (True, 6, [4, 1, 1])):
+        g4 = G.gate_rule_execution(items, waivers, per_waiver=per_waiver)
+        assert one(g4) == ("open", f"DQ execution: all {n} SQLs for 't' validated (3 waived)")
+        g3 = G.gate_rule_generation(items, waivers, per_waiver=per_waiver)
+        assert one(g3) == ("open", f"Profiling complete for 't' ({n} results) - DQ generation unlocked")
+        for gate in (g4, g3):
+            assert gate.first().evidence == dict(zip(("failed", "executed", "validated"), statuses))
+        rows = G.gate_evidence(items, "G4", waivers, per_waiver)
+        assert [rows.where(F.col("status") == s).count() for s in ("failed", "executed", "validated")] == statuses
+
+
+@pytest.mark.parametrize("name", ["gate_g4_waived", "gate_g4_wide", "gate_evidence"])
+def test_waived_queries_equal_their_sql_on_repeated_events(spark, tmp_path, name):
+    given = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    given.union(given).union(given.where("event_id % 2 = 0")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = db.sql(ORACLE[name])
+    found = QUERIES[name](spark, str(tmp_path)).select(*want.columns)
+    assert sorted(map(tuple, found.collect())) == sorted(want.fetchall())
+
+
 def test_review_gate_tolerates_some_failures(spark):
     checks = log(spark, "failed", "executed", "failed")
     assert one(G.gate_review(checks)) == (
